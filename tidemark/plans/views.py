@@ -50,6 +50,18 @@ select concat('u/', role) as author, cast(conv_id * 7 + turn * 3 as bigint) % 21
  case when (conv_id + turn) % 17 = 0 then '[deleted]' when (conv_id + turn) % 19 = 0 then null else text end as body,
  conv_id * 1000 + turn as file_pos
 from {conversations}""",
+    # raw dump lines: some without a permalink or own text
+    "dump_lines": """
+select source as author, substr(text, 1, 30) as title, cast(doc_id % 50 as bigint) as score, cast(1500000000 + doc_id * 86411 as bigint) as created_utc,
+ case when doc_id % 3 = 0 then null else concat('/r/', source, '/comments/', cast(doc_id as varchar(20)), '/t/') end as permalink,
+ concat('t3_', cast(doc_id + 7 as varchar(20))) as link_id, concat('c', cast(doc_id as varchar(20))) as id, source as subreddit,
+ case when doc_id % 4 = 0 then null else text end as selftext, concat('https://example.org/', cast(doc_id as varchar(20))) as url, text as body
+from {documents}""",
+    # line 1 is the body, the other lines are comments
+    "documents_doc": """
+select d.doc_id as submission_id, d.source as subreddit, d.lang, split(d.text, chr(10)) as parts, l.quality as label,
+ concat('202401', lpad(cast(1 + d.doc_id % 28 as varchar(2)), 2, '0')) as day
+from {documents} d left join {labels} l on d.doc_id = l.doc_id""",
     # one row per submission and day with its processing state and session
     "processing_log": """
 select cast(cast(o_orderdate as date) as varchar(10)) as date, o_orderkey as submission_id,
@@ -106,4 +118,5 @@ def with_views(body: str, *names: str, **extra: str) -> str:
     """Oracle text: the named views, then the extra CTEs in order, then the body."""
     parts = [f"{n} as ({re.sub(r'[{}]', '', VIEWS[n])})" for n in names]
     parts += [f"{n} as ({text})" for n, text in extra.items()]
-    return f"with {', '.join(parts)} {body}" if parts else body
+    recursive = "recursive " if any("union all" in text and f"from {n} " in text for n, text in extra.items()) else ""
+    return f"with {recursive}{', '.join(parts)} {body}" if parts else body
