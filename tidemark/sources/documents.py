@@ -31,7 +31,7 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 def content(docs: DataFrame, max_comments: int | None = None) -> DataFrame:
     """Title, body (own text or first entry) and the first comments in file order."""
-    rest = F.slice("comments", 2, max_comments if max_comments is not None else 2**31 - 1)
+    rest = F.slice("comments", F.lit(2), F.size("comments") if max_comments is None else F.lit(max_comments))
     first = F.try_element_at("comments", F.lit(1))
     body = F.coalesce(F.nullif(F.col("selftext"), F.lit("")), first) if "selftext" in docs.columns else first
     return docs.select(
@@ -101,7 +101,7 @@ def validate(docs: DataFrame) -> DataFrame:
         F.when(F.size(comments) == 0, "Comments list is empty"),
         F.when(~first.startswith("Submission body:"), "First comment entry should be submission body"),
     ]
-    malformed = F.size(F.filter(F.slice(comments, 2, 2**31 - 1),
+    malformed = F.size(F.filter(F.slice(comments, F.lit(2), F.size(comments)),
                                 lambda c: ~c.startswith("Top level comment:")))
     warnings.append(
         F.when(malformed > 0, F.concat(malformed.cast("string"),
