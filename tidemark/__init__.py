@@ -1 +1,8 @@
 """Crowd-opinion and market-signal analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions shipped to executors travel by value, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -65,12 +65,16 @@ def decode_named_entities(c: Column | str) -> Column:
     return _replace_all(text(c), NAMED_ENTITIES)
 
 
-@F.pandas_udf("string")
-def decode_all_entities(c):
+def decode_all_entities(c: Column | str) -> Column:
     """Every named and numeric entity, one Arrow batch at a time."""
-    import html
 
-    return c.map(html.unescape, na_action="ignore")
+    @F.pandas_udf("string")
+    def unescape(s):
+        import html
+
+        return s.map(html.unescape, na_action="ignore")
+
+    return unescape(text(c))
 
 
 def remove_urls(c: Column | str) -> Column:

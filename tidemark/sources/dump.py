@@ -17,6 +17,39 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DUMP_LINE).option("mode", "PERMISSIVE").json(path)
 
 
+def read_zst_dump(spark: SparkSession, paths: list[str], lines_per_batch: int = 20_000) -> DataFrame:
+    """The same rows from zstd files whose long windows the built-in reader refuses.
+
+    One task streams one file in constant memory; parsing runs in the JVM on the spread lines.
+    """
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths), "path")
+
+    def stream(batches):
+        import io
+
+        import pandas as pd
+        import zstandard
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch["path"]:
+                store, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                with store.open_input_stream(inner, compression=None) as raw:
+                    reader = zstandard.ZstdDecompressor(max_window_size=2**31).stream_reader(raw, read_across_frames=True)
+                    held = []
+                    for line in io.TextIOWrapper(reader, encoding="utf-8", errors="replace", newline="\n"):
+                        held.append(line.rstrip("\n"))
+                        if len(held) == lines_per_batch:
+                            yield pd.DataFrame({"value": held})
+                            held = []
+                    if held:
+                        yield pd.DataFrame({"value": held})
+
+    lines = files.mapInPandas(stream, "value string").where("value <> ''")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    return lines.select(F.from_json("value", DUMP_LINE, options).alias("r")).select("r.*")
+
+
 def count_bad_lines(lines: DataFrame) -> DataFrame:
     bad = F.col("_corrupt_record").isNotNull()
     # id keeps the parsed columns in the scan, which the reader needs to recognise a bad line
@@ -51,5 +84,6 @@ def read_csv_dump(spark: SparkSession, paths: str | list[str], kind: str) -> Dat
         .options(header=True, multiLine=True, quote='"', escape='"')
         .csv(paths)
     )
-    name = F.regexp_extract("_metadata.file_name", rf"^(.*)_{ending}", 1)
+    # a folder of parts carries the name too
+    name = F.regexp_extract("_metadata.file_path", rf"(?:^|[/=])([^/=]+)_{ending}(?:\.csv)?(?:/|$)", 1)
     return df.withColumn("subreddit", name)
