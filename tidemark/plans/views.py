@@ -50,6 +50,14 @@ select concat('u/', role) as author, cast(conv_id * 7 + turn * 3 as bigint) % 21
  case when (conv_id + turn) % 17 = 0 then '[deleted]' when (conv_id + turn) % 19 = 0 then null else text end as body,
  conv_id * 1000 + turn as file_pos
 from {conversations}""",
+    # consensus-like daily scores straight from the opinions
+    "opinion_days": """
+select ticker, date, sum(case when side = 'N' then c * i * w else 0.0 end) as bull_score, sum(case when side = 'R' then c * i * w else 0.0 end) as bear_score,
+ cast(sum(case when side = 'N' then 1 else 0 end) as bigint) as n_bull, cast(sum(case when side = 'R' then 1 else 0 end) as bigint) as n_bear
+from (select concat('T', lpad(cast(l.l_partkey % 10 as varchar(10)), 2, '0')) as ticker, cast(o.o_orderdate as date) as date, l.l_returnflag as side,
+  cast(1 + (cast(l.l_quantity as bigint) - 1) % 10 as double) as c, cast(1 + (l.l_partkey + l.l_linenumber) % 10 as double) as i,
+  cast(1 + l.l_partkey % 3 as double) as w from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey) x
+group by ticker, date""",
     # raw dump lines: some without a permalink or own text
     "dump_lines": """
 select source as author, substr(text, 1, 30) as title, cast(doc_id % 50 as bigint) as score, cast(1500000000 + doc_id * 86411 as bigint) as created_utc,
