@@ -144,11 +144,10 @@ def _train_length(plan: WalkForward) -> Column:
 
 def candidate_fits(df: DataFrame, plan: WalkForward) -> DataFrame:
     """Every trainable fit per (ticker, refit, span, horizon)."""
-    fanned = _fan_out(df, plan)
     if plan.model == "WLS":
-        fits = weighted_fits(fanned, plan)
+        fits = weighted_fits(df, plan)
     else:
-        aggs = []
+        fanned, aggs = _fan_out(df, plan), []
         for s in plan.spans:
             x, y = F.col(f"ema_{s}"), F.col("y")
             both = F.when(x.isNotNull() & y.isNotNull(), F.col("date"))
@@ -249,35 +248,43 @@ _WLS_SCHEMA = """ticker string, k bigint, horizon int, span int, n bigint, x_std
  train_start date, train_end date, coefficient double, intercept double, r_squared double, rsquared_adj double, t_stat double, p_value double"""
 
 
-def weighted_fits(fanned: DataFrame, plan: WalkForward) -> DataFrame:
-    """Weighted fits with robust errors; a group is one training window, never more than its length."""
-    spans, half_life, min_rows, nonzero = plan.spans, plan.half_life, plan.min_rows, NONZERO
+def weighted_fits(df: DataFrame, plan: WalkForward) -> DataFrame:
+    """Weighted fits with robust errors; one group is one ticker's calendar, sliced per refit."""
+    from tidemark.functions.stats import normal_two_sided as p_of
+
+    nonzero = NONZERO
 
     def fit(key, pdf):
         import numpy as np
         import pandas as pd
 
-        from_stats = normal_p
         pdf = pdf.sort_values("idx")
+        days, mentions = pdf["date"].to_numpy(), pdf["total_mentions"].to_numpy(dtype=float)
+        counted = mentions >= 1 if plan.mentions_only else np.ones(len(pdf), dtype=bool)
+        columns = {s: pdf[f"ema_{s}"].to_numpy(dtype=float) for s in plan.spans}
         out = []
-        for span in spans:
-            x_all = pdf[f"ema_{span}"].to_numpy(dtype=float)
-            good = pdf[[f"ema_{span}", "y"]].notna().all(axis=1).to_numpy()
-            n = int(good.sum())
-            if n < max(min_rows, 3):
-                continue
-            x, y = x_all[good], pdf["y"].to_numpy(dtype=float)[good]
-            w = np.exp(-np.log(2) / half_life * np.arange(n)[::-1]) * np.sqrt(1 + pdf["total_mentions"].to_numpy(dtype=float)[good])
-            slope, intercept, r2, t = hac_fit(x, y, w / w.sum(), int(key[2]))
-            days = pdf["date"].to_numpy()[good]
-            out.append((key[0], key[1], key[2], span, n, np.nanstd(x_all), float((np.abs(x_all) > nonzero).mean()),
-                        len(np.unique(x_all[~np.isnan(x_all)])), days[0], days[-1], slope, intercept, r2,
-                        1 - (1 - r2) * (n - 1) / (n - 2), t, float(from_stats([t])[0])))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _WLS_SCHEMA.split(",")])
-
-    from tidemark.functions.stats import normal_two_sided as normal_p
-
-    return fanned.groupBy("ticker", "k", "horizon").applyInPandas(fit, _WLS_SCHEMA)
+        for h in plan.horizons:
+            outcome = pdf[f"fwd_{h}"].to_numpy(dtype=float)
+            for k, start in enumerate(range(plan.first_refit, len(pdf) - h, plan.refit)):
+                last = start - plan.embargo - h
+                rows = np.arange(max(0, last - plan.window), last + 1)
+                rows = rows[counted[rows]]
+                for span, values in columns.items():
+                    x_all = values[rows]
+                    good = rows[~np.isnan(x_all) & ~np.isnan(outcome[rows])]
+                    n = len(good)
+                    if n < max(plan.min_rows, 3):
+                        continue
+                    w = np.exp(-np.log(2) / plan.half_life * np.arange(n)[::-1]) * np.sqrt(1 + mentions[good])
+                    slope, intercept, r2, t = hac_fit(values[good], outcome[good], w / w.sum(), h)
+                    out.append((key[0], k, h, span, n, np.nanstd(x_all), float((np.abs(x_all) > nonzero).mean()),
+                                len(np.unique(x_all)), days[good[0]], days[good[-1]], slope, intercept, r2,
+                                1 - (1 - r2) * (n - 1) / (n - 2), t, 0.0))
+        names = [c.split()[0] for c in _WLS_SCHEMA.split(",")]
+        return pd.DataFrame(out, columns=names).assign(p_value=lambda d: p_of(d["t_stat"]))
+
+    used = ["ticker", "date", "idx", "total_mentions", *[f"ema_{s}" for s in plan.spans], *[f"fwd_{h}" for h in plan.horizons]]
+    return df.select(*used).groupBy("ticker").applyInPandas(fit, _WLS_SCHEMA)
 
 
 def suspicious_fits(models: DataFrame, p: float = SUSPICIOUS_P, t: float = SUSPICIOUS_T) -> DataFrame:
