@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.finance import neg_log10
 from tidemark.functions.stats import ols, ols_inputs, t_p_value
 from tidemark.operators.series import age_weights, ema, fill_forward, forward_returns, from_first_trade
+from tidemark.session import cut_lineage
 
 # --- fixed values: guards against degenerate predictors and suspicious fits ---
 MIN_X_STD, MIN_NONZERO, NONZERO = 0.005, 0.2, 1e-3
@@ -198,7 +199,8 @@ def stamp_models(df: DataFrame, winners: DataFrame, plan: WalkForward) -> DataFr
 
 def walk_forward(panel: DataFrame, plan: WalkForward = WalkForward()) -> tuple[DataFrame, DataFrame]:
     """The series with active model and prediction, and the chosen models with their start dates."""
-    df = features(panel, plan)
+    # tickers x days rows, read three times below: written once, so raw input is not read again
+    df = cut_lineage(features(panel, plan))
     winners = pick_winners(candidate_fits(df, plan), plan)
     starts = df.select("ticker", F.col("date").alias("prediction_start"),
                        F.floor((F.col("idx") - plan.first_refit) / plan.refit).alias("k"),

@@ -37,17 +37,22 @@ class ReplayRules:
     adverse_exit: bool = False
 
 
-def gated(stamped: DataFrame, rules: ReplayRules) -> DataFrame:
-    """Volatility, significance, entry side and size of every row, from the first tradable day on."""
+def gated(stamped: DataFrame, rules: list[ReplayRules]) -> DataFrame:
+    """Entry side and size of every row per parameter set, from the first tradable day on.
+
+    The series is prepared once; parameter sets fan out at the end.
+    """
     df = from_first_trade(realised_volatility(stamped))
-    significant = F.coalesce(F.col("p_value") < rules.p_level, F.lit(False))
-    if rules.mentions_only:
-        significant = significant & (F.col("total_mentions") >= 1)
-    df = df.withColumn("is_significant", significant)
-    side = entry_side(F.col("predicted_return"), F.col("vol"), F.col("is_significant"), rules.threshold)
-    share = position_share(rules.sizing, F.col("predicted_return"), F.col("vol"), F.col("r_squared"), rules.share,
-                           rules.min_share, rules.max_share, rules.r2_factor)
-    return df.withColumns({"side": side, "share": share, "param_id": F.lit(rules.param_id)})
+    pred, sigma = F.col("predicted_return"), F.col("vol")
+    sets = []
+    for r in rules:
+        significant = F.coalesce(F.col("p_value") < r.p_level, F.lit(False))
+        if r.mentions_only:
+            significant = significant & (F.col("total_mentions") >= 1)
+        share = position_share(r.sizing, pred, sigma, F.col("r_squared"), r.share, r.min_share, r.max_share, r.r2_factor)
+        sets.append(F.struct(F.lit(r.param_id).alias("param_id"), entry_side(pred, sigma, significant, r.threshold).alias("side"),
+                             share.alias("share")))
+    return df.select("*", F.inline(F.array(*sets)))
 
 
 _SCHEMA = """ticker string, param_id string, kind string, date date, equity double, close double,
@@ -56,12 +61,12 @@ _SCHEMA = """ticker string, param_id string, kind string, date date, equity doub
  commission_round double"""
 
 
-def replay(rows: DataFrame, rules: dict[str, ReplayRules]) -> DataFrame:
+def replay(rows: DataFrame, rules: list[ReplayRules]) -> DataFrame:
     """Equity and trade rows of every key; ``kind`` tells them apart.
 
-    ``rows`` come from :func:`gated`, stacked over the parameter sets in ``rules``.
+    ``rows`` come from :func:`gated` with the same rules.
     """
-    table = {name: asdict(r) for name, r in rules.items()}
+    table = {r.param_id: asdict(r) for r in rules}
     stop_loss, take_profit = STOP_LOSS, TAKE_PROFIT
 
     def run(pdf):

@@ -211,13 +211,12 @@ def _(t):
     return t.orders.select("o_orderkey", F.coalesce(N.entry_side(pred, sigma, F.col("o_orderstatus") != "P"), F.lit("none")).alias("side"))
 
 
-RULES = {"raw": Y.ReplayRules("raw", p_level=0.5), "kelly": Y.ReplayRules("kelly", sizing="kelly", p_level=0.5)}
+RULES = [Y.ReplayRules("raw", p_level=0.5), Y.ReplayRules("kelly", sizing="kelly", p_level=0.5)]
 
 
 def replayed(t):
     df, _m = R.walk_forward(panel_of(t), PLAN)
-    rows = Y.gated(df, RULES["raw"]).unionByName(Y.gated(df, RULES["kelly"]))
-    return Y.replay(rows, RULES)
+    return Y.replay(Y.gated(df, RULES), RULES)
 
 
 @query("r09_trade_replay")
