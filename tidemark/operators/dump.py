@@ -78,7 +78,7 @@ def cap_comments(comments: DataFrame, cap: int) -> DataFrame:
 
 def group_comments(comments: DataFrame) -> DataFrame:
     """Capped comments as one ordered list per submission."""
-    entry = F.struct("place", "author", "score", "created", "body", "link")
+    entry = F.struct("place", "author", "score", "created", "body", "link", clean_dump_text("body").alias("clean"))
     return comments.groupBy("submission_id").agg(F.sort_array(F.collect_list(entry)).alias("raw"))
 
 
@@ -97,17 +97,12 @@ def build_documents(
         raw, "submission_id", "left"
     )
     raw_list = F.coalesce("raw", F.array().cast(raw.schema["raw"].dataType))
-    lines = F.filter(
-        F.transform(
-            raw_list,
-            lambda c: F.struct(clean_dump_text(c["body"]).alias("t"), c["score"].alias("s")),
-        ),
-        lambda c: (c["t"] != "") & ~c["t"].isin(*REMOVED_MARKERS),
-    )
+    told = F.filter(raw_list, lambda c: (c["clean"] != "") & ~c["clean"].isin(*REMOVED_MARKERS))
     comment_lines = F.transform(
-        lines, lambda c: scored_line(c["t"], c["s"], "Top level comment", with_scores)
+        told, lambda c: scored_line(c["clean"], c["score"], "Top level comment", with_scores)
     )
-    body = clean_dump_text(strip(F.coalesce("text", F.lit(""))))
+    joined = joined.withColumn("_body", clean_dump_text(strip(F.coalesce("text", F.lit("")))))
+    body = F.col("_body")
     body_line = F.when(body != "", F.array(scored_line(body, F.col("score"), "Submission body", with_scores)))
     entries = comment_lines
     if include_body:

@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.text import SPACE_PATTERN, strip, word_count, words
+from tidemark.functions.text import (
+    WHITE_SPACE, blanks_only, count_capitals, count_chars, count_segments, strip, words,
+)
 
 # --- fixed values: word lists, patterns and titles that decide the features ---
 TICKERS = (
@@ -19,7 +21,9 @@ TICKERS = (
     "ADBE", "NFLX", "CRM", "NKE", "DHR", "TXN", "NEE", "RTX", "QCOM", "ORCL", "CMCSA", "AMD", "INTC", "IBM", "UBER",
     "PYPL", "SHOP", "SQ", "ROKU", "ZM", "PTON",
 )
-TICKER_PATTERNS = (r"\$[A-Z]{1,5}\b", r"\b[A-Z]{1,5}(?=\s|$)", r"\b[A-Z]{2,5}(?=\s+stock)")
+# a dollar symbol anywhere, or a standalone word before white space or the end; "XYZ stock" is a case of the latter
+TICKER_PATTERN = r"(?U)\$[A-Z]{1,5}\b|\b[A-Z]{1,5}(?= |$)"
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HIGH_WORDS = (
     "buy", "sell", "hold", "calls", "puts", "options", "shares", "stock", "stocks", "position", "portfolio", "investment",
     "trading", "ticker", "earnings", "dividend", "bull", "bear", "bullish", "bearish", "long", "short",
@@ -49,6 +53,8 @@ THREAD_TITLES = {
 }
 SCORE_PATTERN = r"\(score (-?\d+)\)"
 GOOD_SCORE = 5
+# at least two characters between blanks, some capital and no lower-case letter
+CAPS_WORD = r"(?<![^ ])(?=[^ ]*\p{IsUppercase})[^ \p{IsLowercase}]{2,}(?![^ ])"
 
 Extractor = Callable[[], dict[str, Column]]
 
@@ -69,11 +75,22 @@ def lowered() -> Column:
     return F.col("_lower")
 
 
+def all_words() -> Column:
+    return F.col("_words")
+
+
+def title_words() -> Column:
+    return F.size(words(title()))
+
+
 def _prepared(docs: DataFrame) -> DataFrame:
-    head = F.coalesce("title", F.lit(""))
-    body = F.coalesce("comments", F.array().cast("array<string>"))
-    text = F.concat(head, F.lit(" "), F.array_join(body, " "))
-    return docs.withColumns({"_title": head, "_comments": body, "_text": text, "_lower": F.lower(text)})
+    """Shared inputs, computed once per row."""
+    docs = docs.withColumns({
+        "_title": F.coalesce("title", F.lit("")),
+        "_comments": F.coalesce("comments", F.array().cast("array<string>")),
+    })
+    docs = docs.withColumn("_text", F.concat(title(), F.lit(" "), F.array_join(comments(), " ")))
+    return docs.withColumns({"_lower": F.lower(all_text()), "_words": words(all_text())})
 
 
 def _hits(text: Column, needles) -> Column:
@@ -87,26 +104,28 @@ def _ratio(part: Column, whole: Column) -> Column:
     return part / F.greatest(whole, F.lit(1))
 
 
-def tickers_in(text: Column, known, patterns=TICKER_PATTERNS, any_case: bool = True) -> Column:
-    """Known symbols found in a text; any case counts unless switched off."""
-    flag = "(?iU)" if any_case else "(?U)"
-    found = [F.regexp_extract_all(text, F.lit(flag + p), F.lit(0)) for p in patterns]
-    plain = F.transform(F.concat(*found), lambda m: F.upper(F.replace(m, F.lit("$"), F.lit(""))))
-    return F.array_intersect(plain, F.array(*[F.lit(k) for k in known]))
+def tickers_in(text: Column, known, any_case: bool = True) -> Column:
+    """Known symbols found in a text, as written with or without a dollar; one pass over the text."""
+    plain = F.translate(text, LOWER + WHITE_SPACE, UPPER + " " * len(WHITE_SPACE)) if any_case else blanks_only(text)
+    candidates = F.regexp_extract_all(plain, F.lit(TICKER_PATTERN), F.lit(0))
+    return F.array_intersect(candidates, F.array(*[F.lit(form) for k in known for form in (k, f"${k}")]))
+
 
+def ticker_features(known=TICKERS, any_case: bool = True) -> Extractor:
+    def symbols(hits):
+        return F.array_distinct(F.transform(hits, lambda m: F.ltrim(m, F.lit("$"))))
 
-def ticker_features(known=TICKERS) -> Extractor:
     def columns():
-        found = F.size(tickers_in(all_text(), known))
-        explicit = F.size(tickers_in(all_text(), known, TICKER_PATTERNS[:1]))
-        in_title = F.size(tickers_in(title(), known))
+        hits = tickers_in(all_text(), known, any_case)
+        found = F.size(symbols(hits))
+        in_title = F.size(symbols(tickers_in(title(), known, any_case)))
         return {
             "ticker_count": found,
-            "explicit_ticker_count": explicit,
+            "explicit_ticker_count": F.size(F.filter(hits, lambda m: m.startswith("$"))),
             "ticker_in_title": in_title > 0,
-            "ticker_density": _ratio(found, word_count(all_text())) * 100,
+            "ticker_density": _ratio(found, F.size(all_words())) * 100,
             "unique_tickers": found,
-            "ticker_title_ratio": _ratio(in_title, word_count(title())),
+            "ticker_title_ratio": _ratio(in_title, title_words()),
         }
 
     return columns
@@ -123,9 +142,9 @@ def keyword_features() -> dict[str, Column]:
         "medium_relevance_keywords": medium,
         "low_relevance_keywords": low,
         "total_keyword_count": total,
-        "keyword_density": _ratio(total, word_count(all_text())) * 100,
+        "keyword_density": _ratio(total, F.size(all_words())) * 100,
         "title_keyword_count": in_title,
-        "title_keyword_density": _ratio(in_title, word_count(title())) * 100,
+        "title_keyword_density": _ratio(in_title, title_words()) * 100,
         "unique_keyword_ratio": total / len(every),
     }
 
@@ -135,7 +154,7 @@ def psychology_features() -> dict[str, Column]:
     return {
         "psychology_keyword_count": _hits(text, PSYCHOLOGY_WORDS),
         "advice_pattern_count": _hits(text, ADVICE_PHRASES),
-        "question_count": F.regexp_count(text, F.lit(r"\?")),
+        "question_count": count_chars(text, "?"),
         "help_seeking_count": _hits(text, HELP_WORDS),
         "uncertainty_indicators": _hits(text, UNCERTAIN_WORDS),
         "emotional_language_count": _hits(text, EMOTION_WORDS),
@@ -153,7 +172,7 @@ def structure_features(with_score: bool = False) -> Extractor:
             "comment_count": n,
             "avg_comment_length": _ratio(in_comments, n),
             "submission_score": F.coalesce("original_score", F.lit(0)) if with_score else F.lit(0),
-            "title_word_count": word_count(title()),
+            "title_word_count": title_words(),
             "text_to_title_ratio": _ratio(F.length(title()) + in_comments, F.length(title())),
             "has_submission_body": F.coalesce(first.startswith("Submission body:"), F.lit(False)),
         }
@@ -188,22 +207,20 @@ def engagement_features() -> dict[str, Column]:
 
 def quality_features() -> dict[str, Column]:
     text = all_text()
-    every = words(text)
-    n = F.size(every)
-    sentences = F.size(F.filter(F.split(text, "[.!?]+"), lambda s: strip(s) != ""))
-    letters = F.aggregate(every, F.lit(0).cast("bigint"), lambda acc, w: acc + F.length(w))
-    caps = F.filter(every, lambda w: (F.length(w) > 1) & w.rlike(r"\p{IsUppercase}") & ~w.rlike(r"\p{IsLowercase}"))
+    n = F.size(all_words())
+    sentences = count_segments(text, ".!?")
+    letters = F.length(F.translate(text, WHITE_SPACE, ""))
     columns = {
-        "uppercase_ratio": F.regexp_count(text, F.lit(r"\p{IsUppercase}")) / F.length(text),
-        "punctuation_density": F.regexp_count(text, F.lit("[.,!?;:]")) / F.length(text),
+        "uppercase_ratio": count_capitals(text) / F.length(text),
+        "punctuation_density": count_chars(text, ".,!?;:") / F.length(text),
         "avg_word_length": _ratio(letters, n),
-        "unique_word_ratio": _ratio(F.size(F.array_distinct(every)), n),
+        "unique_word_ratio": _ratio(F.size(F.array_distinct(all_words())), n),
         "sentence_count": sentences,
         "avg_sentence_length": _ratio(F.length(text), sentences),
-        "exclamation_count": F.regexp_count(text, F.lit("!")),
-        "caps_word_count": F.size(caps),
+        "exclamation_count": count_chars(text, "!"),
+        "caps_word_count": F.regexp_count(blanks_only(text), F.lit(CAPS_WORD)),
     }
-    blank = strip(text) == ""
+    blank = n == 0
     return {k: F.when(blank, 0).otherwise(c) for k, c in columns.items()}
 
 
@@ -233,7 +250,7 @@ def extract(docs: DataFrame, extractors: dict[str, Extractor] | None = None) ->
     for columns in (extractors or default_extractors(with_score=with_score)).values():
         named.update(columns())
     out = out.select("*", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in named.items()])
-    return out.drop("_title", "_comments", "_text", "_lower")
+    return out.drop("_title", "_comments", "_text", "_lower", "_words")
 
 
 def feature_names(extractors: dict[str, Extractor] | None = None) -> list[str]:

@@ -124,23 +124,31 @@ def features(panel: DataFrame, plan: WalkForward) -> DataFrame:
 def _fan_out(df: DataFrame, plan: WalkForward) -> DataFrame:
     """Each training row once per (horizon, refit k) whose window holds it."""
     outcome = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("y")) for h in plan.horizons])
-    rows = df.select("ticker", "date", "idx", "n_rows", "total_mentions", *[f"ema_{s}" for s in plan.spans], F.inline(outcome))
+    if plan.mentions_only:
+        df = df.where("total_mentions >= 1")
+    # where a value was last seen tells whether it is new in a window, so distinct values are a plain count
+    df = df.withColumns({
+        f"seen_{s}": F.lag("idx").over(Window.partitionBy("ticker", f"ema_{s}").orderBy("idx")) for s in plan.spans
+    })
+    rows = df.select("ticker", "date", "idx", "n_rows", "total_mentions", *[f"{c}_{s}" for s in plan.spans for c in ("ema", "seen")],
+                     F.inline(outcome))
     soonest = F.col("idx") + plan.embargo + F.col("horizon") - plan.first_refit
     first = F.greatest(F.ceil(soonest / plan.refit), F.lit(0))
     last = F.least(
         F.floor((soonest + plan.window) / plan.refit),
         F.floor((F.col("n_rows") - 1 - F.col("horizon") - plan.first_refit) / plan.refit),
     )
-    rows = rows.where(first <= last)
-    if plan.mentions_only:
-        rows = rows.where("total_mentions >= 1")
-    return rows.withColumn("k", F.explode(F.sequence(first, last)))
+    rows = rows.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
+    return rows.withColumn("since", _last_training_row(plan) - plan.window)
+
+
+def _last_training_row(plan: WalkForward) -> Column:
+    return F.col("k") * plan.refit + plan.first_refit - plan.embargo - F.col("horizon")
 
 
 def _train_length(plan: WalkForward) -> Column:
     """Rows of the training window before any filter; windows are cut at the first row."""
-    last = F.col("k") * plan.refit + plan.first_refit - plan.embargo - F.col("horizon")
-    return F.least(last, F.lit(plan.window)) + 1
+    return F.least(_last_training_row(plan), F.lit(plan.window)) + 1
 
 
 def candidate_fits(df: DataFrame, plan: WalkForward) -> DataFrame:
@@ -155,7 +163,8 @@ def candidate_fits(df: DataFrame, plan: WalkForward) -> DataFrame:
             aggs += ols_inputs(y, x, f"_{s}") + [
                 F.stddev_pop(x).alias(f"x_std_{s}"),
                 F.avg(F.when(F.abs(x) > NONZERO, 1.0).otherwise(0.0)).alias(f"share_nonzero_{s}"),
-                F.size(F.collect_set(x)).alias(f"n_unique_{s}"),
+                F.count(F.when(x.isNotNull() & (F.coalesce(f"seen_{s}", F.lit(-1)) < F.greatest("since", F.lit(0))), 1))
+                .cast("int").alias(f"n_unique_{s}"),
                 F.min(both).alias(f"train_start_{s}"), F.max(both).alias(f"train_end_{s}"),
             ]
         sums = fanned.groupBy("ticker", "k", "horizon").agg(*aggs)
