@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import (
-    WHITE_SPACE, blanks_only, count_capitals, count_chars, count_segments, strip, words,
+    count_capitals, count_chars, count_segments, words,
 )
 
 # --- fixed values: word lists, patterns and titles that decide the features ---
@@ -22,8 +22,7 @@ TICKERS = (
     "PYPL", "SHOP", "SQ", "ROKU", "ZM", "PTON",
 )
 # a dollar symbol anywhere, or a standalone word before white space or the end; "XYZ stock" is a case of the latter
-TICKER_PATTERN = r"(?U)\$[A-Z]{1,5}\b|\b[A-Z]{1,5}(?= |$)"
-LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+TICKER_PATTERN = r"(?U)\$[A-Z]{1,5}\b|\b[A-Z]{1,5}(?=\s|$)"
 HIGH_WORDS = (
     "buy", "sell", "hold", "calls", "puts", "options", "shares", "stock", "stocks", "position", "portfolio", "investment",
     "trading", "ticker", "earnings", "dividend", "bull", "bear", "bullish", "bearish", "long", "short",
@@ -33,6 +32,7 @@ MEDIUM_WORDS = (
     "upgrade", "downgrade",
 )
 LOW_WORDS = ("market", "economy", "economic", "news", "report", "quarter", "annual")
+KEYWORDS = HIGH_WORDS + MEDIUM_WORDS + LOW_WORDS
 PSYCHOLOGY_WORDS = (
     "psychology", "psychological", "emotion", "emotional", "fear", "greed", "anxiety", "stress", "worried", "nervous",
     "confidence", "doubt",
@@ -54,11 +54,14 @@ THREAD_TITLES = {
 SCORE_PATTERN = r"\(score (-?\d+)\)"
 GOOD_SCORE = 5
 # at least two characters between blanks, some capital and no lower-case letter
-CAPS_WORD = r"(?<![^ ])(?=[^ ]*\p{IsUppercase})[^ \p{IsLowercase}]{2,}(?![^ ])"
+CAPS_WORD = r"(?U)(?<!\S)(?=\S*\p{IsUppercase})[^\s\p{IsLowercase}]{2,}(?!\S)"
 
 Extractor = Callable[[], dict[str, Column]]
 
 
+_HELPERS = ("_title", "_comments", "_text", "_lower", "_words", "_high", "_medium", "_low", "_in_title", "_sentences")
+
+
 def title() -> Column:
     return F.col("_title")
 
@@ -90,10 +93,17 @@ def _prepared(docs: DataFrame) -> DataFrame:
         "_comments": F.coalesce("comments", F.array().cast("array<string>")),
     })
     docs = docs.withColumn("_text", F.concat(title(), F.lit(" "), F.array_join(comments(), " ")))
-    return docs.withColumns({"_lower": F.lower(all_text()), "_words": words(all_text())})
+    docs = docs.withColumns({"_lower": F.lower(all_text()), "_words": words(all_text())})
+    head = F.lower(title())
+    # counts that several features share
+    return docs.withColumns({
+        "_high": _hits(lowered(), HIGH_WORDS), "_medium": _hits(lowered(), MEDIUM_WORDS), "_low": _hits(lowered(), LOW_WORDS),
+        "_in_title": _hits(head, KEYWORDS), "_sentences": count_segments(all_text(), ".!?"),
+    })
 
 
 def _hits(text: Column, needles) -> Column:
+    """How many needles occur; plain substring tests beat one large pattern several times over."""
     total = F.lit(0)
     for needle in needles:
         total = total + text.contains(needle).cast("int")
@@ -106,8 +116,10 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 def tickers_in(text: Column, known, any_case: bool = True) -> Column:
     """Known symbols found in a text, as written with or without a dollar; one pass over the text."""
-    plain = F.translate(text, LOWER + WHITE_SPACE, UPPER + " " * len(WHITE_SPACE)) if any_case else blanks_only(text)
-    candidates = F.regexp_extract_all(plain, F.lit(TICKER_PATTERN), F.lit(0))
+    pattern = TICKER_PATTERN.replace("A-Z", "A-Za-z") if any_case else TICKER_PATTERN
+    candidates = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if any_case:
+        candidates = F.split(F.upper(F.array_join(candidates, " ")), " ")
     return F.array_intersect(candidates, F.array(*[F.lit(form) for k in known for form in (k, f"${k}")]))
 
 
@@ -132,20 +144,16 @@ def ticker_features(known=TICKERS, any_case: bool = True) -> Extractor:
 
 
 def keyword_features() -> dict[str, Column]:
-    head = F.lower(title())
-    high, medium, low = (_hits(lowered(), w) for w in (HIGH_WORDS, MEDIUM_WORDS, LOW_WORDS))
-    total = high + medium + low
-    in_title = _hits(head, (*HIGH_WORDS, *MEDIUM_WORDS, *LOW_WORDS))
-    every = set(HIGH_WORDS) | set(MEDIUM_WORDS) | set(LOW_WORDS)
+    total = F.col("_high") + F.col("_medium") + F.col("_low")
     return {
-        "high_relevance_keywords": high,
-        "medium_relevance_keywords": medium,
-        "low_relevance_keywords": low,
+        "high_relevance_keywords": F.col("_high"),
+        "medium_relevance_keywords": F.col("_medium"),
+        "low_relevance_keywords": F.col("_low"),
         "total_keyword_count": total,
         "keyword_density": _ratio(total, F.size(all_words())) * 100,
-        "title_keyword_count": in_title,
-        "title_keyword_density": _ratio(in_title, title_words()) * 100,
-        "unique_keyword_ratio": total / len(every),
+        "title_keyword_count": F.col("_in_title"),
+        "title_keyword_density": _ratio(F.col("_in_title"), title_words()) * 100,
+        "unique_keyword_ratio": total / len(KEYWORDS),
     }
 
 
@@ -206,22 +214,18 @@ def engagement_features() -> dict[str, Column]:
 
 
 def quality_features() -> dict[str, Column]:
-    text = all_text()
-    n = F.size(all_words())
-    sentences = count_segments(text, ".!?")
-    letters = F.length(F.translate(text, WHITE_SPACE, ""))
-    columns = {
+    text, n, sentences = all_text(), F.size(all_words()), F.col("_sentences")
+    letters = F.length(text) - F.regexp_count(text, F.lit(r"(?U)\s"))
+    return {
         "uppercase_ratio": count_capitals(text) / F.length(text),
         "punctuation_density": count_chars(text, ".,!?;:") / F.length(text),
         "avg_word_length": _ratio(letters, n),
         "unique_word_ratio": _ratio(F.size(F.array_distinct(all_words())), n),
         "sentence_count": sentences,
-        "avg_sentence_length": _ratio(F.length(text), sentences),
+        "avg_sentence_length": F.when(n == 0, 0).otherwise(_ratio(F.length(text), sentences)),
         "exclamation_count": count_chars(text, "!"),
-        "caps_word_count": F.regexp_count(blanks_only(text), F.lit(CAPS_WORD)),
+        "caps_word_count": F.regexp_count(text, F.lit(CAPS_WORD)),
     }
-    blank = n == 0
-    return {k: F.when(blank, 0).otherwise(c) for k, c in columns.items()}
 
 
 def thread_flags() -> dict[str, Column]:
@@ -250,7 +254,7 @@ def extract(docs: DataFrame, extractors: dict[str, Extractor] | None = None) ->
     for columns in (extractors or default_extractors(with_score=with_score)).values():
         named.update(columns())
     out = out.select("*", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in named.items()])
-    return out.drop("_title", "_comments", "_text", "_lower", "_words")
+    return out.drop(*_HELPERS)
 
 
 def feature_names(extractors: dict[str, Extractor] | None = None) -> list[str]:
