@@ -35,7 +35,7 @@ def locate_comments(comments: DataFrame) -> DataFrame:
         F.when(F.col("found"), F.array(F.col("pos"))).otherwise(
             F.array().cast("array<bigint>")).alias("path"),
         # a comment is settled once it points at the end of its chain
-        F.col("found").isNull().alias("settled"),
+        F.col("found").isNull().alias("settled"), F.col("found").isNull().alias("end"),
     )
     state = cut_lineage(state)
     left, before = state.where("not settled").count(), -1
@@ -43,7 +43,7 @@ def locate_comments(comments: DataFrame) -> DataFrame:
         target = state.select(
             "submission_id", F.col("id").alias("at"), F.col("at").alias("next"),
             F.col("hops").alias("more"), F.col("path").alias("upper"),
-            (F.col("at") == F.col("id")).alias("is_end"),
+            F.col("end").alias("is_end"),
         )
         moved = (
             state.where("not settled")
@@ -53,17 +53,18 @@ def locate_comments(comments: DataFrame) -> DataFrame:
                 F.when(F.col("is_end"), F.col("at")).otherwise(F.col("next")).alias("at"),
                 (F.col("hops") + F.col("more")).alias("hops"),
                 F.concat("upper", "path").alias("path"),
-                F.col("is_end").alias("settled"),
+                F.col("is_end").alias("settled"), F.lit(False).alias("end"),
             )
         )
         state = cut_lineage(state.where("settled").unionByName(moved))
         left, before = state.where("not settled").count(), left
-    ends = state.where("settled and at = id").select("submission_id", F.col("id").alias("at"),
+    ends = state.where("end").select("submission_id", F.col("id").alias("at"),
                                                      F.col("top").alias("rooted"))
     located = state.join(ends, ["submission_id", "at"], "left").select(
         "submission_id", "id",
-        F.when(F.col("rooted"), F.col("at")).alias("root"), "path",
-        F.when(F.col("rooted") & (F.col("hops") <= DEPTH_CAP), F.col("hops") + 1)
+        F.when(F.col("settled") & F.col("rooted"), F.col("at")).alias("root"), "path",
+        F.when(~F.col("settled"), DEPTH_CAP)  # a circle has no end
+        .when(F.col("rooted") & (F.col("hops") <= DEPTH_CAP), F.col("hops") + 1)
         .otherwise(F.least("hops", F.lit(DEPTH_CAP))).alias("depth"),
     )
     return comments.join(located, ["submission_id", "id"])
