@@ -108,22 +108,27 @@ OUTPUT_LINE = """custom_id string, response struct<body: struct<error: string, c
 
 def parse_outputs(lines: DataFrame) -> DataFrame:
     """Output lines (column ``value``) to one row per extraction; bad ids, errors and bad JSON go."""
-    line = lines.select(F.from_json("value", OUTPUT_LINE).alias("r")).select("r.custom_id", "r.response.body")
-    good = line.where(F.col("body.error").isNull()).select("custom_id", F.try_element_at(
-        F.col("body.choices"), F.lit(1))["message"]["tool_calls"].alias("calls"))
-    arguments = F.try_element_at(F.col("calls"), F.lit(1))["function"]["arguments"]
-    return parse_arguments(good.select("custom_id", arguments.alias("arguments")))
+    line = lines.select(F.from_json("value", OUTPUT_LINE).alias("r")).select(
+        "r.custom_id", F.col("r.response.body").alias("body")
+    )
+    calls = F.try_element_at("body.choices", F.lit(1))["message"]["tool_calls"]
+    arguments = F.try_element_at(calls, F.lit(1))["function"]["arguments"]
+    return parse_arguments(line.select("custom_id", F.when(F.col("body.error").isNull(), arguments).alias("arguments")))
 
 
 def parse_arguments(answers: DataFrame) -> DataFrame:
+    """One row per readable extraction.
+
+    Bad rows fall out in a generator. A filter would be pushed below the parser and parse again.
+    """
     date, sid = parse_request_id(F.col("custom_id"))
-    parsed = answers.select(
+    parsed = answers.select("custom_id", F.from_json("arguments", EXTRACTION).alias("e")).select(
         date.alias("date"), sid.alias("submission_id"),
-        F.regexp_extract("custom_id", r"_c(\d+)$", 1).try_cast("bigint").alias("extraction_pos"),
-        F.from_json("arguments", EXTRACTION).alias("e"),
+        F.regexp_extract("custom_id", r"_c(\d+)$", 1).try_cast("bigint").alias("extraction_pos"), "e",
     )
-    ok = F.col("e.sentiments").isNotNull() & F.forall("e.sentiments", valid_sentiment)
-    return parsed.where(F.col("date").isNotNull() & ok).select("date", "submission_id", "extraction_pos", "e.*")
+    ok = F.col("date").isNotNull() & F.col("e.sentiments").isNotNull() & F.forall("e.sentiments", valid_sentiment)
+    names = ("date", "submission_id", "extraction_pos", "e.primary_ticker", "e.sentiments", "e.ticker_relationships")
+    return parsed.select(F.inline(F.when(ok, F.array(F.struct(*names)))))
 
 
 def valid_sentiment(s: Column) -> Column:
