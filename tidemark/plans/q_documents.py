@@ -15,7 +15,7 @@ TEMPLATE = "Title: {title}\nBody: {body}\nComments: {comment}"
 
 def sig(c):
     """Length and digest of a text, which keeps results small and exact."""
-    return [F.length(c).alias("size"), F.md5(c.cast("binary")).alias("digest")]
+    return [F.length(c).cast("bigint").alias("size"), F.md5(c.cast("binary")).alias("digest")]
 
 
 def _sig(sql):
@@ -224,7 +224,7 @@ def _(t):
     "select link, length(coalesce(text, '')) as size from csv_submissions where coalesce(title, '') not in ('[removed]', '[deleted]') and coalesce(text, '') not in ('[removed]', '[deleted]')",
     "csv_submissions"))
 def _(t):
-    return D.drop_removed(t.csv_submissions, "title", "text").select("link", F.length("text").alias("size"))
+    return D.drop_removed(t.csv_submissions, "title", "text").select("link", F.length("text").cast("bigint").alias("size"))
 
 
 @query("j02_orphan_comments", with_views("select link from coms where sid in (select sid from subs)", "csv_submissions", "csv_comments",
@@ -270,7 +270,7 @@ def _(t):
     subs, coms = clean_rows(t)
     docs = D.build_documents(subs, coms, cap=_CAP)
     return docs.select(
-        "submission_id", F.length("title").alias("title_size"), F.md5("title").alias("title_digest"), "date",
+        "submission_id", F.length("title").cast("bigint").alias("title_size"), F.md5("title").alias("title_digest"), "date",
         "metadata.original_score", F.md5(F.array_join("comments", "\n")).alias("comments_digest"),
         "metadata.comment_count", "metadata.valid_comment_count",
         F.col("metadata.data_quality.processing_success_rate").alias("success_rate"))

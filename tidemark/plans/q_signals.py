@@ -20,8 +20,8 @@ def with_p(source):
     return f"select * exclude (th), {_T_P.format(v='(n - 2)')} as p_value from (select *, atan(abs(t_stat) / sqrt(n - 2)) as th from {source} where n > 2 and t_stat is not null)"
 
 
-_OLS = """regr_count({y}, {x}) as n, regr_slope({y}, {x}) as coefficient, regr_intercept({y}, {x}) as intercept, regr_r2({y}, {x}) as r_squared,
- regr_slope({y}, {x}) * sqrt((regr_count({y}, {x}) - 2) * regr_sxx({y}, {x}) / nullif(regr_syy({y}, {x}) - regr_slope({y}, {x}) * regr_sxy({y}, {x}), 0)) as t_stat"""
+_OLS = """regr_count({y}, {x})::bigint as n, regr_slope({y}, {x}) as coefficient, regr_intercept({y}, {x}) as intercept, regr_r2({y}, {x}) as r_squared,
+ regr_slope({y}, {x}) * sqrt((regr_count({y}, {x})::bigint - 2) * regr_sxx({y}, {x}) / nullif(regr_syy({y}, {x}) - regr_slope({y}, {x}) * regr_sxy({y}, {x}), 0)) as t_stat"""
 OLS = _OLS.format(y="y", x="x")
 
 
