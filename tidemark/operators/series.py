@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.finance import net_conviction, signed_log
+from tidemark.session import steady_partitions
 
 PRICE_COLUMNS = ("open", "high", "low", "close", "volume")
 VANISHING = 1e-18  # weight below which an older value cannot change a double
@@ -45,14 +46,12 @@ def stock_panel(sentiment: DataFrame, prices: DataFrame, start: str, end: str,
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
     measures = [c for c in sentiment.columns if c not in ("ticker", "date")]
     have_prices = [c for c in PRICE_COLUMNS if c in prices.columns]
-    # a fixed partition count: later steps multiply these rows, so small inputs must not be merged
-    parts = int(prices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stacked = (
         sentiment.withColumn("told", F.lit(True))
         .unionByName(prices.select("ticker", "date", *have_prices).withColumn("priced", F.lit(True)),
                      allowMissingColumns=True)
         .where(F.col("date").between(lo, hi))
-        .repartition(parts, F.col("ticker"))
+        .repartition(steady_partitions(prices.sparkSession), F.col("ticker"))
     )
     merged = stacked.groupBy("ticker", "date").agg(
         *[F.max(c).alias(c) for c in [*measures, *have_prices, "told", "priced"]]
