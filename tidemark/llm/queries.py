@@ -30,3 +30,10 @@ def op1_exact_dedup(spark, sf_dir):
     from tidemark.llm.exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op2_sharding")
+def op2_sharding(spark, sf_dir):
+    from tidemark.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"), shards=40)
