@@ -37,3 +37,24 @@ def op2_sharding(spark, sf_dir):
     from tidemark.llm.sharding import assign_shards
 
     return assign_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
+@register("op4_decontaminate", r"""
+with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+b as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+g as (select distinct item_id, len(w[p:p + 12]) as n, array_to_string(w[p:p + 12], ' ') as gram from (select item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) as p from b where len(w) > 0)),
+n as (select distinct n from g),
+h as (select x.doc_id, x.p, x.n, g.item_id from (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as gram from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as p from d, n where len(w) >= n)) x
+ join g on x.gram = g.gram),
+c as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(generate_series(p, p + n - 1)) as q from h) group by 1),
+i as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as s from (select distinct doc_id, cast(item_id as varchar) as s from h) group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256,
+ coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join c on d.doc_id = c.doc_id left join i on d.doc_id = i.doc_id""")
+def op4_decontaminate(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.decontaminate import find_contamination
+
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
