@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import landed, running_total, slice_count, slice_of
+from tidemark.llm.common import running_total, slice_count, slice_of
 from tidemark.session import cut_lineage
 
 _CLUSTER = ["key", "chunk"]
@@ -94,10 +94,10 @@ def assign_shards(docs: DataFrame, shards: int = 40, rounds: int = 5, id_col: st
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     slices = slice_count(spark)
-    base = landed(docs.select(
+    base = cut_lineage(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.md5(text).alias("text_key"), F.monotonically_increasing_id().alias("row"),
-        slice_of([F.col(id_col)], slices).alias("slice")), "shard-rows")
+        slice_of([F.col(id_col)], slices).alias("slice")))
 
     # members of a group per slice, their place in the group; rows without links form the group ''
     group = Window.partitionBy("text_key")
@@ -116,10 +116,10 @@ def assign_shards(docs: DataFrame, shards: int = 40, rounds: int = 5, id_col: st
         merged.select("key", "slice", "off"), ["key", "slice"])
     inside = Window.partitionBy("key", "slice").orderBy("doc_id", "row")
     ranked = ranked.withColumn("rank", F.col("off") + F.row_number().over(inside) - 1)
-    ranked = landed(ranked.select(
+    ranked = cut_lineage(ranked.select(
         "doc_id", "size", "text_crc32", "row", "key", "slice",
         F.when(F.col("key") == "", F.lit(0)).otherwise(F.floor(F.col("rank") / most)).cast("long").alias("chunk"),
-        F.when(F.col("key") == "", F.col("rank")).otherwise(F.col("rank") % most).cast("long").alias("place")), "shard-ranks")
+        F.when(F.col("key") == "", F.col("rank")).otherwise(F.col("rank") % most).cast("long").alias("place")))
 
     start = F.pmod(F.xxhash64("doc_id", "row", F.lit("start")), F.lit(shards)).cast("int")
     cells = ranked.where("key <> ''").groupBy(*_CLUSTER, start.alias("shard")).agg(F.count("*").alias("n"))
