@@ -58,3 +58,10 @@ def op4_decontaminate(spark, sf_dir):
 
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@register("op10_url_filter")
+def op10_url_filter(spark, sf_dir):
+    from tidemark.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
