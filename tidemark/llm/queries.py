@@ -65,3 +65,13 @@ def op10_url_filter(spark, sf_dir):
     from tidemark.llm.url_filter import judge_urls
 
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@register("op6_pii")
+def op6_pii(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.pii import KINDS, find_pii
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
