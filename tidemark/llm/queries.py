@@ -75,3 +75,13 @@ def op6_pii(spark, sf_dir):
 
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@register("op3_simhash")
+def op3_simhash(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.simhash import near_groups
+
+    groups = near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
