@@ -85,3 +85,12 @@ def op3_simhash(spark, sf_dir):
 
     groups = near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op7_packing")
+def op7_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from tidemark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), room=1024)
