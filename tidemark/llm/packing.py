@@ -71,10 +71,10 @@ def pieces_column(tokenizer: str, room: int):
 def _knapsack(price: np.ndarray, count: np.ndarray, room: int) -> Counter:
     """Lengths of the most valuable sequence: a dynamic program over the fill level.
 
-    A length is taken at most as often as it occurs. ``price`` is per length; density order keeps the
-    program to the lengths that can matter.
+    A length is taken at most as often as ``count`` says. Lengths enter from the longest down, so ties keep
+    long pieces, and short ones are left to fill gaps.
     """
-    lengths = np.flatnonzero(count)
+    lengths = np.flatnonzero(count)[::-1]
     value = np.zeros(room + 1)
     took = np.zeros((len(lengths), room + 1), dtype=np.int16)
     for i, length in enumerate(lengths):
@@ -99,30 +99,28 @@ def _knapsack(price: np.ndarray, count: np.ndarray, room: int) -> Counter:
     return config
 
 
-def solve_configurations(count: np.ndarray, room: int, rounds: int = 160, eps: float = 0.25) -> dict[tuple, float]:
-    """Approximate covering program: weights of configurations (sorted tuples of lengths) that cover ``count``.
+def solve_configurations(count: np.ndarray, room: int, rounds: int = 160, eps: float = 0.5) -> dict[tuple, float]:
+    """Weights of configurations (sorted tuples of lengths) that approximately cover ``count``.
 
-    Multiplicative weights on the lengths: each round the knapsack prices the best configuration at the
-    current weights, it enters with the step that covers its scarcest length a share further, and the
-    weights of what it covers fall. The result is scaled so that every length is covered.
+    Multiplicative weights: lengths start at their share of the room, which is their price where nothing
+    is wasted. Each round the knapsack finds the best configuration at the current weights, it enters with
+    the largest step that covers no length twice, and the weights of what it covers fall with the share
+    covered.
     """
     demand = count.astype(float)
-    use = np.flatnonzero(count)
-    covered = np.zeros(room + 1)
+    left = demand.copy()
+    weight = np.where(count > 0, np.arange(room + 1) / room, 0.0)
     chosen: Counter = Counter()
     for _ in range(rounds):
-        slack = np.zeros(room + 1)
-        slack[use] = covered[use] / demand[use]
-        if slack[use].min() >= 1:
+        whole = np.floor(left + 1e-9).astype(np.int64)
+        config = _knapsack(weight, whole, room)
+        if not config:
             break
-        weight = np.zeros(room + 1)
-        weight[use] = np.exp(-(slack[use] - slack[use].min()) / eps) / demand[use]
-        price = weight * (slack < 1)
-        config = _knapsack(price, np.where(slack < 1, count, 0), room)
-        step = min(max(1.0, (demand[length] - covered[length]) / k) for length, k in config.items())
+        step = min(left[length] / k for length, k in config.items())
         chosen[tuple(sorted(config.elements(), reverse=True))] += step
         for length, k in config.items():
-            covered[length] += k * step
+            left[length] -= k * step
+            weight[length] *= np.exp(-eps * k * step / demand[length])
     return dict(chosen)
 
 
