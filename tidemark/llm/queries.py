@@ -94,3 +94,12 @@ def op7_packing(spark, sf_dir):
     from tidemark.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), room=1024)
+
+
+@register("op9_token_counts")
+def op9_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from tidemark.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
