@@ -26,15 +26,16 @@ def slice_of(columns: list[Column], count: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("slice"), *columns), F.lit(count)).cast("int")
 
 
-def running_total(df: DataFrame, group: list[str], order: list[str], weight: Column, out: str) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], order: list[str], weight: Column, out: str,
+                  together: int | None = None) -> DataFrame:
     """Exclusive running total of ``weight`` inside each group, in an order fixed by ``order``.
 
-    Slice totals first, then sums inside a slice, so no task sees a whole group.
-    Group and order columns must not be null.
+    Slice totals first, then sums inside a slice, so no task sees a whole group. Rows that agree in the
+    first ``together`` order columns are neighbours. Group and order columns must not be null.
     """
     spark = df.sparkSession
     rows = df.withColumn("_rt_w", weight.cast("long")).withColumn(
-        "_rt_slice", slice_of([F.col(c) for c in order], slice_count(spark)))
+        "_rt_slice", slice_of([F.col(c) for c in order[:together]], slice_count(spark)))
     before = Window.partitionBy(*group).orderBy("_rt_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(*group, "_rt_slice").agg(F.sum("_rt_w").alias("_rt_n")).select(
         *group, "_rt_slice", F.coalesce(F.sum("_rt_n").over(before), F.lit(0)).alias("_rt_off"))

@@ -24,9 +24,11 @@ def _merged(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*_CLUSTER, "shard").agg(F.sum("n").alias("n"))
 
 
-def _loads(cells: DataFrame) -> tuple[dict[int, int], int]:
-    rows = cells.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("cells")).collect()  # one row per shard
-    return {r["shard"]: r["n"] for r in rows}, sum(r["cells"] for r in rows)
+def _loads(cells: DataFrame) -> tuple[dict[int, int], list]:
+    """Rows per shard, and what changes with every round that moves something."""
+    rows = cells.groupBy("shard").agg(
+        F.sum("n").alias("n"), F.count("*").alias("cells"), F.sum(F.col("n") * F.col("n")).alias("squares")).collect()  # one row per shard
+    return {r["shard"]: r["n"] for r in rows}, sorted(map(tuple, rows))
 
 
 def propagate(cells: DataFrame, quota: dict[int, int], shards: int, rounds: int) -> DataFrame:
@@ -35,9 +37,9 @@ def propagate(cells: DataFrame, quota: dict[int, int], shards: int, rounds: int)
     A cell is the number of a cluster's members with one label; members of a cluster are all linked with
     each other, so votes are cell counts. The wanted shard is that with the largest reach: members there
     plus members that still fit. A wish is granted in part where the shard's free quota ends, so a round
-    never overfills a shard. Ends early once no cell disappears.
+    never overfills a shard. Ends early once a round moves nothing.
     """
-    load, count = _loads(cells)
+    load, state = _loads(cells)
     for _ in range(rounds):
         free = _per_shard({s: max(0, quota[s] - load.get(s, 0)) for s in quota}, shards)
         mine = Window.partitionBy(*_CLUSTER)
@@ -47,7 +49,7 @@ def propagate(cells: DataFrame, quota: dict[int, int], shards: int, rounds: int)
         voted = voted.withColumn("best", best).withColumn("to", F.col("best.shard"))
         moves = (F.col("shard") != F.col("to")) & (F.col("n") < F.col("best.reach"))
         wishes = running_total(voted.where(moves).select(*_CLUSTER, "shard", "n", "to"), ["to"], ["key", "chunk", "shard"],
-                               F.col("n"), "prior")
+                               F.col("n"), "prior", together=2)
         granted = wishes.withColumn(
             "go", F.greatest(F.lit(0), F.least(F.col("n"), _at(free, F.col("to")) - F.col("prior"))))
         stay = voted.where(~moves).select(*_CLUSTER, "shard", "n")
@@ -55,9 +57,9 @@ def propagate(cells: DataFrame, quota: dict[int, int], shards: int, rounds: int)
         moved = granted.select(*_CLUSTER, F.col("to").alias("shard"), F.col("go").alias("n"))
         cells = cut_lineage(_merged(stay.unionByName(rest).unionByName(moved).where("n > 0")))
         load, now = _loads(cells)
-        if now == count:
+        if now == state:
             break
-        count = now
+        state = now
     return cells
 
 
@@ -82,7 +84,7 @@ def _settle(cells: DataFrame, quota: dict[int, int], shards: int) -> DataFrame:
     return _merged(cells.select(*_CLUSTER, "shard", F.col("keep").alias("n")).unionByName(lands).where("n > 0"))
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, rounds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every row in one of ``shards`` shards, counts at most one apart, equal texts together.
 
     Rows with equal texts (null counts as empty) are linked. Groups above a shard's quota are first cut
