@@ -59,7 +59,7 @@ CAPS_WORD = r"(?U)(?<!\S)(?=\S*\p{IsUppercase})[^\s\p{IsLowercase}]{2,}(?!\S)"
 Extractor = Callable[[], dict[str, Column]]
 
 
-_HELPERS = ("_title", "_comments", "_text", "_lower", "_words", "_high", "_medium", "_low", "_in_title", "_sentences")
+_HELPERS = ("_title", "_comments", "_text", "_lower", "_words", "_high", "_medium", "_low", "_in_title", "_sentences", "_scores")
 
 
 def title() -> Column:
@@ -99,6 +99,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.withColumns({
         "_high": _hits(lowered(), HIGH_WORDS), "_medium": _hits(lowered(), MEDIUM_WORDS), "_low": _hits(lowered(), LOW_WORDS),
         "_in_title": _hits(head, KEYWORDS), "_sentences": count_segments(all_text(), ".!?"),
+        "_scores": _score_sums(),
     })
 
 
@@ -188,28 +189,37 @@ def structure_features(with_score: bool = False) -> Extractor:
     return columns
 
 
-def engagement_features() -> dict[str, Column]:
+def _score_sums() -> Column:
+    """All sums over the comment scores in one pass; squares are taken around the first score."""
     raw = F.transform(comments(), lambda c: F.regexp_extract(c, SCORE_PATTERN, 1))
     scores = F.transform(F.filter(raw, lambda s: s != ""), lambda s: s.cast("bigint"))
-    n = F.size(scores)
+    none, zero = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("n"), none.alias("base"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), none.alias("hi"), none.alias("lo"),
+                     zero.alias("good"), zero.alias("negative"), zero.alias("positive"))
+
+    def step(acc, s):
+        base = F.coalesce(acc["base"], s)
+        off = (s - base).cast("double")
+        return F.struct(
+            (acc["n"] + 1).alias("n"), base.alias("base"), (acc["s"] + off).alias("s"), (acc["q"] + off * off).alias("q"),
+            F.greatest(acc["hi"], s).alias("hi"), F.least(acc["lo"], s).alias("lo"), (acc["good"] + (s >= GOOD_SCORE).cast("bigint")).alias("good"),
+            (acc["negative"] + (s < 0).cast("bigint")).alias("negative"), (acc["positive"] + (s > 0).cast("bigint")).alias("positive"))
 
-    def total(fn):
-        return F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + fn(s))
+    return F.aggregate(scores, start, step)
 
-    def share(fn):
-        return total(lambda s: fn(s).cast("double"))
 
-    mean = F.try_divide(total(lambda s: s), n)
-    hi, lo = F.array_max(scores), F.array_min(scores)
+def engagement_features() -> dict[str, Column]:
+    a = F.col("_scores")
+    n, mean_off = a["n"], F.try_divide(a["s"], a["n"])
     return {
-        "avg_comment_score": mean,
-        "max_comment_score": hi,
-        "min_comment_score": lo,
-        "high_score_comments": share(lambda s: s >= GOOD_SCORE),
-        "negative_score_comments": share(lambda s: s < 0),
-        "score_variance": F.try_divide(total(lambda s: (s - mean) * (s - mean)), n),
-        "score_range": hi - lo,
-        "positive_engagement_ratio": F.try_divide(share(lambda s: s > 0), n),
+        "avg_comment_score": a["base"] + mean_off,
+        "max_comment_score": a["hi"],
+        "min_comment_score": a["lo"],
+        "high_score_comments": a["good"].cast("double"),
+        "negative_score_comments": a["negative"].cast("double"),
+        "score_variance": F.greatest(F.try_divide(a["q"], n) - mean_off * mean_off, F.lit(0.0)),
+        "score_range": a["hi"] - a["lo"],
+        "positive_engagement_ratio": F.try_divide(a["positive"].cast("double"), n),
     }
 
 

@@ -24,9 +24,10 @@ def docs_of(t):
     return t.documents_doc.select("submission_id", "label", F.try_element_at("parts", F.lit(1)).alias("title"), scored.alias("comments"))
 
 
-def only(t, name, extractor):
-    out = M.extract(docs_of(t), {name: extractor})
-    return out.select("submission_id", *[F.round(c, 6).alias(c) for c in out.columns[4:]])
+def only(t, name, extractor, docs=None):
+    docs = docs_of(t) if docs is None else docs
+    out = M.extract(docs, {name: extractor})
+    return out.select("submission_id", *[F.round(c, 6).alias(c) for c in out.columns if c not in docs.columns])
 
 
 def oracle(columns, source="texts"):
@@ -102,9 +103,9 @@ _CL = "list_sum(list_transform(comments, lambda c: length(c)))"
 
 @query("m05_structure_features", oracle(
     f"""length(title)::double as title_length, (length(title) + {_CL})::double as total_text_length, len(comments)::double as comment_count, round({_CL} / greatest(len(comments), 1), 6) as avg_comment_length,
-        0.0::double as submission_score, {_NW.format(x='title')}::double as title_word_count, round((length(title) + {_CL}) / greatest(length(title), 1), 6) as text_to_title_ratio, starts_with(comments[1], 'Submission body:')::int::double as has_submission_body"""))
+        (submission_id % 97 - 11)::double as submission_score, {_NW.format(x='title')}::double as title_word_count, round((length(title) + {_CL}) / greatest(length(title), 1), 6) as text_to_title_ratio, starts_with(comments[1], 'Submission body:')::int::double as has_submission_body"""))
 def _(t):
-    return only(t, "structure", M.structure_features())
+    return only(t, "structure", M.structure_features(with_score=True), docs=docs_of(t).withColumn("original_score", F.col("submission_id") % 97 - 11))
 
 
 _SC = r"list_transform(list_filter(comments, lambda c: regexp_matches(c, '\(score -?\d+\)')), lambda c: cast(regexp_extract(c, '\(score (-?\d+)\)', 1) as bigint))"
