@@ -260,7 +260,11 @@ def light_consensus(t) -> DataFrame:
         round(avg_sentiment_intensity, 6) as avg_sentiment_intensity, round(cwi, 6) as confidence_weighted_intensity,
         explicit_mentions, implicit_mentions from cons""", "sentiments", **CTE))
 def _(t):
-    out = rounded(day(light_consensus(t)), "avg_confidence", "avg_sentiment_intensity", "confidence_weighted_intensity")
+    return core_columns(light_consensus(t))
+
+
+def core_columns(consensus):
+    out = rounded(day(consensus), "avg_confidence", "avg_sentiment_intensity", "confidence_weighted_intensity")
     return out.select("date", "ticker", "total_mentions", "avg_confidence", "avg_sentiment_intensity",
                       "confidence_weighted_intensity", "explicit_mentions", "implicit_mentions")
 

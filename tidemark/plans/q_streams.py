@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.plans.registry import query
+from tidemark.operators import conflicts as X, consensus as C
+from tidemark.plans.q_opinions import core_columns
+from tidemark.plans.registry import ORACLES, query
 from tidemark.session import scratch_path
 from tidemark.streaming import jobs as J
 
@@ -24,21 +26,33 @@ def _(t):
     return t.spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"))
 
 
-@query("st2_duplicate_suppression", "select event_type, count(*) as n from events group by event_type")
+@query("st2_duplicate_suppression", "select event_type, count(*) as n, count(distinct event_id) as n_ids, sum(event_id)::bigint as ids from events group by event_type")
 def _(t):
-    out, mark = scratch_path(t.spark, "unique"), scratch_path(t.spark, "mark")
-    twice = events(t).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    J.append_to(J.without_repeats(twice, ["event_id"]), out, mark)
-    return t.spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Repeats come within a batch, in later batches and in later runs; a third of the ids come days late."""
+    source, out, mark = (scratch_path(t.spark, n) for n in ("source", "unique", "mark"))
+    rows = t.events.withColumn("third", F.col("event_id") % 3)
+    twice = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    for wanted in ("third = 2", "third <> 0", "third is not null"):  # newest ids are stored before older ones arrive
+        twice.where(wanted).repartition(2).write.mode("append").parquet(source)
+        J.in_batches(J.new_files(t.spark, source, rows.schema, files_per_batch=1), J.new_only(out, ["event_id"]), mark)
+    return t.spark.read.parquet(out).groupBy("event_type").agg(
+        F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"), F.sum("event_id").alias("ids"))
+
+
+@query("st3_daily_consensus", ORACLES["a01_consensus_core"])
+def _(t):
+    """Opinions arrive in two runs; months touched by a batch are summarised again."""
+    source, raw, daily, mark = (scratch_path(t.spark, n) for n in ("source", "raw", "daily", "mark"))
+    rows = t.sentiments.withColumn("month", F.date_format("date", "yyyy-MM"))
 
+    def summarise(opinions):
+        cons = C.daily_consensus(X.resolved_opinions(X.judge_conflicts(opinions)))
+        return cons.withColumn("month", F.date_format("date", "yyyy-MM"))
 
-@query("st3_daily_consensus", f"""select {DAY} as day, event_type, count(*) as n, round(sum(value), 4) as total from events
- where cast(ts as date) + 1 <= (select max(ts) - interval 1 day from events) group by 1, 2""")
-def _(t):
-    out, mark = scratch_path(t.spark, "days"), scratch_path(t.spark, "mark")
-    J.append_to(J.daily_totals(events(t), ["event_type"], [F.count("*").alias("n"), F.sum("value").alias("total")]), out, mark)
-    done = t.spark.read.parquet(out)
-    return done.select(F.col("day").cast("string").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    for late in (0, 1):
+        rows.where(F.pmod("submission_id", F.lit(2)) == late).write.mode("append").parquet(source)
+        J.in_batches(J.new_files(t.spark, source, rows.schema), J.reopen_days(raw, daily, summarise, day="month"), mark)
+    return core_columns(t.spark.read.parquet(daily))
 
 
 @query("st4_late_rows_reopen_days", f"select {DAY} as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
@@ -82,8 +96,9 @@ def _(t):
 def _(t):
     source, out, log, mark = (scratch_path(t.spark, n) for n in ("source", "kept", "log", "mark"))
     rows = t.events.select("event_id", F.col("ts").cast("date").alias("day"))
-    for late in (0, 1):  # days of the first run are done when the second one comes
-        rows.where(F.col("event_id") % 2 == late).write.mode("append").parquet(source)
-        handler = J.skipping_done(log, lambda df, batch: J.write_batch(df, out, batch))
-        J.in_batches(J.new_files(t.spark, source, rows.schema), handler, mark)
+    for late in (0, 1):  # days of the first run are done when the second one comes; each run takes a day in several batches
+        rows.where(F.col("event_id") % 2 == late).repartition(3).write.mode("append").parquet(source)
+        handler = J.skipping_done(log, lambda df, batch: J.write_batch(df, out, batch), run=f"run{late}")
+        J.in_batches(J.new_files(t.spark, source, rows.schema, files_per_batch=1), handler, mark)
+        J.close_run(t.spark, log, f"run{late}")
     return t.spark.read.parquet(out).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))

@@ -41,9 +41,30 @@ def in_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], chec
     finish(stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(handle))
 
 
-def without_repeats(stream: DataFrame, key: list[str], ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Each key once; state is dropped when the watermark passes."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
+def stored(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame | None:
+    """What earlier batches wrote; None before the first one."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        return None
+
+
+def new_only(path: str, key: list[str], partition_by: list[str] = []):
+    """Batch handler: rows whose key is not stored yet are added, once each, however late they come.
+
+    What exists is looked up in the table itself, so no watermark drops late rows or forgets old keys.
+    """
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        fresh = rows.dropDuplicates(key)
+        old = stored(rows.sparkSession, path, StructType([rows.schema[k] for k in key]).add("batch", "integer"))
+        if old is not None:
+            fresh = fresh.join(old.where(F.col("batch") != batch).select(*key), key, "left_anti")
+        write_batch(fresh, path, batch, partition_by)
+
+    return handle
 
 
 def daily_totals(stream: DataFrame, keys: list[str], aggs: list[Column], ts: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -95,18 +116,26 @@ def current_states(spark: SparkSession, path: str, key: str = "submission_id") -
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
 
 
-def skipping_done(log_path: str, handle: Callable[[DataFrame, int], None], log_schema: str = "day date", day: str = "day"):
-    """Batch handler: days in the date log are left out, newly handled days are added to it."""
+def skipping_done(log_path: str, handle: Callable[[DataFrame, int], None], run: str, day: str = "day"):
+    """Batch handler: days that an earlier run has finished are left out; this run's days stay open.
+
+    A run notes the days it begins and counts as finished only after ``close_run``, so a day may come in
+    many batches of one run, and the days of a run that broke off are taken up again.
+    """
 
-    def run(rows: DataFrame, batch: int) -> None:
+    def step(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        try:
-            done = spark.read.schema(f"{log_schema}, batch int").parquet(log_path).where(F.col("batch") != batch).select(day)
+        begun = stored(spark, f"{log_path}/begun", StructType([rows.schema[day]]).add("run", "string").add("batch", "integer"))
+        closed = stored(spark, f"{log_path}/closed", "run string")
+        if begun is not None and closed is not None:
+            done = begun.join(closed.where(F.col("run") != run), "run", "left_semi").select(day)
             rows = rows.join(done, day, "left_anti")
-        except Exception as exc:
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
         handle(rows, batch)
-        write_batch(rows.select(day).distinct(), log_path, batch)
+        write_batch(rows.select(day).distinct().withColumn("run", F.lit(run)), f"{log_path}/begun", batch)
+
+    return step
+
 
-    return run
+def close_run(spark: SparkSession, log_path: str, run: str) -> None:
+    """Mark the days that ``run`` began as finished; call it when the stream has ended well."""
+    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("append").parquet(f"{log_path}/closed")
