@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ids as I, text as T
 from tidemark.operators import dump as D, threads as H
-from tidemark.sources import consensus_store as CS, labels as L, requests as R
+from tidemark.sources import consensus_store as CS, labels as L, requests as R, results_store as RS
 
 
 def one(spark, value, fn):
@@ -63,10 +63,21 @@ SCHEMA = "submission_id string, id string, pos long, parent_id string, body stri
 def test_deep_threads_orphans_and_circles(spark):
     rows = chain(70) + [("s", "o", 80, "t1_gone", "x", 0), ("s", "p", 81, "t1_o", "x", 0), ("s", "q", 82, "t1_r", "x", 0), ("s", "r", 83, "t1_q", "x", 0), ("s", "n", 84, "", "x", 0)]
     got = {r.id: r for r in H.locate_comments(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got["c69"].root == "c0" and got["c10"].depth == 11 and got["c69"].depth == 50
-    assert got["c50"].depth == 51 and got["c51"].depth == 50  # the cap counts links, the submission adds one
+    assert got["c69"].root == "c0" and got["c10"].depth == 11 and got["c69"].depth == 70
     assert got["o"].root is None and got["o"].depth == 0 and got["p"].depth == 1
-    assert got["q"].root is None and got["q"].depth == 50 and got["n"].depth == 0
+    assert got["q"].root is None and got["q"].depth is None and got["n"].depth == 0
+
+
+def test_depth_limit_is_an_option(spark):
+    got = H.locate_comments(spark.createDataFrame(chain(70), SCHEMA), depth_cap=50)
+    assert got.agg(F.max("depth")).first()[0] == 50
+
+
+def test_all_comments_are_kept_without_a_cap(spark):
+    subs = spark.createDataFrame([("a", "t", 1, "2021-01-01 00:00", "/comments/s/x/", "", "u", "r")],
+                                 "author string, title string, score long, created string, link string, text string, url string, subreddit string")
+    doc = D.build_documents(subs, comments(spark, 1500)).first()
+    assert len(doc.comments) == 1500 and doc.comments[7].startswith("Top level comment: t7 ")
 
 
 def test_thread_text_is_depth_first(spark):
@@ -93,6 +104,17 @@ def test_packing_respects_both_limits(spark):
     assert all(r.n <= 40 and r.b <= 9000 and r.d == 1 for r in bins)
 
 
+def test_an_oversized_request_takes_no_room_from_others(spark):
+    docs = spark.range(200).selectExpr("cast(id as string) as submission_id", "'d' as day", "'t' as title", "if(id = 7, repeat('x', 20000), 'b') as submission_body", "array('a') as comments")
+    packed = R.pack_requests(R.build_requests(docs, "{title} {body} {comment}", "m"), max_requests=1000, max_bytes=9000).cache()
+    bins = packed.groupBy("job").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.max("oversized").alias("o")).collect()
+    assert [(r.n, r.o) for r in bins if r.b > 9000] == [(1, True)]
+    total = packed.where("not oversized").agg(F.sum("bytes")).first()[0]
+    assert len(bins) - 1 <= 1.1 * total / 9000 + 1
+    across = R.pack_requests(R.build_requests(docs.withColumn("day", F.col("submission_id")), "{title} {body} {comment}", "m"), 1000, 9000, per_day=False)
+    assert across.select("job").distinct().count() < 20
+
+
 def test_output_lines_drop_bad_rows(spark):
     good = '{\\"primary_ticker\\":null,\\"sentiments\\":[{\\"confidence\\":7,\\"ticker\\":\\"$aa\\",\\"is_implicit\\":false,\\"sentiment\\":\\"bullish\\",\\"sentiment_intensity\\":5,\\"position\\":\\"calls\\",\\"conviction\\":\\"high\\",\\"time_horizon\\":\\"day\\",\\"source\\":\\"both\\",\\"explanation\\":\\"x\\",\\"extraction_refusal\\":false}]}'
 
@@ -105,6 +127,22 @@ def test_output_lines_drop_bad_rows(spark):
     assert [(r.submission_id, r.ticker) for r in got] == [("s", "AA")]
 
 
+def test_latest_state_decides(spark):
+    log = spark.createDataFrame([(1, "failed", "a", 1), (1, "processed", "b", 2), (2, "processed", "a", 1), (2, "failed", "b", 2), (3, "failed", "a", 1), (3, "processed", "b", 1)],
+                                "submission_id long, status string, session_id string, ts long")
+    available = spark.createDataFrame([(i, "d") for i in (1, 2, 3, 4)], "submission_id long, date string")
+    assert {r.submission_id for r in RS.to_do(available, log).collect()} == {4}
+    assert {r.submission_id for r in RS.to_do(available, log, retry_failed=True).collect()} == {2, 4}
+    assert {r.submission_id for r in RS.retry_subset(log, available).collect()} == {2}
+    day = RS.progress(available, log).first()
+    assert (day.total_found, day.processed, day.failed, day.remaining) == (4, 2, 1, 1)
+
+
+def test_long_names_stay_apart(spark):
+    a, b = "x" * 300, "x" * 299 + "y"
+    assert one(spark, a, T.safe_path_value) != one(spark, b, T.safe_path_value) and len(one(spark, a, T.safe_path_value)) == 200
+
+
 def test_old_days_are_dropped(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01", "A", 1), ("2024-02-01", "A", 2)], "date string, ticker string, n int").withColumn("date", F.to_date("date"))
     CS.write_days(rows, str(tmp_path / "s"))

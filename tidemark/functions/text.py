@@ -206,10 +206,11 @@ def scored_line(body: Column, score: Column, kind: str, with_score: bool = True)
 
 
 def safe_path_value(c: Column | str, max_length: int = 200) -> Column:
-    """A partition value that every file system accepts."""
+    """A partition value that every file system accepts; a longer one ends in a digest of the whole."""
     c = F.translate(text(c), UNSAFE_PATH_CHARS, "_" * len(UNSAFE_PATH_CHARS))
     c = F.btrim(c, F.lit(". "))
-    return F.when(c == "", "unnamed").otherwise(F.substring(c, 1, max_length))
+    cut = F.concat(F.substring(c, 1, max_length - 17), F.lit("-"), F.substring(F.md5(c), 1, 16))
+    return F.when(c == "", "unnamed").when(F.length(c) > max_length, cut).otherwise(c)
 
 
 def prompt(template: str, title: Column, body: Column, comment: Column) -> Column:

@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.ids import iso_or_raw, parse_created, submission_id_from_link
 from tidemark.functions.text import clean_dump_text, scored_line, strip
+from tidemark.operators.spread import slice_count, slice_of
 from tidemark.schemas import REMOVED_MARKERS
 
-# Spark prunes ranked rows before the shuffle only below this rank
-PRUNED_RANK = 1000
-SALTS = 64
 
 
 def year_ok(column: str, min_year: int | None, max_year: int | None) -> Column:
@@ -54,18 +52,18 @@ def drop_orphans(comments: DataFrame, submissions: DataFrame) -> DataFrame:
     return with_submission_id(comments).join(ids, "submission_id", "left_semi")
 
 
-def cap_comments(comments: DataFrame, cap: int) -> DataFrame:
-    """The best ``cap`` comments by score where a submission has more, else all in file order.
+def cap_comments(comments: DataFrame, cap: int | None = None) -> DataFrame:
+    """All comments in file order; with ``cap``, the best by score where a submission has more.
 
-    Adds ``place``. At most ``cap + 1`` rows per submission meet in one task: Spark prunes small
-    ranks before the shuffle, larger caps are ranked in salted slices first.
+    Adds ``place``. Ranks are taken in slices first, so of a submission of any size at most
+    ``cap + 1`` rows per slice meet in one task. Without a cap no rows meet at all.
     """
+    if cap is None:
+        return comments.withColumn("place", F.col("file_pos"))
     best = [F.col("score").desc_nulls_last(), F.col("file_pos")]
-    df = comments
-    if cap + 1 > PRUNED_RANK:
-        salt = F.pmod(F.xxhash64("file_pos"), F.lit(SALTS))
-        sliced = Window.partitionBy("submission_id", salt).orderBy(*best)
-        df = df.withColumn("_r", F.row_number().over(sliced)).where(F.col("_r") <= cap + 1).drop("_r")
+    salt = slice_of([F.col("file_pos")], slice_count(comments.sparkSession))
+    sliced = Window.partitionBy("submission_id", salt).orderBy(*best)
+    df = comments.withColumn("_r", F.row_number().over(sliced)).where(F.col("_r") <= cap + 1).drop("_r")
     group = Window.partitionBy("submission_id")
     df = df.withColumn("_r", F.row_number().over(group.orderBy(*best))).where(F.col("_r") <= cap + 1)
     over = F.max("_r").over(group) > cap
@@ -77,8 +75,11 @@ def cap_comments(comments: DataFrame, cap: int) -> DataFrame:
 
 
 def group_comments(comments: DataFrame) -> DataFrame:
-    """Capped comments as one ordered list per submission."""
-    entry = F.struct("place", "author", "score", "created", "body", "link", clean_dump_text("body").alias("clean"))
+    """Comments as one ordered list per submission, the output value of a document.
+
+    A submission's list must fit in a row; ``cap_comments`` gives the same comments row by row.
+    """
+    entry = F.struct("place", "score", "body", "link", clean_dump_text("body").alias("clean"))
     return comments.groupBy("submission_id").agg(F.sort_array(F.collect_list(entry)).alias("raw"))
 
 
@@ -86,7 +87,7 @@ def build_documents(
     submissions: DataFrame,
     comments: DataFrame,
     *,
-    cap: int = 1000,
+    cap: int | None = None,
     include_body: bool = True,
     with_scores: bool = True,
     year_filtered: bool = True,

@@ -11,7 +11,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.finance import net_conviction, signed_log
-from tidemark.session import steady_partitions
 
 PRICE_COLUMNS = ("open", "high", "low", "close", "volume")
 VANISHING = 1e-18  # weight below which an older value cannot change a double
@@ -51,7 +50,7 @@ def stock_panel(sentiment: DataFrame, prices: DataFrame, start: str, end: str,
         .unionByName(prices.select("ticker", "date", *have_prices).withColumn("priced", F.lit(True)),
                      allowMissingColumns=True)
         .where(F.col("date").between(lo, hi))
-        .repartition(steady_partitions(prices.sparkSession), F.col("ticker"))
+        .repartition(int(prices.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("ticker"))
     )
     merged = stacked.groupBy("ticker", "date").agg(
         *[F.max(c).alias(c) for c in [*measures, *have_prices, "told", "priced"]]
@@ -103,8 +102,8 @@ def ema(df: DataFrame, spans, value: str = "predictor", prefix: str = "ema_", id
     """Exponential moving averages with full weights from the first row, one pass per span.
 
     ``idx`` counts rows from 0 without gaps. With decay r a row's weighted sum is a running sum of
-    x / r^(offset in block) over its block, plus the whole block before it. Blocks are long enough
-    that anything older has no weight left in a double, and short enough never to overflow.
+    x / r^(offset in block) over its block, plus what all blocks before it left behind. Blocks are
+    short enough never to overflow; block ends carry on from one to the next, a few rows per key.
     """
     for span in spans:
         r = (span - 1) / (span + 1)
@@ -115,10 +114,14 @@ def ema(df: DataFrame, spans, value: str = "predictor", prefix: str = "ema_", id
         block, offset = F.floor(F.col(idx) / size), F.col(idx) % size
         df = df.withColumns({"_b": block, "_u": F.col(value) * F.pow(F.lit(1 / r), offset)})
         inside = Window.partitionBy(key, "_b").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-        before = Window.partitionBy(key).orderBy("_b").rangeBetween(-1, -1)
-        total = F.sum("_u").over(inside) + F.coalesce(F.sum("_u").over(before), F.lit(0.0)) * r**size
+        ends = df.groupBy(key, "_b").agg(F.sum("_u").alias("s"))
+        listed = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.withColumn("past", F.collect_list(F.struct("_b", "s")).over(listed)).select(
+            key, "_b", F.aggregate("past", F.lit(0.0), lambda acc, x: (acc + x["s"]) * r**size).alias("_c"))
+        df = df.join(carried, [key, "_b"])
+        total = F.sum("_u").over(inside) + F.col("_c")
         weights = (1 - F.pow(F.lit(r), F.col(idx) + 1)) / (1 - r)
-        df = df.withColumn(f"{prefix}{span}", F.pow(F.lit(r), offset) * total / weights)
+        df = df.withColumn(f"{prefix}{span}", F.pow(F.lit(r), offset) * total / weights).drop("_c")
     return df.drop("_b", "_u")
 
 
@@ -220,7 +223,7 @@ def as_of(points: DataFrame, series: DataFrame, values: list[str], at: str = "da
     return found.where("p is not null").select("p.*", *[F.col(f"v.{c}").alias(f"{c}_at_{at}") for c in values])
 
 
-def ticker_coverage(consensus: DataFrame, prices: DataFrame, top: int | None = 25) -> DataFrame:
+def ticker_coverage(consensus: DataFrame, prices: DataFrame, top: int | None = None) -> DataFrame:
     """Days with sentiment per ticker that has prices, most covered first."""
     days = (
         consensus.join(prices.select("ticker"), "ticker", "left_semi")

@@ -1,8 +1,8 @@
 """Comment trees: thread roots, depths, depth-first order, thread texts and statistics.
 
 Every comment holds a pointer to an ancestor and doubles its reach each round, so a tree of depth
-``d`` needs about log2(d) joins instead of d. Joins run on (submission, comment id), which spreads
-a submission of any size over all tasks.
+``d`` needs about log2(d) joins instead of d. Joins run on (submission, comment id); many comments
+that point at one ancestor are dealt over slices.
 """
 
 from __future__ import annotations
@@ -10,64 +10,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.text import strip
+from tidemark.operators.spread import spread_lookup
 from tidemark.session import cut_lineage
 
-DEPTH_CAP = 50  # fixed value: longest chain a depth counts
-
-
-def locate_comments(comments: DataFrame) -> DataFrame:
+def locate_comments(comments: DataFrame, depth_cap: int | None = None) -> DataFrame:
     """Adds ``root`` (NULL when no top-level comment is reached), ``depth`` and ``path``.
 
     ``path`` holds the file positions below the root; ordering by it gives depth-first order.
-    Rounds go on until no pointer moves; chains that run in a circle never reach a root.
+    Top-level comments and replies to nothing are settled before the first join. Rounds go on until
+    no pointer moves; chains that run in a circle never reach an end and have no depth.
+    ``depth_cap`` limits the depth that is reported.
     """
-    reply = F.col("parent_id").startswith("t1_")
+    nothing = F.array().cast("array<bigint>")
     links = comments.select(
-        "submission_id", "id", "pos",
-        F.when(reply, F.expr("substring(parent_id, 4)")).alias("up"),
-        F.col("parent_id").startswith("t3_").alias("top"),
-    )
+        "submission_id", "id", "pos", F.when(F.col("parent_id").startswith("t1_"), F.expr("substring(parent_id, 4)")).alias("up"),
+        F.coalesce(F.col("parent_id").startswith("t3_"), F.lit(False)).alias("top"))
+    ends = links.where("up is null").select(
+        "submission_id", "id", F.col("id").alias("at"), F.when(F.col("top"), F.col("id")).alias("root"),
+        F.col("top").cast("int").alias("depth"), nothing.alias("path"), F.lit(True).alias("settled"))
     known = links.select("submission_id", F.col("id").alias("up"), F.lit(True).alias("found"))
-    state = links.join(known, ["submission_id", "up"], "left").select(
-        "submission_id", "id", F.coalesce("top", F.lit(False)).alias("top"),
-        F.when(F.col("found"), F.col("up")).otherwise(F.col("id")).alias("at"),
-        F.when(F.col("found"), 1).otherwise(0).alias("hops"),
-        F.when(F.col("found"), F.array(F.col("pos"))).otherwise(
-            F.array().cast("array<bigint>")).alias("path"),
-        # a comment is settled once it points at the end of its chain
-        F.col("found").isNull().alias("settled"), F.col("found").isNull().alias("end"),
-    )
-    state = cut_lineage(state)
+    replies = spread_lookup(links.where("up is not null"), ["submission_id", "up"], known, "id").select(
+        "submission_id", "id", F.when(F.col("found"), F.col("up")).otherwise(F.col("id")).alias("at"),
+        F.lit(None).cast("string").alias("root"), F.when(F.col("found"), 1).otherwise(0).alias("depth"),
+        F.when(F.col("found"), F.array("pos")).otherwise(nothing).alias("path"), F.col("found").isNull().alias("settled"))
+    state = cut_lineage(ends.unionByName(replies))
     left, before = state.where("not settled").count(), -1
     while left and left != before:
+        # after some rounds all comments of a thread point at its root: the lookup deals them over slices
         target = state.select(
-            "submission_id", F.col("id").alias("at"), F.col("at").alias("next"),
-            F.col("hops").alias("more"), F.col("path").alias("upper"),
-            F.col("end").alias("is_end"),
-        )
-        moved = (
-            state.where("not settled")
-            .join(target, ["submission_id", "at"])
-            .select(
-                "submission_id", "id", "top",
-                F.when(F.col("is_end"), F.col("at")).otherwise(F.col("next")).alias("at"),
-                (F.col("hops") + F.col("more")).alias("hops"),
-                F.concat("upper", "path").alias("path"),
-                F.col("is_end").alias("settled"), F.lit(False).alias("end"),
-            )
-        )
+            "submission_id", F.col("id").alias("at"), F.col("at").alias("next"), F.col("root").alias("its_root"),
+            F.col("depth").alias("more"), F.col("path").alias("upper"), F.col("settled").alias("done"))
+        moved = spread_lookup(state.where("not settled"), ["submission_id", "at"], target, "id").select(
+            "submission_id", "id", F.col("next").alias("at"), F.col("its_root").alias("root"),
+            (F.col("depth") + F.col("more")).alias("depth"), F.concat("upper", "path").alias("path"), F.col("done").alias("settled"))
         state = cut_lineage(state.where("settled").unionByName(moved))
         left, before = state.where("not settled").count(), left
-    ends = state.where("end").select("submission_id", F.col("id").alias("at"),
-                                                     F.col("top").alias("rooted"))
-    located = state.join(ends, ["submission_id", "at"], "left").select(
-        "submission_id", "id",
-        F.when(F.col("settled") & F.col("rooted"), F.col("at")).alias("root"), "path",
-        F.when(~F.col("settled"), DEPTH_CAP)  # a circle has no end
-        .when(F.col("rooted") & (F.col("hops") <= DEPTH_CAP), F.col("hops") + 1)
-        .otherwise(F.least("hops", F.lit(DEPTH_CAP))).alias("depth"),
-    )
-    return comments.join(located, ["submission_id", "id"])
+    depth = F.when(F.col("settled"), F.least("depth", F.lit(depth_cap)) if depth_cap else F.col("depth"))
+    return comments.join(state.select("submission_id", "id", "root", "path", depth.alias("depth")), ["submission_id", "id"])
 
 
 def thread_texts(located: DataFrame) -> DataFrame:

@@ -244,7 +244,7 @@ _CAPPED = f"""select *, case when cnt > {_CAP} then by_score else by_file end as
        from subs s left join coms c on c.sid = s.sid group by s.sid""", "csv_submissions", "csv_comments", subs=_KEPT_SUBS, coms=_KEPT_COMS))
 def _(t):
     subs, coms = clean_rows(t)
-    lists = D.group_comments(D.cap_comments(coms, 1000))
+    lists = D.group_comments(D.cap_comments(coms))
     joined = D.with_submission_id(subs).select("submission_id").join(lists, "submission_id", "left")
     raw = F.coalesce(F.col("raw.link"), F.array().cast("array<string>"))
     return joined.select("submission_id", F.size(raw).cast("bigint").alias("n_comments"), F.array_join(raw, " ").alias("links"))
@@ -263,12 +263,12 @@ def _(t):
         coalesce(k.n, 0) as comment_count, coalesce(k.told, 0) + (tx <> '')::int as valid_comment_count,
         case when coalesce(k.n, 0) = 0 then 100.0 else round(k.told / k.n * 100, 2) end as success_rate
         from (select *, {_DUMP_CLEAN.replace('{x}', 'text')} as tx from subs) s left join (select sid, count(*) as n, count(case when b <> '' then 1 end) as told,
-         string_agg(case when b <> '' then 'Top level comment: ' || b || ' (score ' || score || ')' end, chr(10) order by place) as lines
-         from (select *, {_DUMP_CLEAN.replace('{x}', 'body')} as b from capped) group by sid) k using (sid)) where valid_comment_count > 0""",
-    "csv_submissions", "csv_comments", subs=_KEPT_SUBS, coms=_KEPT_COMS, capped=_CAPPED))
+         string_agg(case when b <> '' then 'Top level comment: ' || b || ' (score ' || score || ')' end, chr(10) order by file_pos) as lines
+         from (select *, {_DUMP_CLEAN.replace('{x}', 'body')} as b from coms where sid in (select sid from subs)) group by sid) k using (sid)) where valid_comment_count > 0""",
+    "csv_submissions", "csv_comments", subs=_KEPT_SUBS, coms=_KEPT_COMS))
 def _(t):
     subs, coms = clean_rows(t)
-    docs = D.build_documents(subs, coms, cap=_CAP)
+    docs = D.build_documents(subs, coms)
     return docs.select(
         "submission_id", F.length("title").cast("bigint").alias("title_size"), F.md5("title").alias("title_digest"), "date",
         "metadata.original_score", F.md5(F.array_join("comments", "\n")).alias("comments_digest"),
@@ -323,10 +323,10 @@ def _(t):
     return S.in_date_range(t.documents_doc, "20240105", "20240120", resume_from="20240110").select("submission_id", "day")
 
 
-@query("f04_look_back", "select event_id, event_type from events where ts >= timestamp '2024-01-28 12:00:00' - interval 168 hour order by ts desc limit 500")
+@query("f04_look_back", "select event_id, event_type from events where ts >= timestamp '2024-01-28 12:00:00' - interval 168 hour order by ts desc, event_id desc limit 500")
 def _(t):
     ref = F.lit("2024-01-28 12:00:00").cast("timestamp_ntz")
-    return S.look_back(t.events, ref, hours=168, limit=500).select("event_id", "event_type")
+    return S.look_back(t.events, ref, hours=168, limit=500, key="event_id").select("event_id", "event_type")
 
 
 @query("f14_document_validation", with_views(
@@ -371,8 +371,8 @@ def _(t):
 
 @query("c24_comment_count", """select doc_id, case doc_id % 3 when 0 then 2 when 1 then 1 else 0 end as n from documents""")
 def _(t):
-    raw = (F.when(F.col("doc_id") % 3 == 0, F.to_json(F.array(F.lit("a"), F.substring("text", 1, 20))))
-           .when(F.col("doc_id") % 3 == 1, F.to_json(F.struct(F.substring("text", 1, 20).alias("v"))))
+    raw = (F.when(F.col("doc_id") % 3 == 0, F.to_json(F.array(F.lit("a"), "text")))
+           .when(F.col("doc_id") % 3 == 1, F.to_json(F.struct(F.col("text").alias("v"))))
            .otherwise('""'))
     return t.documents.select("doc_id", I.json_array_size(raw).alias("n"))
 
@@ -390,7 +390,7 @@ def _(t):
                                     I.iso_or_raw(F.col("created")).alias("created_iso"), I.day_or_unknown(F.col("created")).alias("folder"))
 
 
-@query("c15_safe_names", r"""select page_id, case when s = '' then 'unnamed' else substr(s, 1, 200) end as name from (
+@query("c15_safe_names", r"""select page_id, case when s = '' then 'unnamed' when length(s) > 200 then substr(s, 1, 183) || '-' || substr(md5(s), 1, 16) else s end as name from (
  select page_id, trim(regexp_replace(html, '[/\\:*?"<>|\n\r\t]', '_', 'g'), '. ') as s from (select page_id, '. ' || url || html || ' .' as html from pages))""")
 def _(t):
     raw = F.concat(F.lit(". "), "url", "html", F.lit(" ."))
@@ -422,7 +422,7 @@ select doc_id, {_sig("case when length(f) > 600 then (case when nl > 480 then su
  length(f) > 600 as was_cut from (select doc_id, f, case when instr(reverse(substr(f, 1, 600)), chr(10)) > 0 then 600 - instr(reverse(substr(f, 1, 600)), chr(10)) else -1 end as nl
  from (select doc_id, 'title: ' || substr(text, 1, 20) || chr(10) || 'body: ' || text || chr(10) || 'lang: ' || lang || chr(10) || 'source: ' || source as f from documents))""")
 def _(t):
-    text, cut = T.labelling_text({"lang": F.col("lang"), "title": F.substring("text", 1, 20), "body": F.col("text"), "source": F.col("source")}, 600)
+    text, cut = T.labelling_text({"lang": F.col("lang"), "title": "text", "body": F.col("text"), "source": F.col("source")}, 600)
     return t.documents.select("doc_id", *sig(text), cut.alias("was_cut"))
 
 

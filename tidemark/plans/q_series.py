@@ -182,14 +182,14 @@ def _(t):
     return shown(W.normalised_weights(panel_of(t), 84), "weight", digits=9)
 
 
-_POINTS = "select cast('T' || lpad(cast(o_custkey % 10 as varchar), 2, '0') as varchar) as ticker, cast(o_orderdate as date) + 3 as date, o_orderkey as trade_id from orders where o_orderpriority = '1-URGENT'"
+_POINTS = "select cast('T' || lpad(cast(o_custkey % 10 as varchar), 2, '0') as varchar) as ticker, cast(o_orderdate as date) + 3 as date, o_orderkey as trade_id from orders"
 
 
 @query("j12_as_of", with_views(
     """select trade_id, round(p.close, 4) as close, cast(p.date as varchar) as seen from pts asof join prices p on pts.ticker = p.ticker and pts.date >= p.date""", "prices", pts=_POINTS))
 def _(t):
     ticker = F.concat(F.lit("T"), F.lpad((F.col("o_custkey") % 10).cast("string"), 2, "0"))
-    pts = t.orders.where("o_orderpriority = '1-URGENT'").select(
+    pts = t.orders.select(
         ticker.alias("ticker"), F.date_add(F.col("o_orderdate").cast("date"), 3).alias("date"), F.col("o_orderkey").alias("trade_id"))
     found = W.as_of(pts, t.prices.withColumn("seen", F.col("date")), ["close", "seen"])
     return found.where("seen_at_date is not null").select("trade_id", F.round("close_at_date", 4).alias("close"), F.col("seen_at_date").cast("string").alias("seen"))
@@ -200,13 +200,13 @@ def _(t):
     "prices", pts=_POINTS))
 def _(t):
     ticker = F.concat(F.lit("T"), F.lpad((F.col("o_custkey") % 10).cast("string"), 2, "0"))
-    trades = t.orders.where("o_orderpriority = '1-URGENT'").select(
+    trades = t.orders.select(
         ticker.alias("ticker"), F.date_add(F.col("o_orderdate").cast("date"), 3).alias("exit_date"), (F.col("o_orderkey") % 7 / 100).alias("net_return"))
     return shown(W.pnl_on_calendar(t.prices, trades), "daily_return")
 
 
 @query("a31_ticker_coverage", with_views(
-    """select ticker, count(*) as n_days from opinion_days where ticker in (select ticker from prices) group by ticker order by 2 desc, 1 limit 25""", *V))
+    """select ticker, count(*) as n_days from opinion_days where ticker in (select ticker from prices) group by ticker""", *V))
 def _(t):
     return W.ticker_coverage(t.sentiments.select("ticker", "date"), t.prices)
 

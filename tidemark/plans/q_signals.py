@@ -41,9 +41,9 @@ def _(t):
 
 @query("u05_p_values", with_views(
     "select l_orderkey, l_linenumber, l_partkey, n, round(p_value, 9) as p_value from p",
-    f="select distinct l_orderkey, l_linenumber, l_partkey, 3 + l_suppkey % 60 as n, l_discount * 40 as t_stat from lineitem where l_linenumber = 1", p=with_p("f")))
+    f="select distinct l_orderkey, l_linenumber, l_partkey, 3 + l_suppkey % 60 as n, l_discount * 40 as t_stat from lineitem ", p=with_p("f")))
 def _(t):
-    rows = t.lineitem.where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", (3 + F.col("l_suppkey") % 60).alias("n"), (F.col("l_discount") * 40).alias("t")).distinct()
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (3 + F.col("l_suppkey") % 60).alias("n"), (F.col("l_discount") * 40).alias("t")).distinct()
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "n", F.round(ST.t_p_value(F.col("t"), F.col("n") - 2), 9).alias("p_value"))
 
 

@@ -406,13 +406,13 @@ def _(t):
 # ----------------------------------------------------------------- requests
 
 def _docs(t):
-    return S.content(t.documents_doc.withColumnRenamed("parts", "comments"), max_comments=20).withColumn("title", F.col("subreddit"))
+    return S.content(t.documents_doc.withColumnRenamed("parts", "comments"), max_comments=None).withColumn("title", F.col("subreddit"))
 
 
 _REQ = """select day, submission_id, i, day || '_' || submission_id || '_c' || i as custom_id,
  'Title: ' || subreddit || chr(10) || 'Body: ' || coalesce(nullif(parts[1], ''), 'No submission body') || chr(10) || 'Comments: ' || coalesce(nullif(c, ''), 'No comments') as prompt
- from (select day, submission_id, subreddit, parts, unnest(case when len(parts) > 1 then parts[2:21] else [null] end) as c,
- unnest(case when len(parts) > 1 then range(0, len(parts[2:21])) else [0] end) as i from documents_doc)"""
+ from (select day, submission_id, subreddit, parts, unnest(case when len(parts) > 1 then parts[2:] else [null] end) as c,
+ unnest(case when len(parts) > 1 then range(0, len(parts[2:])) else [0] end) as i from documents_doc)"""
 
 
 def requests_of(t):
@@ -424,10 +424,22 @@ def _(t):
     return requests_of(t).select("custom_id", F.md5(F.get_json_object("line", "$.body.messages[1].content")).alias("digest"))
 
 
-@query("s24_request_jobs")
+_S24_N, _S24_BYTES = 100, 200_000
+
+
+@query("s24_request_jobs", with_views(
+    f"""select day, count(*) as n, count(case when size > {_S24_BYTES} then 1 end) as n_oversized, true as within_limits, true as near_least
+        from (select day, octet_length(encode('{{"custom_id":' || to_json(custom_id) || ',"method":"POST","url":"/v1/chat/completions","body":{{"model":"{MODEL}","temperature":0,"messages":[{{"role":"system","content":"Return structured sentiment info."}},{{"role":"user","content":' || to_json(prompt) || '}}]}}}}')) as size from req) group by day""",
+    "documents_doc", req=_REQ))
 def _(t):
-    packed = R.pack_requests(requests_of(t), max_requests=100, max_bytes=200_000)
-    return packed.groupBy("job").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    """Requests per day, with the promises of the packing: no bin above a limit, twice the least number of bins at most."""
+    packed = R.pack_requests(requests_of(t), max_requests=_S24_N, max_bytes=_S24_BYTES)
+    bins = packed.groupBy("day", "job").agg(F.count("*").alias("k"), F.sum("bytes").alias("b"), F.max("oversized").alias("apart"))
+    fits = F.when(F.col("apart"), F.col("k") == 1).otherwise((F.col("k") <= _S24_N) & (F.col("b") <= _S24_BYTES))
+    least = F.ceil(F.sum(F.when(~F.col("apart"), F.col("b"))) / _S24_BYTES) + F.ceil(F.sum(F.when(~F.col("apart"), F.col("k"))) / _S24_N)
+    return bins.groupBy("day").agg(
+        F.sum("k").alias("n"), F.count_if("apart").alias("n_oversized"), F.min(fits).alias("within_limits"),
+        (F.count_if(~F.col("apart")) <= 2 * least + 1).alias("near_least"))
 
 
 @query("s25_extraction_outputs", with_views(
@@ -502,10 +514,10 @@ def _(t):
 @query("a27_range_cost", with_views(
     f"""select n_days as total_dates, count(*) as dates_sampled, count(*) < n_days as is_sampled, round_even(sum(num_submissions) * n_days / count(*), 0)::bigint as estimated_submissions,
         round_even(sum(n) * n_days / count(*), 0)::bigint as estimated_extractions, round(sum({_COST}) * n_days / count(*), 6) as estimated_cost
-        from (select *, row_number() over (order by day) - 1 as i, count(*) over () as n_days from days) where i % (n_days // 5) = 0 and i // (n_days // 5) < 5 group by n_days""",
+        from (select *, row_number() over (order by day) - 1 as i, count(*) over () as n_days from days) group by n_days""",
     "documents_doc", req=_REQ, tok=_TOK, days=_DAYS))
 def _(t):
-    out = K.range_cost(K.day_costs(_tokens(t), MODEL), sample=5)
+    out = K.range_cost(K.day_costs(_tokens(t), MODEL))
     return out.select("total_dates", "dates_sampled", "is_sampled", "estimated_submissions", "estimated_extractions", F.round("estimated_cost", 6).alias("estimated_cost"))
 
 

@@ -24,16 +24,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
-def steady_partitions(spark: SparkSession) -> int:
-    """Shuffle partitions for rows that later steps multiply, so small inputs must not be merged.
-
-    A local session has no use for more than two per core.
-    """
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    context = spark.sparkContext
-    return min(parts, 2 * context.defaultParallelism) if context.master.startswith("local") else parts
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, named by ``spark.checkpoint.dir``.
 

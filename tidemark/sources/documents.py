@@ -13,15 +13,14 @@ def write_documents(docs: DataFrame, path: str, created: Column, fmt: str = "par
                     by_subreddit: bool = True, mode: str = "append") -> None:
     """``[subreddit=../]day=YYYYMMDD/`` folders; rows without a readable date go to unknown_date.
 
-    Rows spread over the partition columns plus a hash, so a busy day is written by several tasks.
+    The write is rebalanced by the partition columns: a busy day is split by its size at run time, small
+    days share a task.
     """
     parts = (["sub"] if by_subreddit else []) + ["day"]
     out = docs.withColumn("day", day_or_unknown(created))
     if by_subreddit:
         out = out.withColumn("sub", safe_path_value("subreddit"))
-    spread = F.pmod(F.xxhash64("submission_id"), F.lit(16))
-    out = out.repartition(*[F.col(p) for p in parts], spread)
-    out.write.mode(mode).partitionBy(*parts).format(fmt).save(path)
+    out.hint("rebalance", *parts).write.mode(mode).partitionBy(*parts).format(fmt).save(path)
 
 
 def read_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -61,11 +60,11 @@ def in_date_range(df: DataFrame, start: str | None, end: str | None, resume_from
 
 
 def look_back(df: DataFrame, reference: Column, hours: int, limit: int | None = None,
-              ts: str = "ts", oldest_first: bool = False) -> DataFrame:
-    """Rows of the last hours, newest first, at most ``limit`` of them."""
+              ts: str = "ts", oldest_first: bool = False, key: str = "submission_id") -> DataFrame:
+    """Rows of the last hours, newest first, at most ``limit`` of them; ``key`` decides ties."""
     df = df.where(F.col(ts) >= reference - F.make_dt_interval(hours=F.lit(hours)))
     if limit is not None:
-        df = df.orderBy(F.col(ts).desc()).limit(limit)
+        df = df.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(limit)
     return df.orderBy(F.col(ts).asc() if oldest_first else F.col(ts).desc())
 
 

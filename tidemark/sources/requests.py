@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.ids import parse_request_id, request_id
 from tidemark.functions.text import normalise_ticker, prompt
+from tidemark.operators.spread import slice_count, slice_of
 from tidemark.schemas import CONVICTIONS, EXTRACTION, HORIZONS, POSITIONS, SENTIMENTS, SOURCES
 
-SLICES = 256
-
-
 def build_requests(docs: DataFrame, template: str, model: str, system: str = "") -> DataFrame:
     """One request per (submission, comment); a submission without comments still gets one."""
     rows = docs.select("day", "submission_id", "title", "submission_body", F.posexplode_outer("comments").alias("i", "comment"))
@@ -31,36 +29,39 @@ def build_requests(docs: DataFrame, template: str, model: str, system: str = "")
     return made.withColumn("line", line)
 
 
-def pack_requests(requests: DataFrame, max_requests: int = 40_000, max_bytes: int = 180 * 1024 * 1024) -> DataFrame:
-    """Adds ``job``: consecutive requests of a day that respect both limits.
+def pack_requests(requests: DataFrame, max_requests: int = 40_000, max_bytes: int = 180 * 1024 * 1024,
+                  per_day: bool = True) -> DataFrame:
+    """Adds ``bytes``, ``job`` and ``oversized``: consecutive requests that respect both limits.
 
-    Running totals come from slice totals plus a running sum inside each slice, so a day of any
-    size is spread over all tasks. Cuts differ from a greedy packer; the limits hold all the same,
-    because bins are cut at the limit minus the largest request of the day.
+    A request above the byte limit is a job of its own, marked oversized, and takes no room from others.
+    The rest is put in order by running totals over slices of the request id, so a day or submission of
+    any size is spread over all tasks; only ids and sizes move. Bins are ``max_bytes`` minus the largest
+    fitting request of the group wide, so a request that begins in a bin ends within the limit. With
+    ``per_day`` off, jobs run on over the end of a day.
     """
-    rows = requests.withColumns({
-        "bytes": F.octet_length("line").cast("bigint"),
-        "slice": F.pmod(F.xxhash64("submission_id"), F.lit(SLICES)),
-    })
-    totals = rows.groupBy("day", "slice").agg(
-        F.sum("bytes").alias("b"), F.count("*").alias("n"), F.max("bytes").alias("big")
-    )
-    # at most SLICES rows per day from here
-    ahead = Window.partitionBy("day").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    lines = requests.withColumn("bytes", F.octet_length("line").cast("bigint"))
+    slim = lines.select("custom_id", "bytes", (F.col("day") if per_day else F.lit("all")).alias("span"))
+    fitting = slim.where(F.col("bytes") <= max_bytes).withColumn(
+        "slice", slice_of([F.col("custom_id")], slice_count(requests.sparkSession)))
+    totals = fitting.groupBy("span", "slice").agg(
+        F.sum("bytes").alias("b"), F.count("*").alias("n"), F.max("bytes").alias("big"))
+    # one row per slice from here
+    ahead = Window.partitionBy("span").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        "day", "slice", F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("b0"),
+        "span", "slice", F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("b0"),
         F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"),
-        F.max("big").over(Window.partitionBy("day")).alias("largest"),
+        F.max("big").over(Window.partitionBy("span")).alias("largest"),
     )
-    inside = Window.partitionBy("day", "slice").orderBy("submission_id", "i")
-    placed = rows.join(starts, ["day", "slice"]).withColumns({
-        "end_byte": F.col("b0") + F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-        "nth": F.col("n0") + F.row_number().over(inside) - 1,
-    })
-    room = F.greatest(F.lit(max_bytes) - F.col("largest"), F.lit(1))
-    job = F.concat_ws("-", "day", F.floor((F.col("end_byte") - 1) / room).cast("string"),
-                      F.floor(F.col("nth") / max_requests).cast("string"))
-    return placed.withColumn("job", job).drop("b0", "n0", "largest", "end_byte", "nth", "slice")
+    inside = Window.partitionBy("span", "slice").orderBy("custom_id")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    room = F.greatest(F.lit(max_bytes) - F.col("largest") + 1, F.lit(1))
+    start_byte = F.col("b0") + F.coalesce(F.sum("bytes").over(before), F.lit(0))
+    job = F.concat_ws("-", "span", F.floor(start_byte / room).cast("string"), F.floor(
+        (F.col("n0") + F.row_number().over(inside) - 1) / max_requests).cast("string"))
+    placed = fitting.join(starts, ["span", "slice"]).select("custom_id", job.alias("job"))
+    apart = F.col("bytes") > max_bytes
+    return lines.join(placed, "custom_id", "left").withColumns({
+        "job": F.coalesce("job", F.concat(F.lit("oversized-"), F.col("custom_id"))), "oversized": apart})
 
 
 def run_extractor(requests: DataFrame, extract: Callable[[Iterator], Iterator]) -> DataFrame:
@@ -146,7 +147,7 @@ def flatten_opinions(extractions: DataFrame) -> DataFrame:
     """One row per opinion with ``pos``, the order of appearance inside its submission."""
     rows = extractions.select("date", "submission_id", "extraction_pos", F.posexplode("sentiments").alias("i", "s"))
     return rows.select(
-        "date", "submission_id", (F.col("extraction_pos") * 1_000_000 + F.col("i")).alias("pos"),
+        "date", "submission_id", (F.shiftleft("extraction_pos", 32) + F.col("i")).alias("pos"),
         normalise_ticker("s.ticker").alias("ticker"), *[F.col(f"s.{n}").alias(n) for n in (
             "confidence", "sentiment_intensity", "is_implicit", "sentiment", "position", "conviction",
             "time_horizon", "source", "explanation")],

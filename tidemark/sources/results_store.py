@@ -71,23 +71,29 @@ def inventory_totals(inv: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ processing log
 
+def states(log: DataFrame) -> DataFrame:
+    """The newest log row per submission; of equal times a processed one, then the later session."""
+    order = F.struct("ts", (F.col("status") == "processed").alias("ok"), "session_id")
+    return log.groupBy("submission_id").agg(F.max_by(F.struct("status", "session_id", "ts"), order).alias("r")).select("submission_id", "r.*")
+
+
 def to_do(available: DataFrame, log: DataFrame, retry_failed: bool = False) -> DataFrame:
     """Submissions without a final state; failed ones come back only on retry."""
     done = F.col("status") == "processed"
     if not retry_failed:
         done = done | (F.col("status") == "failed")
-    handled = log.where(done).select("submission_id")
+    handled = states(log).where(done).select("submission_id")
     return available.join(handled, "submission_id", "left_anti")
 
 
 def retry_subset(log: DataFrame, requested: DataFrame) -> DataFrame:
-    return log.where("status = 'failed'").join(requested, "submission_id", "left_semi")
+    return states(log).where("status = 'failed'").join(requested, "submission_id", "left_semi")
 
 
 def progress(available: DataFrame, log: DataFrame) -> DataFrame:
     """Per date: available, processed, failed, skipped, remaining and the two rates."""
     state = available.select("date", "submission_id").join(
-        log.select("submission_id", "status"), "submission_id", "left"
+        states(log).select("submission_id", "status"), "submission_id", "left"
     )
 
     def n(status):
