@@ -1,12 +1,14 @@
-"""Helpers shared by the corpus operators: landed tables, slices of hot keys, running totals."""
+"""Helpers shared by the corpus operators; slices of hot keys come from the core."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from tidemark.operators.spread import running_total, slice_count, slice_of, spread_lookup
 from tidemark.session import scratch_path
 
+__all__ = ["WHITE", "landed", "running_total", "slice_count", "slice_of", "spread_lookup"]
+
 WHITE = "[\\x20\\x09-\\x0D]+"  # the white space of the query contracts
 
 
@@ -15,43 +17,3 @@ def landed(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def slice_count(spark: SparkSession) -> int:
-    """Slices a hot key is dealt over: as many as shuffle partitions, so a slice stays a task's share."""
-    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def slice_of(columns: list[Column], count: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("slice"), *columns), F.lit(count)).cast("int")
-
-
-def running_total(df: DataFrame, group: list[str], order: list[str], weight: Column, out: str,
-                  together: int | None = None) -> DataFrame:
-    """Exclusive running total of ``weight`` inside each group, in an order fixed by ``order``.
-
-    Slice totals first, then sums inside a slice, so no task sees a whole group. Rows that agree in the
-    first ``together`` order columns are neighbours. Group and order columns must not be null.
-    """
-    spark = df.sparkSession
-    rows = df.withColumn("_rt_w", weight.cast("long")).withColumn(
-        "_rt_slice", slice_of([F.col(c) for c in order[:together]], slice_count(spark)))
-    before = Window.partitionBy(*group).orderBy("_rt_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*group, "_rt_slice").agg(F.sum("_rt_w").alias("_rt_n")).select(
-        *group, "_rt_slice", F.coalesce(F.sum("_rt_n").over(before), F.lit(0)).alias("_rt_off"))
-    inside = Window.partitionBy(*group, "_rt_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.join(offsets, [*group, "_rt_slice"])
-        .withColumn(out, F.col("_rt_off") + F.coalesce(F.sum("_rt_w").over(inside), F.lit(0)))
-        .drop("_rt_w", "_rt_slice", "_rt_off")
-    )
-
-
-def spread_lookup(rows: DataFrame, keys: list[str], table: DataFrame, spread: str) -> DataFrame:
-    """Left join of ``rows`` with one row per key of ``table``; hot keys are dealt over slices of ``spread``.
-
-    The table first joins the distinct (key, slice) pairs, so neither join meets a whole hot key.
-    """
-    dealt = rows.withColumn("_sl", slice_of([F.col(spread)], slice_count(rows.sparkSession)))
-    pairs = dealt.select(*keys, "_sl").distinct().join(table, keys)
-    return dealt.join(pairs, [*keys, "_sl"], "left").drop("_sl")

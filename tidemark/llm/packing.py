@@ -5,15 +5,18 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import landed, slice_count, slice_of
+from tidemark.llm.common import landed
+from tidemark.session import cut_lineage
 
 END_ID = 2
+MOST_OFFSETS = 1_000_000  # (task, length) counts up to this number are broadcast; more are joined by shuffle
 _ENCODERS: dict[str, object] = {}
 
 
@@ -53,17 +56,25 @@ def encoder(tokenizer: str):
 
 
 def pieces_column(tokenizer: str, room: int):
-    """Per text its pieces of at most ``room`` tokens: start, length and CRC-32 of the ids, end id included."""
-
-    @F.pandas_udf("array<struct<piece:int,start:long,length:int,ids_crc32:long>>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        encode, out = encoder(tokenizer), []
-        for text in texts:
-            raw = np.array(encode(text or "") + [END_ID], dtype="<u4").tobytes()
-            n = len(raw) // 4
-            out.append([{"piece": k, "start": at, "length": min(room, n - at), "ids_crc32": zlib.crc32(raw[4 * at:4 * (at + room)])}
-                        for k, at in enumerate(range(0, n, room))])
-        return pd.Series(out)
+    """Per text its pieces of at most ``room`` tokens: start, length and CRC-32 of the ids, end id included.
+
+    ``nth`` numbers the pieces of each length within the task, from 0.
+    """
+
+    @F.pandas_udf("array<struct<piece:int,start:long,length:int,ids_crc32:long,nth:long>>")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, seen = encoder(tokenizer), [0] * (room + 1)
+        for texts in batches:
+            out = []
+            for text in texts:
+                raw = np.array(encode(text or "") + [END_ID], dtype="<u4").tobytes()
+                n, own = len(raw) // 4, []
+                for k, at in enumerate(range(0, n, room)):
+                    length = min(room, n - at)
+                    own.append({"piece": k, "start": at, "length": length, "ids_crc32": zlib.crc32(raw[4 * at:4 * (at + room)]), "nth": seen[length]})
+                    seen[length] += 1
+                out.append(own)
+            yield pd.Series(out)
 
     return pieces
 
@@ -226,18 +237,15 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 1024, rounds: int = 160, i
     Null and empty texts are the end id alone. Repeated rows are packed each for itself; extra columns are
     not read; no rows give no rows. Only the histogram of lengths (``room`` numbers) reaches the driver.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                       pieces_column(tokenizer, room)(F.col(text_col)).alias("pieces"))
-    pieces = landed(rows.select("doc_id", "row", F.inline("pieces")), "pieces")
-    slices = slice_count(spark)
-    dealt = pieces.withColumn("sl", slice_of([F.col("row"), F.col("piece")], slices))
-    counts = dealt.groupBy("sl", "length").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("length").orderBy("sl").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.spark_partition_id().alias("task"), pieces_column(tokenizer, room)(F.col(text_col)).alias("pieces"))
+    pieces = landed(rows.select("doc_id", "task", F.inline("pieces")), "pieces")
+    # a piece's rank in its length: pieces of earlier tasks, then its number in its own task
+    counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut_lineage(counts.select("task", "length", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")))
+    histogram = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placement = _placement(plan_packing(histogram, room, rounds), room)
-    inside = Window.partitionBy("sl", "length").orderBy("doc_id", "row", "piece")
-    ranked = dealt.join(before, ["sl", "length"]).withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
-    placed = ranked.withColumn("at", _places_column(placement)(F.col("length"), F.col("rank")))
+    before = before.drop("n")
+    ranked = pieces.join(F.broadcast(before) if before.count() <= MOST_OFFSETS else before, ["task", "length"])
+    placed = ranked.withColumn("at", _places_column(placement)(F.col("length"), F.col("before") + F.col("nth")))
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "at.sequence_id", "at.offset")
