@@ -33,8 +33,9 @@ def _hits(rows: DataFrame, bench: DataFrame, width: int, bench_id: str, bench_te
     """One row per verified hit of ``rows`` (row, doc_id, w), and one row per document with gram_len 0.
 
     Every window is hashed once and looked up in the set; the words decide. The mark row rides through the
-    same join, so texts are read once.
+    same join, so texts are read once; it alone keeps the other columns of ``rows``.
     """
+    carried = [c for c in rows.columns if c not in ("row", "doc_id", "w")]
     size = bench.agg(F.sum(F.octet_length(bench_text))).first()[0] or 0
     wins = bench_windows(bench, width, bench_id, bench_text)
     lengths = sorted(r[0] for r in wins.select(F.size("b_gram")).distinct().collect())  # at most ``width`` numbers
@@ -44,7 +45,7 @@ def _hits(rows: DataFrame, bench: DataFrame, width: int, bench_id: str, bench_te
     probe = wins.unionByName(mark)
     last = F.size("w") - (min(lengths) if lengths else width)
     # position -1 is the mark; sequence() must not count downwards
-    at = rows.select("row", "doc_id", "w", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), last))).alias("pos"))
+    at = rows.select("row", "doc_id", "w", *carried, F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), last))).alias("pos"))
     if len(lengths) > 1:
         at = at.withColumn("len", F.explode(F.array(*[F.lit(n) for n in lengths]))).where(
             f"(pos >= 0 and pos + len <= size(w)) or (pos = -1 and len = {lengths[-1]})")
@@ -52,22 +53,30 @@ def _hits(rows: DataFrame, bench: DataFrame, width: int, bench_id: str, bench_te
         at = at.withColumn("len", F.lit(lengths[0] if lengths else width))
     grams = at.select("row", "doc_id", F.size("w").alias("n_words"), "pos", F.when(
         F.col("pos") >= 0, F.slice("w", F.greatest(F.col("pos") + 1, F.lit(1)), F.col("len"))).otherwise(
-        F.array().cast("array<string>")).alias("gram"))
+        F.array().cast("array<string>")).alias("gram"), *[F.when(F.col("pos") < 0, F.col(c)).alias(c) for c in carried])
     probe = F.broadcast(probe) if size <= BROADCAST_BYTES else probe.hint("shuffle_merge")
     return grams.join(probe, (F.xxhash64("gram") == F.col("b_key")) & (F.col("gram") == F.col("b_gram"))).select(
-        "row", "doc_id", "n_words", "pos", F.size("gram").alias("gram_len"), "items")
+        "row", "doc_id", "n_words", "pos", F.size("gram").alias("gram_len"), "items", *carried)
 
 
-def _verdicts(hits: DataFrame, share: int) -> DataFrame:
-    """Per document the words covered by the union of its hits, the items, and the verdict."""
+def _new_words() -> Column:
+    """Words of a hit that no earlier hit of its document covers."""
     upto = Window.partitionBy("row").orderBy("pos", "gram_len").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("pos") + F.col("gram_len")
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("pos"), F.coalesce(F.max(end).over(upto), F.lit(0))))
-    new = F.when(F.col("gram_len") > 0, fresh).otherwise(0)
-    out = hits.withColumn("new", new).groupBy("row", "doc_id").agg(
+    return F.when(F.col("gram_len") > 0, fresh).otherwise(0)
+
+
+def _contaminated(share: int) -> Column:
+    return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+
+
+def _verdicts(hits: DataFrame, share: int) -> DataFrame:
+    """Per document the words covered by the union of its hits, the items, and the verdict."""
+    out = hits.withColumn("new", _new_words()).groupBy("row", "doc_id").agg(
         F.max("n_words").cast("long").alias("n_words"), F.sum("new").cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    return out.withColumn("contaminated", _contaminated(share))
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, width: int = WIDTH, share: int = 20, id_col: str = "doc_id",
@@ -91,14 +100,17 @@ def remove_contamination(docs: DataFrame, bench: DataFrame, mode: str = "documen
     Mode ``documents`` drops rows over the share; mode ``spans`` drops each hit word with what follows it
     up to the next word, and keeps all rows. Other columns stay as they came.
     """
-    kept = landed(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "decontaminate")
-    rows = kept.select("row", F.lit(None).alias("doc_id"), words(F.col(f"doc.{text_col}")).alias("w"))
-    hits = _hits(rows, bench, width, bench_id, bench_text)
-    if mode == "documents":
-        bad = _verdicts(hits, share).where("contaminated").select(F.col("row").alias("bad"))
-        return kept.join(bad, F.col("row") == F.col("bad"), "left_anti").select("doc.*")
+    source = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    if mode == "documents":  # the mark rows carry the documents, so nothing is joined back
+        rows = source.select("row", F.lit(None).cast("int").alias("doc_id"), words(F.col(f"doc.{text_col}")).alias("w"), "doc")
+        judged = _hits(rows, bench, width, bench_id, bench_text).withColumn("new", _new_words()).withColumn(
+            "n_hit", F.sum("new").over(Window.partitionBy("row")))
+        return judged.where(F.col("doc").isNotNull() & ~_contaminated(share)).select("doc.*")
     if mode != "spans":
         raise ValueError(f"unknown mode {mode}")
+    kept = landed(source, "decontaminate")
+    rows = kept.select("row", F.lit(None).cast("int").alias("doc_id"), words(F.col(f"doc.{text_col}")).alias("w"))
+    hits = _hits(rows, bench, width, bench_id, bench_text)
     spans = hits.where("gram_len > 0").groupBy(F.col("row").alias("hit_row")).agg(
         F.collect_set(F.struct("pos", (F.col("pos") + F.col("gram_len")).alias("end"))).alias("spans"))
     text = F.col(f"doc.{text_col}")
