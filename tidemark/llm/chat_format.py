@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 START, END = "<|im_start|>", "<|im_end|>"
 NEWLINE = "<|newline|>"  # stands for a line break inside a role
@@ -78,7 +79,7 @@ def render_turn(role: str, text: str) -> str:
     raise ValueError("turn cannot be rendered")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _rendered(roles: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([render_turn(r or "", t or "") for r, t in zip(roles, texts)], dtype=object)
 

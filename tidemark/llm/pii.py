@@ -248,6 +248,10 @@ def _joined(spans: Column) -> Column:
         ":", F.element_at(names, x["kind"] + 1), x["lo"].cast("string"), x["hi"].cast("string"))), ",")
 
 
+def _count_of(kind: int) -> Column:
+    return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
+
 def find_pii(docs: DataFrame, precision: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of personal data, one row per row of ``docs``.
 
@@ -258,7 +262,7 @@ def find_pii(docs: DataFrame, precision: float = 0.95, id_col: str = "doc_id", t
     """
     found = landed(scan(docs, id_col, text_col), "pii")
     own, every = _spans(F.col("base"), F.col("cands"), fit_selector(found, precision))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_count_of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("row", "doc_id", *counts, own.alias("base"), every.alias("every")).select(
         "doc_id", *[f"n_{k}" for k in KINDS], _joined(F.col("base")).alias("base_spans"), _joined(F.col("every")).alias("spans"),
         F.col("every").alias("span_list"))
