@@ -107,7 +107,15 @@ def op9_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-@register("op8_chat_format")
+@register("op8_chat_format", r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+ union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+f as (select *, length(role) + length(text) + 24 + case when regexp_matches(text, '<\|im_(start|end)\|>|<\\+\|(im_start|im_end|newline)\|>')
+ then len(regexp_extract_all(text, '<\\*\|(im_start|im_end|newline)\|>')) else 0 end as n from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+ sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256, cast(sum(n) as bigint) as formatted_chars
+from f group by conv_id""")
 def op8_chat_format(spark, sf_dir):
     from tidemark.llm.chat_format import format_turns, read_back
 
