@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ids as I, text as T
 from tidemark.operators import dump as D, threads as H
 from tidemark.plans.registry import query
+from tidemark.session import scratch_path
 from tidemark.plans.views import with_views
 from tidemark.sources import documents as S, dump as U
 
@@ -307,20 +308,37 @@ def _(t):
                        F.md5(F.array_join("comments", "\n")).alias("digest"))
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def doc_store(t):
+    """The documents written by day, once per session and folder, and read back."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _WRITTEN:
+        path = scratch_path(t.spark, "doc-store")
+        created = F.concat_ws("-", F.substring("day", 1, 4), F.substring("day", 5, 2), F.concat(F.substring("day", 7, 2), F.lit(" 08:00")))
+        docs = t.documents_doc.select(F.col("submission_id").cast("string").alias("submission_id"), F.lit("t").alias("title"), created.alias("date"),
+                                      "subreddit", F.col("parts").alias("comments"))
+        S.write_documents(docs, path, F.col("date"))
+        _WRITTEN[key] = path
+    return S.read_documents(t.spark, _WRITTEN[key])
+
+
 @query("s06_available_dates", with_views("select day, count(*) as n from documents_doc group by day", "documents_doc"))
 def _(t):
-    docs = t.documents_doc
+    docs = doc_store(t)
     return S.available_dates(docs).join(docs.groupBy("day").agg(F.count("*").alias("n")), "day")
 
 
 @query("s06_ids_of_date", with_views("select submission_id from documents_doc where day = '20240105'", "documents_doc"))
 def _(t):
-    return S.ids_of_date(t.documents_doc, "20240105")
+    return S.ids_of_date(doc_store(t), "20240105").select(F.col("submission_id").cast("bigint").alias("submission_id"))
 
 
 @query("f03_date_range", with_views("select submission_id, day from documents_doc where day between '20240105' and '20240120' and day >= '20240110'", "documents_doc"))
 def _(t):
-    return S.in_date_range(t.documents_doc, "20240105", "20240120", resume_from="20240110").select("submission_id", "day")
+    found = S.in_date_range(doc_store(t), "20240105", "20240120", resume_from="20240110")
+    return found.select(F.col("submission_id").cast("bigint").alias("submission_id"), "day")
 
 
 @query("f04_look_back", "select event_id, event_type from events where ts >= timestamp '2024-01-28 12:00:00' - interval 168 hour order by ts desc, event_id desc limit 500")
