@@ -240,7 +240,7 @@ def _(t):
     x = F.floor(F.col("volume") / 100) % 7 - 2
     rows = W.Window.partitionBy("ticker").orderBy("date").rowsBetween(W.Window.unboundedPreceding, 0)
     base = t.prices.withColumns({"param_id": F.lit("p"), "x": x, "kind": F.lit("equity")})
-    eq = Y.equity_of(base.withColumn("equity", (10_000 + F.sum("x").over(rows)).cast("double")))
+    eq = Y.benchmark(base.select("ticker", "param_id", "date", "close", (10_000 + F.sum("x").over(rows)).cast("double").alias("equity")))
     out = Y.performance(eq, base.withColumn("pnl", F.col("x")))
     return out.select("ticker", "total_trades", *[F.round(c, 6).alias(c) for c in (
         "win_rate_pct", "total_return_pct", "buy_hold_return_pct", "excess_return_pct", "max_drawdown_pct", "sharpe_ratio")])
