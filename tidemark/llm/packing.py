@@ -29,11 +29,7 @@ def encoder(tokenizer: str):
     if tokenizer not in _ENCODERS:
         import os
 
-        from tokenizers import Tokenizer
-
-        slow = Tokenizer.from_file(tokenizer)
-        slow.encode_special_tokens = True
-        fast = None
+        fast, slow = None, []
         ranks = tokenizer.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -49,7 +45,12 @@ def encoder(tokenizer: str):
                     return fast.encode_ordinary(text)
                 except Exception:  # noqa: BLE001 - the library gives up on some very long runs
                     pass
-            return slow.encode(text, add_special_tokens=False).ids
+            if not slow:  # loaded only where it is needed, to save memory
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(tokenizer))
+                slow[0].encode_special_tokens = True
+            return slow[0].encode(text, add_special_tokens=False).ids
 
         _ENCODERS[tokenizer] = encode
     return _ENCODERS[tokenizer]
