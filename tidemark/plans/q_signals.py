@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import finance as N, stats as ST
 from tidemark.operators import regression as R, replay as Y, series as W
-from tidemark.plans.q_series import PANEL, V, ema_sql, panel_of
+from tidemark.plans.q_opinions import CTE, light_consensus
+from tidemark.plans.q_series import END, PANEL, START, V, ema_sql, panel_of
 from tidemark.plans.registry import query
 from tidemark.plans.views import with_views
 
@@ -121,6 +122,29 @@ def _(t):
                        "train_start", "train_end", extra=("x_std", "share_nonzero"))
 
 
+# the whole chain: opinions, conflicts, consensus, panel, then scan and walk-forward fits
+_CHAIN = dict(**CTE, opinion_days="select ticker, date, bull_score, bear_score, bull as n_bull, bear as n_bear from cons")
+
+
+def panel_of_opinions(t):
+    return W.stock_panel(W.sentiment_features(light_consensus(t)), t.prices, START, END)
+
+
+@query("r02_scan_of_opinions", with_views(
+    f"select ticker, horizon, span, case when coefficient > 0 then 'Momentum' else 'Contrarian' end as signal_type, {_FIT_SQL} from p where p_value < 0.5",
+    "sentiments", "prices", **_CHAIN, **scan_views(**_SCAN, p=with_p("g"))))
+def _(t):
+    fits = R.signal_scan(panel_of_opinions(t), SPANS, HORIZONS, p_threshold=0.5)
+    return fit_columns(fits, "ticker", "horizon", "span", "signal_type")
+
+
+@query("r06_winners_of_opinions", with_views(
+    "select ticker, k, model_id, horizon, span, round(r_squared, 6) as r_squared from win", "sentiments", "prices", **_CHAIN, **walk_views(**_WIN)))
+def _(t):
+    won = R.pick_winners(R.candidate_fits(R.features(panel_of_opinions(t), PLAN), PLAN), PLAN)
+    return won.select("ticker", "k", F.col("model_id").cast("bigint").alias("model_id"), "horizon", "span", F.round("r_squared", 6).alias("r_squared"))
+
+
 @query("r06_winning_models", with_views(f"select ticker, k, model_id, horizon, span, round(r_squared, 6) as r_squared from win", *V, **walk_views(**_WIN)))
 def _(t):
     won = R.pick_winners(R.candidate_fits(R.features(panel_of(t), PLAN), PLAN), PLAN)

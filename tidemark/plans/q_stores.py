@@ -466,6 +466,25 @@ def _(t):
     return opinions.groupBy("date", "submission_id").agg(F.count("*").alias("n"), F.sum("confidence").alias("conf"), F.min("ticker").alias("first_ticker"))
 
 
+_PAIR = "case when kind <> 'causal' and ticker > other then other else ticker end as ticker1, case when kind <> 'causal' and ticker > other then ticker else other end as ticker2"
+
+
+@query("s25_relationships", with_views(
+    f"""select date, ticker1, ticker2, kind as relationship_type, count(*) as mentions, count(distinct submission_id) as submissions, round(avg(confidence), 6) as avg_confidence
+        from (select strftime(date, '%Y%m%d') as date, submission_id, confidence, kind, {_PAIR} from (select *, concat('T', lpad(cast(sentiment_intensity - 1 as varchar), 2, '0')) as other,
+         case pos % 3 when 0 then 'inverse' when 1 then 'correlated' else 'causal' end as kind from sentiments)) group by 1, 2, 3, 4""", "sentiments"))
+def _(t):
+    s = t.sentiments
+    kind = F.when(F.col("pos") % 3 == 0, "inverse").when(F.col("pos") % 3 == 1, "correlated").otherwise("causal")
+    other = F.concat(F.lit("$t"), F.lpad((F.col("sentiment_intensity") - 1).cast("string"), 2, "0"))
+    link = F.struct(F.col("ticker").alias("ticker1"), other.alias("ticker2"), kind.alias("relationship_type"), F.lit("x").alias("description"), "confidence")
+    answers = s.select(
+        F.concat(F.date_format("date", "yyyyMMdd"), F.lit("_"), F.col("submission_id").cast("string"), F.lit("_c"), F.col("pos").cast("string")).alias("custom_id"),
+        F.to_json(F.struct(F.col("ticker").alias("primary_ticker"), F.array().cast("array<string>").alias("sentiments"), F.array(link).alias("ticker_relationships"))).alias("arguments"))
+    out = R.relationship_counts(R.flatten_relationships(R.parse_arguments(answers)))
+    return out.withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
 def _toy_extractor(text: str) -> str:
     if len(text) % 10 == 0:
         raise ValueError("refused")

@@ -132,6 +132,24 @@ def parse_arguments(answers: DataFrame) -> DataFrame:
     return parsed.select(F.inline(F.when(ok, F.array(F.struct(*names)))))
 
 
+def flatten_relationships(extractions: DataFrame) -> DataFrame:
+    """One row per ticker relationship; a pair is written in alphabetical order unless one side acts on the other."""
+    rows = extractions.select("date", "submission_id", F.explode("ticker_relationships").alias("r"))
+    one, two = normalise_ticker("r.ticker1"), normalise_ticker("r.ticker2")
+    turn = (one > two) & (F.col("r.relationship_type") != "causal")
+    return rows.select(
+        "date", "submission_id", F.when(turn, two).otherwise(one).alias("ticker1"), F.when(turn, one).otherwise(two).alias("ticker2"),
+        "r.relationship_type", "r.description", "r.confidence")
+
+
+def relationship_counts(relationships: DataFrame) -> DataFrame:
+    """Mentions, submissions and mean confidence per date, pair and kind; merged per submission first."""
+    pair = ["date", "ticker1", "ticker2", "relationship_type"]
+    per_submission = relationships.groupBy(*pair, "submission_id").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.count("confidence").alias("k"))
+    return per_submission.groupBy(*pair).agg(
+        F.sum("n").alias("mentions"), F.count("*").alias("submissions"), F.try_divide(F.sum("c"), F.sum("k")).alias("avg_confidence"))
+
+
 def valid_sentiment(s: Column) -> Column:
     """Domain checks of one opinion record; one bad record voids its extraction."""
     return F.coalesce(
