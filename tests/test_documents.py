@@ -127,6 +127,23 @@ def test_output_lines_drop_bad_rows(spark):
     assert [(r.submission_id, r.ticker) for r in got] == [("s", "AA")]
 
 
+def test_score_features_are_linear_in_comments(spark):
+    import time
+
+    from tidemark.operators import features as M
+
+    def seconds(n):
+        docs = spark.range(1).select(F.col("id").alias("submission_id"), F.lit("t").alias("title"), F.transform(
+            F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("Top level comment: x (score "), (i % 11).cast("string"), F.lit(")"))).alias("comments"))
+        start = time.perf_counter()
+        row = M.extract(docs, {"e": M.engagement_features}).select("avg_comment_score", "score_variance", "high_score_comments").first()
+        return time.perf_counter() - start, row
+
+    seconds(100)
+    took, row = seconds(22_000)
+    assert took < 10 and abs(row.avg_comment_score - 5) < 1e-9 and abs(row.score_variance - 10) < 1e-9 and row.high_score_comments == 12_000
+
+
 def test_latest_state_decides(spark):
     log = spark.createDataFrame([(1, "failed", "a", 1), (1, "processed", "b", 2), (2, "processed", "a", 1), (2, "failed", "b", 2), (3, "failed", "a", 1), (3, "processed", "b", 1)],
                                 "submission_id long, status string, session_id string, ts long")

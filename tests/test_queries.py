@@ -7,7 +7,8 @@ from tests.check_oracles import compare, connect
 
 SMALL = "/root/testdata/sf0.001"
 NAMES = ("a11_confidence_weighted", "a01_consensus_core", "t04_most_bullish", "c13_dump_documents", "j10_thread_assembly", "s25_extraction_outputs",
-         "w01_ema", "r05_walk_forward", "m03_keyword_features", "m14_ranking_metrics", "st2_duplicate_suppression", "st3_daily_consensus")
+         "w01_ema", "r05_walk_forward", "m03_keyword_features", "m14_ranking_metrics", "st2_duplicate_suppression", "st3_daily_consensus", "st7_skip_done_days",
+         "s24_request_jobs", "s25_relationships", "m06_engagement_features")
 
 
 @pytest.fixture(scope="module")

@@ -90,6 +90,45 @@ def test_as_of_takes_last_known(spark):
     assert [(r.date, r.v_at_date) for r in W.as_of(pts, ser, ["v"]).orderBy("date").collect()] == [("2024-01-01", None), ("2024-01-04", 2.0)]
 
 
+def test_scaling_uses_the_population_deviation(spark):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    df = spark.range(7).select(array_to_vector(F.array((F.col("id") * F.col("id")).cast("double"), F.lit(3.0))).alias("features"))
+    v = N.fit_scaler(df).transform(df).select(vector_to_array("scaled").alias("v"))
+    got = v.agg(F.avg(F.col("v")[0]).alias("m"), F.stddev_pop(F.col("v")[0]).alias("s"), F.max(F.abs(F.col("v")[1])).alias("c")).first()
+    assert abs(got.m) < 1e-12 and abs(got.s - 1) < 1e-12 and got.c == 0
+
+
+def test_keys_without_trades_stay(spark):
+    rows = [("A", "p", f"2024-01-{i + 1:02d}", 100.0 + i, None, 0.5, 2, 0) for i in range(5)]
+    df = spark.createDataFrame(rows, "ticker string, param_id string, date string, close double, side string, share double, active_horizon int, model_id long").withColumn("date", F.to_date("date"))
+    done = Y.replay(df, [Y.ReplayRules("p")])
+    figures = Y.performance(Y.equity_of(done), Y.trades_of(done)).first()
+    assert figures.total_trades == 0 and figures.win_rate_pct is None and figures.total_return_pct == 0
+
+
+def test_cash_and_positions_make_the_equity(spark):
+    rng = np.random.default_rng(3)
+    for several in (False, True):
+        close = 50 * np.exp(np.cumsum(rng.normal(0, 0.08, 120)))
+        side = [None if u < 0.6 else ("long" if u < 0.8 else "short") for u in rng.random(120)]
+        rule = Y.ReplayRules("p", several_positions=several, share=0.3, default_horizon=6)
+        df = spark.createDataFrame([("A", "p", i, float(c), s, 0.3, None, 1) for i, (c, s) in enumerate(zip(close, side))],
+                                   "ticker string, param_id string, i int, close double, side string, share double, active_horizon int, model_id long")
+        done = Y.replay(df.withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("i"))).drop("i"), [rule])
+        got = {(r.date.isoformat()): r.equity for r in Y.equity_of(done).collect()}
+        placed = [r for r in done.positions.orderBy("i").collect()]
+        assert placed and (several or all(a.x is not None and a.x <= b.i for a, b in zip(placed, placed[1:])))
+        for day in range(120):  # equity from the ledger by definition
+            cash = rule.capital
+            for p in placed:
+                sign = 1 if p.position_type == "long" else -1
+                if p.i < day:
+                    worth = p.shares * (close[min(day, 119)] if sign == 1 else p.base + p.entry_price - close[day])
+                    cash += (p.shares * p.profit_each) if p.x is not None and p.x <= day else worth - p.shares * p.base
+            assert got[str((pd.Timestamp("2024-01-01") + pd.Timedelta(days=day)).date())] == pytest.approx(cash, rel=1e-9)
+
+
 def test_hash_ranks_are_exact(spark):
     df = spark.range(5000).selectExpr("id as submission_id", "if(id % 3 = 0, 1, 0) as label")
     got = N.hash_ranked(df, "label", "submission_id").groupBy("label").agg(F.countDistinct("rn").alias("n"), F.max("rn").alias("hi"), F.min("rn").alias("lo"), F.max("n_stratum").alias("s")).collect()

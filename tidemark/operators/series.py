@@ -213,14 +213,20 @@ def as_of(points: DataFrame, series: DataFrame, values: list[str], at: str = "da
           key: str = "ticker") -> DataFrame:
     """For each point the last series row at or before it; NULL when the point comes first.
 
-    Points and series are stacked and read in order once, instead of a range join.
+    Points and series are stacked and read in order once per month, instead of a range join; what a month
+    starts with is carried over from the last marks of the months before, a few rows per key.
     """
     packed = F.struct(*values).alias("v")
     rows = points.select(F.struct(*points.columns).alias("p"), F.col(key), F.col(at).alias("_at"), F.lit(1).alias("_kind"))
     marks = series.select(key, F.col("date").alias("_at"), F.lit(0).alias("_kind"), packed)
-    w = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.unionByName(marks, allowMissingColumns=True).withColumn("v", F.last("v", ignorenulls=True).over(w))
-    return found.where("p is not null").select("p.*", *[F.col(f"v.{c}").alias(f"{c}_at_{at}") for c in values])
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_month", F.date_format("_at", "yyyy-MM"))
+    w = Window.partitionBy(key, "_month").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(key, "_month").agg(F.max_by("v", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_end"))
+    carried = ends.select(key, "_month", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    found = both.withColumn("v", F.last("v", ignorenulls=True).over(w)).where("p is not null").join(carried, [key, "_month"], "left")
+    v = F.coalesce("v", "_before")
+    return found.select("p.*", *[v[c].alias(f"{c}_at_{at}") for c in values])
 
 
 def ticker_coverage(consensus: DataFrame, prices: DataFrame, top: int | None = None) -> DataFrame:

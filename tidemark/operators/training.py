@@ -57,10 +57,19 @@ def column_stats(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def fit_scaler(train: DataFrame, features: str = "features", output: str = "scaled"):
-    """Scaler fitted on the training part only. It divides by the sample deviation."""
-    from pyspark.ml.feature import StandardScaler
+    """Scaler fitted on the training part only: mean 0 and population deviation 1, as in ``column_stats``.
 
-    return StandardScaler(withMean=True, withStd=True, inputCol=features, outputCol=output).fit(train)
+    The built-in scaler divides by the sample deviation, so one constant factor follows it.
+    """
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import ElementwiseProduct, StandardScaler
+    from pyspark.ml.linalg import Vectors
+
+    scaler = StandardScaler(withMean=True, withStd=True, inputCol=features, outputCol=f"{output}_sample").fit(train)
+    n = train.count()
+    factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
+    constant = ElementwiseProduct(scalingVec=Vectors.dense([factor] * len(scaler.mean)), inputCol=f"{output}_sample", outputCol=output)
+    return PipelineModel([scaler, constant])
 
 
 def make_classifier(kind: str = "logistic_regression", features: str = "scaled", label: str = "label", **params):
