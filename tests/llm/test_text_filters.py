@@ -54,6 +54,32 @@ def test_candidates_near_the_base_forms_are_added(spark):
     assert plan.select(pii.redacted(plan.text, plan.s).alias("t")).first().t == "mail [email] or [phone]!"
 
 
+def test_near_forms_of_every_kind_are_added_and_decoys_are_not(spark):
+    def card(stem):
+        return next(f"{stem}{d}" for d in range(10) if luhn(f"{stem}{d}"))
+
+    base = [t for i in range(200) for t in (
+        f"write to u{i}.x@host{i}.example soon", f"the host 10.0.{i}.7 is up", f"her card {card(411111111111000 + i)} was used", f"please call +1 (555) 555-{i:04d} today")]
+    near = [t for i in range(20) for t in (
+        f"write to a{i}.b [at] host{i} [dot] com soon", f"write to a{i}.b@host{i} (dot) com soon", f"the host 10[.]0[.]{i}[.]9 is up", f"the host 10,0,{i},8 is up",
+        f"her card {card(37828224631000 + i)} was used", f"please call (555) 556-{i:04d} today")]
+    decoys = [t for i in range(20) for t in (
+        f"the counts 1,2,{i},4 are in", f"release 300[.]1[.]{i}[.]2 is out", f'token = "ab{77000000 + i}cd{i}"', f"order {20240000 + i} was sent",
+        f"order {int(card(37828224631100 + i)) ^ 1} was sent", f"stamp {1700000000000 + 37 * i} of the log")]
+    texts = base + near + decoys
+    rows = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        if i < len(base):
+            assert rows[i].base_spans and rows[i].spans == rows[i].base_spans, text
+        elif i < len(base) + len(near):
+            kind = ("email", "email", "ip", "ip", "card", "phone")[(i - len(base)) % 6]
+            (span,) = [s.split(":") for s in rows[i].spans.split(",") if s.startswith(kind)] or [None]
+            assert not rows[i].base_spans and span, text
+            assert text[int(span[1]):int(span[2])].strip() in text.split("to ")[-1].split("host ")[-1].split("card ")[-1].split("call ")[-1], text
+        else:
+            assert rows[i].spans == "", text
+
+
 def test_boosting_separates_and_columns_agree_with_it(spark):
     cells = [((3, d, m, 4, 0, 0, 0, w), 50 * (d >= 10 and m >= 2), 50) for d in range(7, 15) for m in range(5) for w in (0, 1)]
     model = pii.boost(cells)

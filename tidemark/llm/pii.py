@@ -31,7 +31,13 @@ CANDIDATES = (
     r"(?<![0-9])[0-9](?:[ ./_-]{0,2}[0-9]){12,18}(?![0-9])",
     r"(?<![0-9])[+(]{0,2}[0-9](?:[ ().-]{0,3}[0-9]){6,14}(?![0-9])",
 )
-_WORDS = r"(?i)(mail|contact|tel|phone|call|mobil|fax|card|visa|karte|carte|tarjeta|ip|host|server|addr)"
+# words that announce a kind, by kind
+_WORDS = (
+    r"(?i)(mail|contact|kontakt|correo|courriel)",
+    r"(?i)(\bips?\b|\bhosts?\b|hostname|server|addr)",
+    r"(?i)(\bcards?\b|\bvisa\b|mastercard|amex|karten?\b|\bcartes?\b|tarjeta)",
+    r"(?i)(\btel\b|telef|t[eé]l[eé]ph|\bphone|\bcall|\bmobil|\bfax|\bhandy|whatsapp)",
+)
 
 # (name, number of values): a candidate's features are small numbers packed into one code, so the
 # distinct codes are bounded by the product of the sizes, whatever the corpus
@@ -73,19 +79,57 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
+def _by_kind(kind: Column, values) -> Column:
+    out = F.when(kind == 0, values[0])
+    for k, value in enumerate(values[1:], 1):
+        out = out.when(kind == k, value)
+    return out
+
+
+def _masked(x: Column) -> Column:
+    """The candidate without what tells near forms from base forms: spelled-out marks, foreign dots, the plus sign."""
+    m = x["m"]
+    plain = F.regexp_replace(F.regexp_replace(m, _AT, "@"), _DOT, ".")
+    return _by_kind(x["kind"], (plain, F.replace(m, F.lit("[.]"), F.lit(".")), m, F.replace(m, F.lit("+"), F.lit(""))))
+
+
+def _left(text: Column, x: Column) -> Column:
+    return F.substr(text, F.greatest(x["lo"] - 20, F.lit(0)) + 1, F.least(x["lo"], F.lit(20)))
+
+
+def _word(text: Column, x: Column) -> Column:
+    left = _left(text, x)
+    return _by_kind(x["kind"], [left.rlike(w) for w in _WORDS])
+
+
+def _valid(text: Column, x: Column) -> Column:
+    """The contract's checks, without its marks: a named top domain, byte values, Luhn sum, 8 to 15 digits; numbers stand free."""
+    around = F.substr(text, F.greatest(x["lo"], F.lit(1)), F.when(x["lo"] > 0, 1).otherwise(0)), F.substr(text, x["hi"] + 1, F.lit(4))
+    free = ~around[0].rlike(r"[\p{L}0-9]") & ~around[1].rlike(r"^[\p{L}0-9]")
+    octets = F.replace(_masked(x), F.lit(","), F.lit(".")).rlike(_IP_OK) & ~around[1].rlike(r"^(\[\.\]|[.,])[0-9]") & ~_left(text, x).rlike(r"[0-9](\[\.\]|[.,])$")
+    return _by_kind(x["kind"], (
+        _masked(x).rlike(r"\.[A-Za-z]{2,}$"), free & octets, free & _luhn(x["m"]), free & _n_digits(x["m"]).between(8, 15)))
+
+
+def _evidence(text: Column, x: Column) -> Column:
+    """What speaks for a valid candidate besides its form: commas may be a list and digits any number, so those need a word or a plus."""
+    always = F.lit(True)
+    return _by_kind(x["kind"], (always, ~F.contains(x["m"], F.lit(",")) | _word(text, x), always, F.contains(x["m"], F.lit("+")) | _word(text, x)))
+
+
 def _char_class(c: Column) -> Column:
     return F.when(F.trim(c) == "", 0).when(c.rlike(r"^\p{L}"), 1).when(c.rlike("^[0-9]"), 2).otherwise(3)
 
 
 def _code(text: Column, x: Column) -> Column:
-    m = x["m"]
-    left = F.substr(text, F.greatest(x["lo"] - 20, F.lit(0)) + 1, F.least(x["lo"], F.lit(20)))
+    m = _masked(x)
+    letters = F.least(F.floor(3 * F.length(F.regexp_replace(m, r"[^\p{L}]", "")) / F.length(m)), F.lit(2))
     values = (
         x["kind"], F.least(_n_digits(m), F.lit(20)), F.least(F.length(F.regexp_replace(m, r"[\p{L}0-9]", "")), F.lit(4)),
-        F.least(F.length(F.regexp_extract(m, "([0-9]*)[^0-9]*$", 1)), F.lit(5)), F.least(F.floor(
-            3 * F.length(F.regexp_replace(m, r"[^\p{L}]", "")) / F.length(m)), F.lit(2)),
-        _char_class(F.right(left, F.lit(1))), _char_class(F.substr(text, x["hi"] + 1, F.lit(1))),
-        F.when(left.rlike(_WORDS), 1).otherwise(0))
+        F.least(F.length(F.regexp_extract(m, "([0-9]*)[^0-9]*$", 1)), F.lit(5)),
+        F.when(x["kind"] == 1, F.contains(m, F.lit(",")).cast("int")).otherwise(letters),  # addresses have no letters, but may have commas
+        _char_class(F.right(_left(text, x), F.lit(1))), _char_class(F.substr(text, x["hi"] + 1, F.lit(1))),
+        F.when(_word(text, x), 1).otherwise(0))
     code = F.lit(0).cast("long")
     for (_, size), value in zip(FEATURES, values):
         code = code * size + value
@@ -93,7 +137,10 @@ def _code(text: Column, x: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans and coded candidates (with a mark where they meet a base span of their kind) of every row."""
+    """Base spans and coded candidates of every row, these with their validity, their label and whether they meet a base span.
+
+    The label (``sure``) does not hang on the base forms: a valid candidate with evidence for its kind has it too.
+    """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
     digit, at = text.rlike("[0-9]"), text.rlike(r"@|[\[({]\s?(?i:at)\s?[\])}]")
@@ -101,7 +148,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         _located(text, pattern, kind, at if kind == 0 else digit) for kind, pattern in enumerate(CANDIDATES)]))
     coded = F.transform("raw", lambda x: F.struct(
         x["kind"].alias("kind"), x["lo"].alias("lo"), x["hi"].alias("hi"), _code(text, x).alias("code"),
-        F.exists("base", lambda b: (b["kind"] == x["kind"]) & (b["lo"] < x["hi"]) & (x["lo"] < b["hi"])).alias("hit"),
+        _valid(text, x).alias("valid"), (_valid(text, x) & _evidence(text, x) | F.exists(
+            "base", lambda b: (b["kind"] == x["kind"]) & (b["lo"] < x["hi"]) & (x["lo"] < b["hi"]))).alias("sure"),
         F.exists("base", lambda b: (b["lo"] < x["hi"]) & (x["lo"] < b["hi"])).alias("meets")))
     slim = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["lo"].alias("lo"), b["hi"].alias("hi")))
     return found.select("row", "doc_id", slim.alias("base"), coded.alias("cands"))
@@ -178,7 +226,10 @@ def _leaf_of(tree, values) -> float:
 
 
 def score_of(model, values) -> float:
-    return model[0] + sum(_leaf_of(t, values) for t in model[1])
+    total = model[0]
+    for tree in model[1]:  # plain additions in the column's order, so a score at a threshold is equal to it in both
+        total = total + _leaf_of(tree, values)
+    return total
 
 
 def _score_column(model, code: Column) -> Column:
@@ -199,15 +250,29 @@ def _score_column(model, code: Column) -> Column:
 
 
 def thresholds(model, held, precision: float) -> list[float]:
-    """Per kind the lowest score at which held-out candidates above it are right in ``precision`` of cases."""
+    """Per kind the lowest score at which held-out candidates are right in ``precision`` of cases.
+
+    Scores are pooled to falling shares first (adjacent violators), so the many base forms at the top do not
+    carry wrong ones at the bottom; all above the threshold together must hold the precision too, counted with
+    one right and one wrong more.
+    """
     out = []
     for kind in range(len(KINDS)):
-        own = sorted(((score_of(model, v), p, n) for v, p, n in held if v[0] == kind), reverse=True)
+        levels = {}
+        for v, p, n in held:
+            if v[0] == kind:
+                level = levels.setdefault(score_of(model, v), [0, 0])
+                level[0], level[1] = level[0] + p, level[1] + n
+        pools = []  # (lowest score, right, all), from the highest score down
+        for s, (p, n) in sorted(levels.items(), reverse=True):
+            pools.append((s, p, n))
+            while len(pools) > 1 and pools[-1][1] * pools[-2][2] >= pools[-2][1] * pools[-1][2]:
+                (s, p, n), (_, q, m) = pools.pop(), pools.pop()
+                pools.append((s, p + q, n + m))
         at, pos, count = math.inf, 0, 0
-        for i, (s, p, n) in enumerate(own):
+        for s, p, n in pools:
             pos, count = pos + p, count + n
-            last = i + 1 == len(own) or own[i + 1][0] < s
-            if last and (pos + 1) / (count + 2) >= precision:
+            if p >= precision * n and (pos + 1) / (count + 2) >= precision:
                 at = s
         out.append(at)
     return out
@@ -217,16 +282,20 @@ def fit_selector(found: DataFrame, precision: float = 0.95):
     """Boosted trees over all candidates of the corpus; a fifth of the rows calibrates the thresholds.
 
     Candidates are counted per feature code first, so what reaches the driver is bounded by the feature
-    sizes. The label is whether the candidate meets a valid base span of its kind.
+    sizes. The label is ``sure`` of ``scan``; the features hide what tells near forms from base forms.
+    Only valid candidates can be added, so only they are calibrated on; nine numbers that fail the Luhn sum
+    stand for one that passes it by chance.
     """
     held = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 0
     rows = found.select(held.alias("held"), F.explode("cands").alias("c")).groupBy("held", "c.code").agg(
-        F.count_if("c.hit").alias("pos"), F.count("*").alias("n")).collect()
-    parts = {side: sorted((_unpacked(r["code"]), r["pos"], r["n"]) for r in rows if r["held"] == side) for side in (True, False)}
-    if not parts[False]:
+        F.count_if("c.sure").alias("pos"), F.count_if(F.col("c.sure") | F.col("c.valid")).alias("open"), F.count("*").alias("n")).collect()
+    fit = sorted((_unpacked(r["code"]), r["pos"], r["n"]) for r in rows if not r["held"])
+    if not fit:
         return None
-    model = boost(parts[False])
-    return model, thresholds(model, parts[True], precision)
+    tried = sorted((_unpacked(r["code"]), r["pos"], r["open"], r["n"]) for r in rows if r["held"] and r["open"])
+    tried = [(v, max(0.0, p - (n - m) / 9) if v[0] == 2 else p, m) for v, p, m, n in tried]
+    model = boost(fit)
+    return model, thresholds(model, tried, precision)
 
 
 def _spans(base: Column, cands: Column, selector) -> tuple[Column, Column]:
@@ -238,7 +307,7 @@ def _spans(base: Column, cands: Column, selector) -> tuple[Column, Column]:
     model, cuts = selector
     def chosen(x):
         least = F.element_at(F.array(*[F.lit(float(c)) for c in cuts]), (x["kind"] + 1).cast("int"))
-        return ~x["meets"] & (_score_column(model, x["code"]) >= least)
+        return ~x["meets"] & x["valid"] & (_score_column(model, x["code"]) >= least)
     return own, F.array_sort(F.concat(base, F.transform(F.filter(cands, chosen), slim)))
 
 
@@ -255,7 +324,7 @@ def _count_of(kind: int) -> Column:
 def find_pii(docs: DataFrame, precision: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of personal data, one row per row of ``docs``.
 
-    Base spans always stay. A candidate that meets no base span is added where the trees score it above
+    Base spans always stay. A valid candidate that meets no base span is added where the trees score it above
     its kind's calibrated threshold. Returns doc_id, counts of base spans per kind, base_spans and spans
     as text, and both as arrays. Null text counts as empty; texts without data have empty spans; repeated
     rows are scanned each for itself; extra columns are not read; no rows give no rows.
