@@ -198,3 +198,20 @@ def test_templates_of_bad_branches_are_rejected(spark):
     by = {r.path: r for r in rows}
     assert by["/spam/300"].rule is None and by["/spam/300"].verdict == "block" and by["/spam/300"].template == "/spam/*"
     assert by["/news/300"].verdict == "allow" and by["/news/300"].template == "/news/*"
+
+
+def test_sections_stay_apart_beside_many_single_pages_and_at_any_depth(spark):
+    rules = tuple(("flat.net", f"{start}/{part}/{i}", says) for start in ("", "/a/b/c/d/e/f/g")
+                  for part, says in (("spam", "block"), ("news", "allow")) for i in (1, 2))
+    slugs = ["".join("abcdefghij"[int(c)] for c in str(i)) for i in range(1000, 1600)]
+    paths = [f"{start}/{part}/{i}" for start in ("", "/a/b/c/d/e/f/g") for part in ("spam", "news") for i in range(100, 400)]
+    paths += [f"/{s}" for s in slugs] + ["/x/1/2/3/4/5/6/7/8/9"]
+    urls = [f"http://flat.net{p}" for p in paths] + ["http://deep.net/x/y/z/u/v/w/q/r"]
+    rows = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert len(rows) == len(urls)
+    by = {r.path: r for r in rows}
+    assert by["/spam/300"].template == "/spam/*" and by["/spam/300"].verdict == "block"
+    assert by["/news/300"].template == "/news/*" and by["/news/300"].verdict == "allow" and by[f"/{slugs[7]}"].template == "/*"
+    deep = by["/a/b/c/d/e/f/g/spam/300"], by["/a/b/c/d/e/f/g/news/300"]
+    assert [r.template.split("/")[-2:] for r in deep] == [["spam", "*"], ["news", "*"]] and [r.verdict for r in deep] == ["block", "allow"]
+    assert by["/x/1/2/3/4/5/6/7/8/9"].template.count("/") == 10 and by["/x/y/z/u/v/w/q/r"].template == "/*" * 8

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,37 +48,45 @@ def _differs(hits: str, of: str, z: float) -> Column:
     return F.pow(p - q, 2) > z * z * pool * (1 - pool) * (1 / (n + 1) + 1 / (m + 1))
 
 
-def path_templates(paths: DataFrame, depth: int = 6, min_support: int = 5, thin: float = 3.0, z: float = 2.0) -> DataFrame:
+def path_templates(paths: DataFrame, depth: int | None = None, min_support: int = 5, z: float = 2.0) -> DataFrame:
     """Template of each (host, path) row of ``paths`` (host, path, n, labelled, blocked).
 
     Level by level under each host: a variable segment becomes ``*``. A literal branch stays one only if it
-    has ``min_support`` pages, its parent's branches are not mostly singletons (``thin`` pages each on
-    average), and its blocked share or its share of pages that end here differs from its siblings';
-    similar branches merge into ``*``. What lies below ``depth`` is one ``**``.
+    has ``min_support`` pages and its blocked share or its share of pages that end here differs from its
+    siblings'; the others merge into ``*``. Levels run until no path has a further segment, and paths under a
+    parent with fewer pages than ``min_support`` take all their ``*`` at once; with ``depth``, what lies below
+    it is one ``**``.
     """
     rows = cut_lineage(paths.withColumn("segs", F.array_remove(F.split("path", "/"), "")).withColumn("tpl", F.lit("")))
-    deepest = rows.agg(F.max(F.size("segs"))).first()[0] or 0
     sums = ("n", "labelled", "blocked", "leaf")
-    for level in range(min(depth, deepest)):
+    ended, level = [], 0
+    while (depth is None or level < depth) and (rows.agg(F.max(F.size("segs"))).first()[0] or 0) > level:
         seg = F.get("segs", F.lit(level))
         rows = rows.withColumn("leaf", F.when(F.size("segs") == level + 1, F.col("n")).otherwise(0)).withColumn(
             "shape", F.when(seg.rlike(_VARIABLE), F.lit("*")).otherwise(seg))
-        going, done = rows.where("shape is not null"), rows.where("shape is null")
+        going = rows.where("shape is not null")
+        ended.append(rows.where("shape is null").drop("leaf", "shape"))
         branches = going.groupBy("host", "tpl", "shape").agg(*[F.sum(c).alias(c) for c in sums])
-        parents = branches.groupBy("host", "tpl").agg(
-            F.count("*").alias("branches"), *[F.sum(c).alias(f"all_{c}") for c in sums])
+        parents = branches.groupBy("host", "tpl").agg(*[F.sum(c).alias(f"all_{c}") for c in sums])
         joined = spread_lookup(branches, ["host", "tpl"], parents, "shape")
-        own = (F.col("shape") != "*") & (F.col("n") >= min_support) & (F.col("all_n") >= thin * F.col("branches")) & (
-            _differs("blocked", "labelled", z) | _differs("leaf", "n", z))
-        named = joined.select("host", "tpl", "shape", F.concat(
+        own = (F.col("shape") != "*") & (F.col("n") >= min_support) & (_differs("blocked", "labelled", z) | _differs("leaf", "n", z))
+        named = joined.select("host", "tpl", "shape", (F.col("all_n") < min_support).alias("few"), F.concat(
             "tpl", F.lit("/"), F.when(own, F.col("shape")).otherwise(F.lit("*"))).alias("grown"))
-        going = spread_lookup(going, ["host", "tpl", "shape"], named, "path").drop("tpl").withColumnRenamed("grown", "tpl")
-        rows = cut_lineage(done.drop("leaf", "shape").unionByName(going.drop("leaf", "shape")))
-    tail = F.when(F.size("segs") > depth, F.concat("tpl", F.lit("/**"))).otherwise(F.col("tpl"))
-    return rows.withColumn("tpl", tail).drop("segs")
-
-
-def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.8, prior: float = 5.0, depth: int = 6,
+        going = spread_lookup(going, ["host", "tpl", "shape"], named, "path").drop("tpl", "leaf", "shape").withColumnRenamed("grown", "tpl")
+        going = cut_lineage(going)
+        level += 1
+        few, rows = going.where("few").drop("few"), going.where("not few").drop("few")
+        more = (F.size("segs") if depth is None else F.least(F.size("segs"), F.lit(depth))) - level
+        ended.append(few.withColumn("tpl", F.concat("tpl", F.repeat(F.lit("/*"), more))))
+        if len(ended) > 30:  # a long plan is cut now and then
+            ended = [cut_lineage(reduce(DataFrame.unionByName, ended))]
+    rows = reduce(DataFrame.unionByName, ended, rows)
+    if depth is not None:
+        rows = rows.withColumn("tpl", F.when(F.size("segs") > depth, F.concat("tpl", F.lit("/**"))).otherwise(F.col("tpl")))
+    return cut_lineage(rows.drop("segs"))
+
+
+def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.8, prior: float = 5.0, depth: int | None = None,
                id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Verdict of every url: that of its longest rule, else that of its path template.
 
