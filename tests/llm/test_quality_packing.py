@@ -85,6 +85,17 @@ def test_plans_hold_exactly_the_histogram(histogram):
     assert sum(n for _, n in plan) <= 2 * -(-total // 64) + 1
 
 
+def test_the_program_places_nearly_all_of_many_lengths():
+    count = np.array([0] + [40 + i % 7 for i in range(1000)] + [0] * 24)
+    total = sum(k * int(n) for k, n in enumerate(count))
+    weights = packing.solve_configurations(count, 1024)
+    assert sum(int(w) * sum(config) for config, w in weights.items()) > 0.9 * total
+    plan, held = packing.plan_packing({k: int(n) for k, n in enumerate(count) if n}, 1024), Counter()
+    for config, n in plan:
+        held.update({k: n * m for k, m in Counter(config).items()})
+    assert all(held[k] == n for k, n in enumerate(count)) and sum(n for _, n in plan) <= 1.01 * -(-total // 1024) + 1
+
+
 def packed_is_whole(df, docs, room):
     rows = df.collect()
     reference = Tokenizer.from_file(TOKENIZER)

@@ -111,19 +111,20 @@ def _knapsack(price: np.ndarray, count: np.ndarray, room: int) -> Counter:
     return config
 
 
-def solve_configurations(count: np.ndarray, room: int, rounds: int = 160, eps: float = 0.5) -> dict[tuple, float]:
+def solve_configurations(count: np.ndarray, room: int, rounds: int | None = None, eps: float = 0.5) -> dict[tuple, float]:
     """Weights of configurations (sorted tuples of lengths) that approximately cover ``count``.
 
     Multiplicative weights: lengths start at their share of the room, which is their price where nothing
     is wasted. Each round the knapsack finds the best configuration at the current weights, it enters with
     the largest step that covers no length twice, and the weights of what it covers fall with the share
-    covered.
+    covered. A round uses up at least one length, so as many rounds as there are lengths cover all of them;
+    fewer ``rounds`` leave the rest uncovered.
     """
     demand = count.astype(float)
     left = demand.copy()
     weight = np.where(count > 0, np.arange(room + 1) / room, 0.0)
     chosen: Counter = Counter()
-    for _ in range(rounds):
+    for _ in range(np.count_nonzero(count) if rounds is None else rounds):
         whole = np.floor(left + 1e-9).astype(np.int64)
         config = _knapsack(weight, whole, room)
         if not config:
@@ -136,12 +137,12 @@ def solve_configurations(count: np.ndarray, room: int, rounds: int = 160, eps: f
     return dict(chosen)
 
 
-def plan_packing(histogram: dict[int, int], room: int, rounds: int = 160) -> list[tuple[tuple[int, ...], int]]:
+def plan_packing(histogram: dict[int, int], room: int, rounds: int | None = None) -> list[tuple[tuple[int, ...], int]]:
     """Whole numbers of sequences per configuration that hold exactly ``histogram``.
 
     The program's weights are rounded down, never above what is left of a length; the rest goes best fit
     decreasing, on counts: the longest length opens sequences, and the fullest open configuration it fits
-    takes as many of it as there are. The work is bounded by room, rounds and distinct configurations,
+    takes as many of it as there are. The work is bounded by room, distinct lengths and configurations,
     not by the number of pieces.
     """
     left = np.zeros(room + 1, dtype=np.int64)
@@ -212,7 +213,7 @@ def _placement(plan, room: int) -> dict[int, tuple]:
 
 
 def _places_column(placement):
-    """The plan's size is bounded by room and rounds, so it may travel with the function."""
+    """The plan's size is bounded by room and the distinct lengths, so it may travel with the function."""
 
     @F.pandas_udf("sequence_id long, offset long")
     def places(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -230,7 +231,7 @@ def _places_column(placement):
     return places
 
 
-def pack(docs: DataFrame, tokenizer: str, room: int = 1024, rounds: int = 160, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, room: int = 1024, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in as few sequences of at most ``room`` tokens as the program finds.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece. A document is
