@@ -1,4 +1,4 @@
-"""Exact duplicates by a tree merge of sorted digest runs, in DataFrame operations only."""
+"""Exact duplicates by salted aggregation of digests in two levels, which stands in for a tree merge of sorted runs."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def merge_runs(base: DataFrame) -> DataFrame:
     """One row per row of ``base`` with the winner of its group and the group's size.
 
-    Rows are dealt into leaf runs. A run holds each digest once, with the best candidate seen so far:
+    Rows are dealt into leaf runs, hash slices of the row number that are not sorted. A run holds each digest once, with the best candidate seen so far:
     most code points, then smallest id (null ids last), then first row. Runs of a round merge ``fan`` at a
     time until one is left per digest; digests meet only if digest, proof and length all agree. Answers
     go down the same tree, so a group of any size never meets in one task.
