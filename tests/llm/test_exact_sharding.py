@@ -3,9 +3,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from tests.llm.conftest import CLASHES
 from tidemark.llm.exact_dedup import drop_copies, exact_groups
-from tidemark.llm.sharding import assign_shards
+from tidemark.llm.sharding import assign_shards, propagate
 
 
 def norm(text):
@@ -71,3 +73,17 @@ def test_linked_rows_meet_and_hot_groups_fill_whole_shards(spark):
 def test_all_rows_linked_still_even(spark):
     df = spark.createDataFrame([(i, f"t{i % 7}") for i in range(103)], "doc_id long, text string")
     check_shards(assign_shards(df, 10), 103, 10)
+
+
+def test_propagation_goes_on_until_nothing_is_granted(spark):
+    texts = [f"g{i % 60}" for i in range(1200)]
+    rows = [(f"g{i % 60}", 0, (i * 7919 + i // 60) % 30) for i in range(len(texts))]
+    counts = Counter(rows)
+    cells = spark.createDataFrame([(*k, n) for k, n in counts.items()], "key string, chunk long, shard int, n long")
+    quota = {s: 60 for s in range(30)}
+    fixed = propagate(cells, quota, 30)
+    once = propagate(fixed, quota, 30, 1)
+    assert sorted(map(tuple, fixed.collect())) == sorted(map(tuple, once.collect()))
+    assert fixed.groupBy().sum("n").first()[0] == 1200
+    with pytest.warns(UserWarning, match="still moved"):
+        propagate(cells, quota, 30, 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,23 +26,21 @@ def _merged(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*_CLUSTER, "shard").agg(F.sum("n").alias("n"))
 
 
-def _loads(cells: DataFrame) -> tuple[dict[int, int], list]:
-    """Rows per shard, and what changes with every round that moves something."""
-    rows = cells.groupBy("shard").agg(
-        F.sum("n").alias("n"), F.count("*").alias("cells"), F.sum(F.col("n") * F.col("n")).alias("squares")).collect()  # one row per shard
-    return {r["shard"]: r["n"] for r in rows}, sorted(map(tuple, rows))
+def _loads(cells: DataFrame) -> dict[int, int]:
+    return {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row per shard
 
 
-def propagate(cells: DataFrame, quota: dict[int, int], shards: int, rounds: int) -> DataFrame:
+def propagate(cells: DataFrame, quota: dict[int, int], shards: int, rounds: int = 32) -> DataFrame:
     """Labels of the members of each cluster move to the shard where most of them can meet.
 
     A cell is the number of a cluster's members with one label; members of a cluster are all linked with
     each other, so votes are cell counts. The wanted shard is that with the largest reach: members there
     plus members that still fit. A wish is granted in part where the shard's free quota ends, so a round
-    never overfills a shard. Ends early once a round moves nothing.
+    never overfills a shard. Ends once a round grants nothing. Moves granted in part may
+    alternate where clusters compete for a full shard; ``rounds`` is the safety value for that.
     """
-    load, state = _loads(cells)
-    for _ in range(rounds):
+    load, done = _loads(cells), 0
+    while done < rounds:
         free = _per_shard({s: max(0, quota[s] - load.get(s, 0)) for s in quota}, shards)
         mine = Window.partitionBy(*_CLUSTER)
         voted = cells.withColumn("total", F.sum("n").over(mine)).withColumn(
@@ -55,17 +55,20 @@ def propagate(cells: DataFrame, quota: dict[int, int], shards: int, rounds: int)
         stay = voted.where(~moves).select(*_CLUSTER, "shard", "n")
         rest = granted.select(*_CLUSTER, "shard", (F.col("n") - F.col("go")).alias("n"))
         moved = granted.select(*_CLUSTER, F.col("to").alias("shard"), F.col("go").alias("n"))
-        cells = cut_lineage(_merged(stay.unionByName(rest).unionByName(moved).where("n > 0")))
-        load, now = _loads(cells)
-        if now == state:
+        parts = stay.withColumn("went", F.lit(0)).unionByName(rest.withColumn("went", F.lit(0))).unionByName(moved.withColumn("went", F.col("n")))
+        parts = cut_lineage(parts.where("n > 0").groupBy(*_CLUSTER, "shard").agg(F.sum("n").alias("n"), F.sum("went").alias("went")))
+        if not parts.agg(F.sum("went")).first()[0]:
             break
-        state = now
+        cells = parts.drop("went")
+        load, done = _loads(cells), done + 1
+    else:
+        warnings.warn(f"rows still moved after {rounds} rounds; some linked rows may be apart that could meet")
     return cells
 
 
 def _settle(cells: DataFrame, quota: dict[int, int], shards: int) -> DataFrame:
     """Move what exceeds a shard's quota into free places of the others."""
-    load, _ = _loads(cells)
+    load = _loads(cells)
     if all(load.get(s, 0) <= quota[s] for s in quota):
         return cells
     cells = running_total(cells, ["shard"], _CLUSTER, F.col("n"), "prior")
@@ -84,7 +87,7 @@ def _settle(cells: DataFrame, quota: dict[int, int], shards: int) -> DataFrame:
     return _merged(cells.select(*_CLUSTER, "shard", F.col("keep").alias("n")).unionByName(lands).where("n > 0"))
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40, rounds: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every row in one of ``shards`` shards, counts at most one apart, equal texts together.
 
     Rows with equal texts (null counts as empty) are linked. Groups above a shard's quota are first cut
@@ -127,7 +130,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, rounds: int = 8, id_col: st
     cells = ranked.where("key <> ''").groupBy(*_CLUSTER, start.alias("shard")).agg(F.count("*").alias("n"))
     cells = propagate(cut_lineage(cells), quota, shards, rounds) if rows_linked else cells
     cells = cut_lineage(_settle(cells, quota, shards))
-    load, _ = _loads(cells)
+    load = _loads(cells)
 
     # a cell is an interval of its cluster's places and an interval of its shard's slots
     fills, at = [], 0
