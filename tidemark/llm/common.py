@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidemark.operators.spread import running_total, slice_count, slice_of, spread_lookup
 from tidemark.session import scratch_path
 
-__all__ = ["WHITE", "landed", "running_total", "slice_count", "slice_of", "spread_lookup"]
+__all__ = ["WHITE", "landed", "ranked", "running_total", "slice_count", "slice_of", "spread_lookup"]
 
 WHITE = "[\\x20\\x09-\\x0D]+"  # the white space of the query contracts
 
@@ -17,3 +20,38 @@ def landed(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], out: str, tag: str) -> DataFrame:
+    """Rows with their gapless position from 0 inside ``group`` by ``order``, written once.
+
+    A range sort on (group, order) deals a group of any size over tasks. Positions are counted inside a
+    partition as it streams by; only a partition's first group can have rows before it, so what is added
+    afterwards is at most one number per partition. Group columns must not be null.
+    """
+    spark = df.sparkSession
+    parts = slice_count(spark)
+    schema = T.StructType([*df.schema.fields, T.StructField("_rk_part", T.IntegerType()), T.StructField("_rk_at", T.LongType())])
+
+    def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, seen = None, 0
+        for batch in batches:
+            keys = list(zip(*[batch.column(batch.schema.get_field_index(g)).to_pylist() for g in group]))
+            at = []
+            for key in keys:
+                seen = seen + 1 if key == before else 0
+                before = key
+                at.append(seen)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, "_rk_at"])
+
+    sort = [*group, *order]
+    dealt = df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort).withColumn("_rk_part", F.spark_partition_id())
+    rows = landed(dealt.mapInArrow(count_runs, schema), tag)
+    earlier = Window.partitionBy(*group).orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy(*group, "_rk_part").agg(F.count("*").alias("_rk_n"))
+    carried = runs.select(*group, "_rk_part", F.sum("_rk_n").over(earlier).alias("_rk_off")).where("_rk_off > 0")
+    return (
+        rows.join(F.broadcast(carried), [*group, "_rk_part"], "left")  # one row per partition at most
+        .withColumn(out, F.col("_rk_at") + F.coalesce("_rk_off", F.lit(0)))
+        .drop("_rk_part", "_rk_at", "_rk_off")
+    )

@@ -132,6 +132,63 @@ def op5_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string bit by bit, for SQL without the function."""
+    return (f"xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split({text}, ''), "
+            "lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+            "lambda a, x: case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295)")
+
+
+def _merkle_sql(levels: int = 6, group_levels: int = 3) -> str:
+    """The tree level by level; enough for 16 ** levels rows a source and 16 ** group_levels sources."""
+    def leaf(text):
+        told = [f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(told)})"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    forged = f"case when {crc32_sql('cast(doc_id as varchar)')} % 5 = 0 then {lower} else text end"
+    parts = [f"f as materialized (select doc_id, source, lang, n_chars, text, {forged} as forged from documents)",
+             f"a as materialized (select doc_id, coalesce('=' || source, '') as grp, {leaf('text')} as leaf, {leaf('forged')} as seen from f)",
+             "l0 as materialized (select *, leaf as h, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as pos from a)"]
+
+    def climb(name, count, key):
+        for k in range(count):
+            parts.append(f"{name}c{k} as materialized (select *, count(*) over (partition by {key}) as n from {name}{k})")
+            parts.append(f"{name}{k + 1} as materialized (select {key}, pos // 16 as pos, case when any_value(n) = 1 then any_value(h) "
+                         f"else sha256(string_agg(h, '' order by pos)) end as h from {name}c{k} group by {key}, pos // 16)")
+            parts.append(f"{name}k{k} as materialized (select {key}, pos // 16 as run, any_value(n) as n, list(h order by pos) as kids from {name}c{k} group by {key}, pos // 16)")
+
+    climb("l", levels, "grp")
+    parts.append(f"g0 as materialized (select 0 as one, grp, h, row_number() over (order by grp) - 1 as pos from l{levels})")
+    climb("g", group_levels, "one")
+    parts.append("p0 as (select l0.doc_id, l0.grp, l0.leaf, seen, l0.pos as lp, g0.pos as gp, g0.h as subroot, "
+                 f"(select h from g{group_levels}) as root, '' as proof, seen as got from l0 join g0 on l0.grp = g0.grp)")
+    at = 0
+    for name, count, key, pos in (("l", levels, "t.grp = k.grp", "lp"), ("g", group_levels, "k.one = 0", "gp")):
+        for k in range(count):
+            own = f"{pos} // {16 ** k} % 16"
+            before, after = f"array_to_string(kids[1:{own}], '')", f"array_to_string(kids[{own} + 2:], '')"
+            parts.append(f"p{at + 1} as materialized (select t.* replace (case when k.n = 1 then proof else proof || {before} || {after} end as proof, "
+                         f"case when k.n = 1 then got else sha256({before} || got || {after}) end as got) from p{at} t join {name}k{k} k on {key} and k.run = {pos} // {16 ** (k + 1)})")
+            at += 1
+    return (f"with {', '.join(parts)} select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, got as folded_root, got = root as verified from p{at}")
+
+
+@register("op13_merkle_manifest", _merkle_sql())
+def op13_merkle_manifest(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.merkle import build_manifest, fold, proof_digest
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    touched = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    forged = F.when(touched, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    made = build_manifest(table(spark, sf_dir, "documents"), altered={"text": forged})
+    folded = made.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("before"), F.col("after")).alias("proof_sha256"),
+                         fold(F.col("seen"), F.col("before"), F.col("after")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
