@@ -189,6 +189,28 @@ def op13_merkle_manifest(spark, sf_dir):
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@register("op12_prefix_trie", f"""
+with c as (select conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} as tok, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i
+ from conversations where conv_id is not null),
+ids as (select distinct conv_id, conv_id - conv_id % 100 as b, {crc32_sql('cast(conv_id as varchar)')} % 6 as h from c),
+r as (select ids.conv_id, 0 as part, i, tok from ids join c on c.conv_id = b and i <= h union all select c.conv_id, 1, i, tok from c join ids on c.conv_id = ids.conv_id where i > h),
+s as (select ids.conv_id, coalesce(list(tok order by part, i) filter (tok is not null), []) as toks from ids left join r on ids.conv_id = r.conv_id group by ids.conv_id),
+p as (select conv_id, d, toks[1:d] as path from s, unnest(generate_series(0, len(toks))) as u(d)),
+n as (select path, d, min(conv_id) as conv_id, count(*) as n_convs from p group by path, d),
+e as (select toks as path, sha256(string_agg(cast(conv_id as varchar), ',' order by conv_id)) as ends from s group by toks),
+k as (select path[1:d - 1] as path, d - 1 as d, count(*) as n_children from n where d > 0 group by 1, 2),
+f as (select n.*, coalesce(n_children, 0) as n_children from n left join k on n.path = k.path and n.d = k.d),
+x as (select path[1:a] as path, a as d, sum(case when n_children = 0 then 1 else 0 end) as n_leaves,
+ sum((n_convs - 1) * case when d > 0 then length(path[d].t) else 0 end) as saved from f, unnest(generate_series(0, d)) as u(a) group by 1, 2)
+select f.conv_id, f.d as depth, q.conv_id as parent_conv_id, f.n_convs, f.n_children, cast(x.n_leaves as bigint) as n_leaves, cast(x.saved as bigint) as saved_tokens,
+ coalesce(e.ends, sha256('')) as ends_sha256
+from f join x on f.path = x.path and f.d = x.d left join n q on f.d > 0 and q.d = f.d - 1 and q.path = f.path[1:f.d - 1] left join e on e.path = f.path""")
+def op12_prefix_trie(spark, sf_dir):
+    from tidemark.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
