@@ -211,6 +211,21 @@ def op12_prefix_trie(spark, sf_dir):
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+@register("op11_grid_join", """
+with recursive v as (select row_number() over () as rn, vec_id, label, cast(embedding as double[]) as e from embeddings),
+ok as (select *, len(e) as dim from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0
+ and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.rn as a, b.rn as b from ok a join ok b on a.label = b.label and a.dim = b.dim where a.rn <> b.rn and list_cosine_similarity(a.e, b.e) >= 0.98),
+r as (select rn, rn as seen from v union select r.rn, l.b from r join l on r.seen = l.a),
+c as (select r.rn, min(v.vec_id) as component_id from r join v on v.rn = r.seen group by r.rn),
+n as (select a as rn, count(*) as n from l group by a)
+select vec_id, coalesce(n.n, 0) as n_links, component_id, coalesce(vec_id = component_id, false) as kept from v join c on v.rn = c.rn left join n on n.rn = v.rn""")
+def op11_grid_join(spark, sf_dir):
+    from tidemark.llm.grid_join import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
