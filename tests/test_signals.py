@@ -39,17 +39,84 @@ def test_p_values_match_tables():
     assert abs(ST.normal_two_sided([1.959963985])[0] - 0.05) < 1e-9
 
 
-def test_hac_equals_plain_loops():
-    rng = np.random.default_rng(0)
-    x, w = rng.normal(size=60), rng.random(60)
-    y = 2 * x + rng.normal(size=60)
-    slope, intercept, r2, t = R.hac_fit(x, y, w, 5)
-    design = np.column_stack([np.ones(60), x])
-    bread = np.linalg.inv(design.T @ np.diag(w) @ design)
-    beta = bread @ design.T @ (w * y)
-    s = design * (w * (y - design @ beta))[:, None]
-    meat = sum((1 - abs(i - j) / 6) * np.outer(s[i], s[j]) for i in range(60) for j in range(60) if abs(i - j) <= 5)
-    assert abs(slope - beta[1]) < 1e-10 and abs(t - beta[1] / np.sqrt((bread @ meat @ bread)[1, 1])) < 1e-8
+def wandering(n, seed, gaps=False):
+    rng = np.random.default_rng(seed)
+    return pd.DataFrame({
+        "ticker": "A", "date": pd.date_range("2020-01-01", periods=n).date, "predictor": np.round(1e4 * (seed == 9) + rng.normal(size=n), 1 if gaps else 6),
+        "total_mentions": rng.integers(0, 3, n), "close": 100 + rng.normal(size=n).cumsum() * 0.1, "volume": 5})
+
+
+def windows(df, plan):
+    """Training rows of every (horizon, refit) by definition."""
+    for h in plan.horizons:
+        for k, start in enumerate(range(plan.first_refit, len(df) - h, plan.refit)):
+            last = start - plan.embargo - h
+            rows = df.iloc[max(0, last - plan.window):last + 1]
+            yield h, k, rows[rows["total_mentions"] >= 1] if plan.mentions_only else rows
+
+
+@pytest.mark.parametrize("mentions_only", (False, True))
+@pytest.mark.parametrize("window", (252, 83, 20))
+def test_window_fits_equal_plain_windows(spark, window, mentions_only):
+    plan = R.WalkForward(spans=(1, 5), horizons=(1, 5), window=window, min_training=5, min_rows=5, mentions_only=mentions_only)
+    df = R.features(spark.createDataFrame(wandering(420, 9, gaps=True)), plan)
+    got = {(r.horizon, r.k, r.span): r for r in R.candidate_fits(df, plan).collect()}
+    rows, seen = df.orderBy("idx").toPandas(), 0
+    for h, k, part in windows(rows, plan):
+        for s in plan.spans:
+            x, y = part[f"ema_{s}"], part[f"fwd_{h}"]
+            both = part[x.notna() & y.notna()]
+            r = got.get((h, k, s))
+            if len(both) < 5 or min(start_length(plan, h, k), window) + 1 < 5 or x.std(ddof=0) < 0.005:
+                assert r is None
+                continue
+            seen += 1
+            slope, intercept = np.polyfit(both[f"ema_{s}"] - 1e4, both[f"fwd_{h}"], 1)
+            assert r.n == len(both) and r.n_unique == x.nunique() and r.x_std == pytest.approx(x.std(ddof=0), rel=1e-9)
+            assert r.coefficient == pytest.approx(slope, rel=1e-7, abs=1e-10) and r.train_start == both["date"].min() and r.train_end == both["date"].max()
+            assert r.r_squared == pytest.approx(np.corrcoef(both[f"ema_{s}"], both[f"fwd_{h}"])[0, 1] ** 2, rel=1e-6, abs=1e-10)
+    assert seen == len(got) > 20
+
+
+def start_length(plan, h, k):
+    return k * plan.refit + plan.first_refit - plan.embargo - h
+
+
+def test_rows_are_not_copied_to_windows(spark):
+    """Rows that reach the grouping are the same for long and short windows."""
+    df = spark.createDataFrame(wandering(300, 3))
+
+    def generated(window):
+        plan = R.WalkForward(spans=(5,), horizons=(1,), window=window)
+        rows = R._long(R.features(df, plan), plan)
+        return nodes_of(R.window_fits(rows, ["ticker", "horizon", "span"], "idx", window + 1, 21, F.lit(40)), "Generate", "Join", "Exchange")
+
+    assert generated(252) == generated(42) and generated(252)[1] == 0
+
+
+@pytest.mark.parametrize("horizon, window", [(5, 252), (20, 100), (1, 60)])
+def test_robust_fits_equal_plain_loops(spark, horizon, window):
+    plan = R.WalkForward(spans=(5,), horizons=(horizon,), window=window, model="WLS", mentions_only=horizon == 1, min_rows=10)
+    df = R.features(spark.createDataFrame(wandering(420, 6)), plan)
+    got = {r.k: r for r in R.candidate_fits(df, plan).collect()}
+    assert len(got) > 8
+    for h, k, part in windows(df.orderBy("idx").toPandas(), plan):
+        part = part[part[f"fwd_{h}"].notna()]
+        if k not in got:
+            continue
+        x, y, n = part["ema_5"].to_numpy(), part[f"fwd_{h}"].to_numpy(), len(part)
+        w = np.exp(-np.log(2) / plan.half_life * np.arange(n)[::-1]) * np.sqrt(1 + part["total_mentions"].to_numpy())
+        design = np.column_stack([np.ones(n), x])
+        bread = np.linalg.inv(design.T @ np.diag(w) @ design)
+        beta = bread @ design.T @ (w * y)
+        e = y - design @ beta
+        s = design * (w * e)[:, None]
+        meat = sum((1 - abs(i - j) / (h + 1)) * np.outer(s[i], s[j]) for i in range(n) for j in range(max(0, i - h), min(n, i + h + 1)))
+        r = got[k]
+        assert r.n == n and r.coefficient == pytest.approx(beta[1], rel=1e-8) and r.intercept == pytest.approx(beta[0], rel=1e-8)
+        assert r.t_stat == pytest.approx(beta[1] / np.sqrt((bread @ meat @ bread)[1, 1]), rel=1e-7)
+        mean = (w * y).sum() / w.sum()
+        assert r.r_squared == pytest.approx(1 - (w * e**2).sum() / (w * (y - mean) ** 2).sum(), rel=1e-7)
 
 
 def test_constant_predictor_gives_null(spark):
@@ -148,3 +215,29 @@ def test_ranking_metrics_by_brute_force(spark):
         pr, before_r, before_p = pr + (r - before_r) * (p + before_p) / 2, r, p
     got = N.ranking_metrics(df).first()
     assert got.roc_auc == pytest.approx(roc, abs=1e-12) and got.pr_auc == pytest.approx(pr, abs=1e-12)
+
+
+def nodes_of(df, *names):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [plan.count(n) for n in names]
+
+
+def test_averages_read_their_input_once(spark, tmp_path):
+    """Scans, joins, shuffles and sorts do not grow with the number of spans."""
+    df, _pdf = frame(spark, 300)
+    df.write.parquet(str(tmp_path / "p"))
+    rows = spark.read.parquet(str(tmp_path / "p"))
+    one, six = (nodes_of(W.ema(rows, s), "Scan parquet", "Join", "Exchange", "Sort [", "Window [") for s in ((7,), (3, 5, 7, 10, 15, 20)))
+    assert one == six and one[:2] == [1, 0]
+    assert len(W.ema(rows, range(2, 40))._jdf.queryExecution().analyzed().toString().splitlines()) < 40
+
+
+def test_averages_of_long_series_and_odd_spans(spark):
+    df, pdf = frame(spark, 1500, seed=4)
+    df = df.withColumn("predictor", F.when(F.col("idx") < 1490, F.col("predictor") * 1e6).otherwise(0.0))
+    spans = (1, 2, 3, 400)
+    got = W.ema(df, spans).orderBy("idx").toPandas()
+    assert [c for c in got.columns if c.startswith("ema_")] == [f"ema_{s}" for s in spans]
+    for s in spans:
+        want = got["predictor"].ewm(span=s, adjust=True).mean()
+        assert np.allclose(got[f"ema_{s}"], want, rtol=1e-9, atol=1e-6)

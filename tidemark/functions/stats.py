@@ -104,3 +104,17 @@ def t_p_value(t: Column, df: Column) -> Column:
         return pd.Series(p).astype(object).where(~np.isnan(p), None)
 
     return batch(t.cast("double"), df.cast("double"))
+
+
+def normal_p_value(z: Column) -> Column:
+    """Two-sided normal p-value column, for fits only."""
+
+    @F.pandas_udf("double")
+    def batch(values):
+        import numpy as np
+        import pandas as pd
+
+        p = normal_two_sided(values.to_numpy(dtype=float, na_value=np.nan))
+        return pd.Series(p).astype(object).where(~np.isnan(p), None)
+
+    return batch(z.cast("double"))

@@ -1,8 +1,9 @@
 """Regressions of forward returns on sentiment averages: scans, rolling and walk-forward fits.
 
-A row belongs to a handful of refit windows, and which ones follows from its index alone. Rows are
-fanned out to those windows and merged by ordinary grouping. This costs window / step updates per
-row instead of window, and stays inside the partitioning by ticker.
+Sliding fits share their work: rows are summarised once, in cells as long as the step between two
+windows, and a window merges the summaries of its cells. Means and centred sums are merged, never
+subtracted, so figures stay exact however far the level drifts. All of it stays inside the
+partitioning by ticker.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.finance import neg_log10
-from tidemark.functions.stats import ols, ols_inputs, t_p_value
+from tidemark.functions.stats import normal_p_value, ols, ols_inputs, t_p_value
 from tidemark.operators.series import age_weights, ema, fill_forward, forward_returns, from_first_trade
 from tidemark.session import cut_lineage
 
@@ -72,6 +73,76 @@ def best_signal(fits: DataFrame) -> DataFrame:
     return fits.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+_MOMENTS = ("n", "avgx", "avgy", "sxx", "sxy", "syy", "nx", "mx", "m2x", "nonzero", "first_date", "last_date")
+
+
+def _summary(inside: Column, suffix: str) -> list[Column]:
+    """Counts, means and centred sums of the rows where ``inside`` holds."""
+    x, y = F.when(inside, F.col("x")), F.when(inside, F.col("y"))
+    both = F.when(x.isNotNull() & y.isNotNull(), F.col("date"))
+    return [
+        F.regr_count(y, x).alias(f"n{suffix}"), F.regr_avgx(y, x).alias(f"avgx{suffix}"), F.regr_avgy(y, x).alias(f"avgy{suffix}"),
+        F.regr_sxx(y, x).alias(f"sxx{suffix}"), F.regr_sxy(y, x).alias(f"sxy{suffix}"), F.regr_syy(y, x).alias(f"syy{suffix}"),
+        F.count(x).alias(f"nx{suffix}"), F.avg(x).alias(f"mx{suffix}"), (F.var_pop(x) * F.count(x)).alias(f"m2x{suffix}"),
+        F.count(F.when(F.abs(x) > NONZERO, 1)).alias(f"nonzero{suffix}"),
+        F.min(both).alias(f"first_date{suffix}"), F.max(both).alias(f"last_date{suffix}"),
+    ]
+
+
+def _met(a: Column, b: Column) -> Column:
+    """Summary of two runs of rows from their summaries."""
+    n, nx = a["n"] + b["n"], a["nx"] + b["nx"]
+    share, share_x = F.try_divide(b["n"], n), F.try_divide(b["nx"], nx)
+    dx, dy, dm = b["avgx"] - a["avgx"], b["avgy"] - a["avgy"], b["mx"] - a["mx"]
+    part, part_x = a["n"] * share, a["nx"] * share_x
+
+    def merged(one, plain, count):
+        """Whichever side has rows, or both sides merged."""
+        return F.when(b[count] == 0, a[one]).when(a[count] == 0, b[one]).otherwise(plain)
+
+    return F.struct(
+        n.alias("n"), merged("avgx", a["avgx"] + dx * share, "n").alias("avgx"), merged("avgy", a["avgy"] + dy * share, "n").alias("avgy"),
+        merged("sxx", a["sxx"] + b["sxx"] + dx * dx * part, "n").alias("sxx"), merged("sxy", a["sxy"] + b["sxy"] + dx * dy * part, "n").alias("sxy"),
+        merged("syy", a["syy"] + b["syy"] + dy * dy * part, "n").alias("syy"),
+        nx.alias("nx"), merged("mx", a["mx"] + dm * share_x, "nx").alias("mx"), merged("m2x", a["m2x"] + b["m2x"] + dm * dm * part_x, "nx").alias("m2x"),
+        (a["nonzero"] + b["nonzero"]).alias("nonzero"),
+        F.least(a["first_date"], b["first_date"]).alias("first_date"), F.greatest(a["last_date"], b["last_date"]).alias("last_date"),
+    )
+
+
+def window_fits(rows: DataFrame, keys: list[str], idx: str, length: int, step: int, first_end: Column) -> DataFrame:
+    """Moments of x and y over ``length`` rows ending at ``first_end + k * step``, one row per (keys, k).
+
+    Windows that begin before the first row are cut there; ``idx`` counts rows from 0 without gaps, rows that
+    do not count have a NULL x. Each row enters one cell of ``step`` rows, whole and, near the cell's start,
+    as the head that ends a window; a window is the cells before a head and the head. So no row is copied,
+    whatever ``length`` and ``step`` are. ``first_end`` may depend on the keys. ``end_date`` is the last row's.
+    """
+    cells_before = (length - 1) // step
+    head = length - cells_before * step
+    at = F.col(idx) - first_end + (length - 1)
+    in_head = F.pmod(at, F.lit(step)) < head
+    last = F.pmod(at, F.lit(step)) == head - 1
+    cells = rows.groupBy(*keys, F.floor(at / step).cast("long").alias("_cell")).agg(
+        *_summary(F.lit(True), ""), *_summary(in_head, "_head"), F.max(F.when(last, F.col("date"))).alias("end_date"), F.max("n_rows").alias("n_rows"))
+
+    def packed(suffix):
+        none = {"avgx", "avgy", "sxx", "sxy", "syy", "mx", "m2x"}
+        return F.struct(*[(F.coalesce(f"{c}{suffix}", F.lit(0.0)) if c in none else F.col(f"{c}{suffix}")).alias(c) for c in _MOMENTS])
+
+    before = Window.partitionBy(*keys).orderBy("_cell").rangeBetween(-cells_before, -1)
+    told = cells.select(*keys, "_cell", "end_date", "n_rows", packed("").alias("whole"), packed("_head").alias("head"))
+    if cells_before:
+        told = told.withColumn("whole", F.collect_list("whole").over(before))
+        told = told.withColumn("head", F.aggregate("whole", F.col("head"), _met))
+    out = told.where(F.col("end_date").isNotNull() & (F.col("_cell") >= cells_before))
+    m = F.col("head")
+    return out.select(
+        *keys, (F.col("_cell") - cells_before).alias("k"), "end_date", "n_rows", *[m[c].alias(c) for c in _FIT],
+        F.when(m["nx"] > 0, F.sqrt(m["m2x"] / m["nx"])).alias("x_std"), F.try_divide(m["nonzero"], m["nx"]).alias("share_nonzero"),
+        m["nx"].alias("nx"), m["first_date"].alias("train_start"), m["last_date"].alias("train_end"))
+
+
 def rolling_diagnostics(panel: DataFrame, window: int = 180, span: int = 7, horizon: int = 10, step: int = 5,
                         min_rows: int = 30, mentions_only: bool = False) -> DataFrame:
     """Slope, p and r² over the last ``window + 1`` complete rows, every ``step`` rows."""
@@ -82,14 +153,10 @@ def rolling_diagnostics(panel: DataFrame, window: int = 180, span: int = 7, hori
         "ticker", "date", "total_mentions", x.alias("x"), y.alias("y"),
         (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("ticker")).alias("n_rows"),
     )
-    first = F.greatest(F.ceil((F.col("i") - window) / step), F.lit(0))
-    last = F.least(F.floor(F.col("i") / step), F.floor((F.col("n_rows") - 1 - window) / step))
-    fanned = rows.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
     counts = F.lit(True) if not mentions_only else F.col("total_mentions") >= 1
-    fits = fanned.groupBy("ticker", "k").agg(
-        *ols_inputs(F.when(counts, F.col("y")), F.col("x")),
-        F.max(F.when(F.col("i") == F.col("k") * step + window, F.col("date"))).alias("date"),
-    ).where(F.col("n") >= min_rows)
+    rows = rows.withColumns({"x": F.when(counts, F.col("x")), "y": F.when(counts, F.col("y"))})
+    fits = window_fits(rows, ["ticker"], "i", window + 1, step, F.lit(window)).where(
+        (F.col("k") * step + window < F.col("n_rows")) & (F.col("n") >= min_rows)).withColumn("date", F.col("end_date"))
     fits = fits.withColumns(ols(*[F.col(c) for c in _FIT]))
     fits = fits.withColumn("p_value", t_p_value(F.col("t_stat"), F.col("n") - 2))
     return fits.select("ticker", "date", "n", "coefficient", "p_value", "r_squared", "t_stat",
@@ -121,25 +188,31 @@ def features(panel: DataFrame, plan: WalkForward) -> DataFrame:
     return forward_returns(ema(df, plan.spans), plan.horizons)
 
 
-def _fan_out(df: DataFrame, plan: WalkForward) -> DataFrame:
-    """Each training row once per (horizon, refit k) whose window holds it."""
-    outcome = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("y")) for h in plan.horizons])
-    if plan.mentions_only:
-        df = df.where("total_mentions >= 1")
-    # where a value was last seen tells whether it is new in a window, so distinct values are a plain count
-    df = df.withColumns({
-        f"seen_{s}": F.lag("idx").over(Window.partitionBy("ticker", f"ema_{s}").orderBy("idx")) for s in plan.spans
-    })
-    rows = df.select("ticker", "date", "idx", "n_rows", "total_mentions", *[f"{c}_{s}" for s in plan.spans for c in ("ema", "seen")],
-                     F.inline(outcome))
-    soonest = F.col("idx") + plan.embargo + F.col("horizon") - plan.first_refit
-    first = F.greatest(F.ceil(soonest / plan.refit), F.lit(0))
-    last = F.least(
-        F.floor((soonest + plan.window) / plan.refit),
-        F.floor((F.col("n_rows") - 1 - F.col("horizon") - plan.first_refit) / plan.refit),
-    )
-    rows = rows.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
-    return rows.withColumn("since", _last_training_row(plan) - plan.window)
+def _long(df: DataFrame, plan: WalkForward) -> DataFrame:
+    """One row per (day, horizon, span) with x and y; days without mentions lose both if only such days count."""
+    counts = F.col("total_mentions") >= 1 if plan.mentions_only else F.lit(True)
+    pairs = F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.lit(s).alias("span"), F.when(counts, F.col(f"fwd_{h}")).alias("y"), F.when(counts, F.col(f"ema_{s}")).alias("x"))
+        for h in plan.horizons for s in plan.spans
+    ])
+    return df.select("ticker", "date", "idx", "n_rows", "total_mentions", F.inline(pairs))
+
+
+def _windows_of(first: Column, last: Column, plan: WalkForward) -> Column:
+    """Refits whose training window holds both rows, ``first`` at or before ``last``."""
+    gap = plan.embargo + F.col("horizon") - plan.first_refit
+    lo = F.greatest(F.ceil((last + gap) / plan.refit), F.lit(0))
+    hi = F.least(F.floor((first + gap + plan.window) / plan.refit),
+                 F.floor((F.col("n_rows") - 1 - F.col("horizon") - plan.first_refit) / plan.refit))
+    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _repeats(rows: DataFrame, plan: WalkForward) -> DataFrame:
+    """Values per window that an earlier row of the window has too; only repeated values are copied to windows."""
+    seen = F.lag("idx").over(Window.partitionBy("ticker", "horizon", "span", "x").orderBy("idx"))
+    again = rows.where("x is not null").withColumn("seen", seen).where("seen is not null")
+    return again.withColumn("k", F.explode(_windows_of(F.col("seen"), F.col("idx"), plan))).groupBy(
+        "ticker", "horizon", "span", "k").agg(F.count("*").alias("repeats"))
 
 
 def _last_training_row(plan: WalkForward) -> Column:
@@ -156,21 +229,14 @@ def candidate_fits(df: DataFrame, plan: WalkForward) -> DataFrame:
     if plan.model == "WLS":
         fits = weighted_fits(df, plan)
     else:
-        fanned, aggs = _fan_out(df, plan), []
-        for s in plan.spans:
-            x, y = F.col(f"ema_{s}"), F.col("y")
-            both = F.when(x.isNotNull() & y.isNotNull(), F.col("date"))
-            aggs += ols_inputs(y, x, f"_{s}") + [
-                F.stddev_pop(x).alias(f"x_std_{s}"),
-                F.avg(F.when(F.abs(x) > NONZERO, 1.0).otherwise(0.0)).alias(f"share_nonzero_{s}"),
-                F.count(F.when(x.isNotNull() & (F.coalesce(f"seen_{s}", F.lit(-1)) < F.greatest("since", F.lit(0))), 1))
-                .cast("int").alias(f"n_unique_{s}"),
-                F.min(both).alias(f"train_start_{s}"), F.max(both).alias(f"train_end_{s}"),
-            ]
-        sums = fanned.groupBy("ticker", "k", "horizon").agg(*aggs)
-        fits = _by_span(sums, plan.spans, ["ticker", "k", "horizon"],
-                        _FIT + ["x_std", "share_nonzero", "n_unique", "train_start", "train_end"])
-        fits = fits.withColumns(ols(*[F.col(c) for c in _FIT])).drop("sxx", "sxy", "syy", "avgx", "avgy")
+        rows = _long(df, plan)
+        fits = window_fits(rows, ["ticker", "horizon", "span"], "idx", plan.window + 1, plan.refit,
+                           plan.first_refit - plan.embargo - F.col("horizon"))
+        fits = fits.where((F.col("k") >= 0) & (F.col("k") * plan.refit + plan.first_refit + F.col("horizon") < F.col("n_rows")))
+        fits = fits.join(_repeats(rows, plan), ["ticker", "horizon", "span", "k"], "left")
+        fits = fits.withColumn("n_unique", (F.col("nx") - F.coalesce("repeats", F.lit(0))).cast("int"))
+        fits = fits.withColumns(ols(*[F.col(c) for c in _FIT])).drop(
+            "sxx", "sxy", "syy", "avgx", "avgy", "nx", "repeats", "end_date", "n_rows")
     sound = (
         (_train_length(plan) >= plan.min_training) & (F.col("n") >= plan.min_rows)
         & (F.col("x_std") >= MIN_X_STD) & (F.col("share_nonzero") >= MIN_NONZERO)
@@ -217,85 +283,68 @@ def walk_forward(panel: DataFrame, plan: WalkForward = WalkForward()) -> tuple[D
     return stamp_models(df, winners, plan), winners.join(starts, ["ticker", "k"])
 
 
+_FIT_KEYS = ["ticker", "horizon", "span", "k"]
+
+
+def _weighted_rows(df: DataFrame, plan: WalkForward) -> DataFrame:
+    """Each row once per (horizon, span, refit k) whose window holds it, with its weight and the fit's weighted means.
+
+    A weight counts the complete rows after it in the window, so here rows are copied to their windows and
+    dealt by fit: a ticker of any size spreads over as many tasks as it has fits.
+    """
+    fanned = _long(df, plan).withColumn("k", F.explode(_windows_of(F.col("idx"), F.col("idx"), plan)))
+    rows = fanned.where("x is not null").repartition(*_FIT_KEYS).withColumn("ok", F.col("y").isNotNull())
+    youngest = Window.partitionBy(*_FIT_KEYS, "ok").orderBy(F.col("idx").desc())
+    rows = rows.withColumn("age", F.row_number().over(youngest) - 1)
+    rows = rows.withColumn("w", F.when(F.col("ok"), age_weights(F.col("age"), plan.half_life, F.col("total_mentions"))))
+    fit = Window.partitionBy(*_FIT_KEYS)
+    rows = rows.withColumn("w", F.col("w") / F.sum("w").over(fit))
+    rows = rows.withColumns({"mx": F.sum(F.col("w") * F.col("x")).over(fit), "my": F.sum(F.col("w") * F.col("y")).over(fit)})
+    return rows.withColumns({"dx": F.col("x") - F.col("mx"), "dy": F.col("y") - F.col("my")})
+
+
 def weighted_coefficients(df: DataFrame, plan: WalkForward) -> DataFrame:
-    """Age- and mention-weighted slope and intercept per fit, from weighted sums."""
-    fanned = _fan_out(df, plan).where("y is not null")
-    age = F.row_number().over(Window.partitionBy("ticker", "k", "horizon").orderBy(F.col("idx").desc())) - 1
-    rows = fanned.withColumn("w", age_weights(age, plan.half_life, F.col("total_mentions")))
-    w, y = F.col("w"), F.col("y")
-    aggs = [F.count("*").alias("n"), F.sum("w").alias("sw"), F.sum(w * y).alias("sy")]
-    for s in plan.spans:
-        x = F.col(f"ema_{s}")
-        aggs += [F.sum(w * x).alias(f"sx_{s}"), F.sum(w * x * x).alias(f"sxx_{s}"), F.sum(w * x * y).alias(f"sxy_{s}")]
-    sums = rows.groupBy("ticker", "k", "horizon").agg(*aggs).where(F.col("n") >= plan.min_rows)
-    fits = _by_span(sums, plan.spans, ["ticker", "k", "horizon", "n", "sw", "sy"], ["sx", "sxx", "sxy"])
-    mx, my = F.col("sx") / F.col("sw"), F.col("sy") / F.col("sw")
-    slope = F.try_divide(F.col("sxy") / F.col("sw") - mx * my, F.col("sxx") / F.col("sw") - mx * mx)
-    return fits.select("ticker", "k", "horizon", "span", "n", slope.alias("coefficient"), (my - slope * mx).alias("intercept"))
-
-
-def hac_fit(x, y, w, lags: int) -> tuple[float, float, float, float]:
-    """Slope, intercept, r² and t of a weighted fit with Bartlett-weighted covariance."""
-    import numpy as np
-
-    design = np.column_stack([np.ones_like(x), x])
-    bread = np.linalg.pinv(design.T @ (design * w[:, None]))
-    beta = bread @ (design.T @ (w * y))
-    error = y - design @ beta
-    scores = design * (w * error)[:, None]
-    meat = scores.T @ scores
-    for lag in range(1, min(lags, len(y) - 1) + 1):
-        cross = scores[lag:].T @ scores[:-lag]
-        meat += (1 - lag / (lags + 1)) * (cross + cross.T)
-    variance = (bread @ meat @ bread)[1, 1]
-    mean = (w * y).sum() / w.sum()
-    spread = (w * (y - mean) ** 2).sum()
-    r2 = 1 - (w * error**2).sum() / spread if spread > 0 else np.nan
-    t = beta[1] / np.sqrt(variance) if variance > 0 else np.nan
-    return beta[1], beta[0], r2, t
-
-
-_WLS_SCHEMA = """ticker string, k bigint, horizon int, span int, n bigint, x_std double, share_nonzero double, n_unique int,
- train_start date, train_end date, coefficient double, intercept double, r_squared double, rsquared_adj double, t_stat double, p_value double"""
+    """Age- and mention-weighted slope and intercept per fit."""
+    w, dx, dy = (F.col(c) for c in ("w", "dx", "dy"))
+    sums = _weighted_rows(df, plan).groupBy(*_FIT_KEYS).agg(
+        F.count("w").alias("n"), F.first("mx").alias("mx"), F.first("my").alias("my"), F.sum(w * dx * dx).alias("sxx"), F.sum(w * dx * dy).alias("sxy"))
+    slope = F.try_divide("sxy", "sxx")
+    return sums.where(F.col("n") >= plan.min_rows).select(
+        *_FIT_KEYS, "n", slope.alias("coefficient"), (F.col("my") - slope * F.col("mx")).alias("intercept"))
 
 
 def weighted_fits(df: DataFrame, plan: WalkForward) -> DataFrame:
-    """Weighted fits with robust errors; one group is one ticker's calendar, sliced per refit."""
-    from tidemark.functions.stats import normal_two_sided as p_of
-
-    nonzero = NONZERO
-
-    def fit(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("idx")
-        days, mentions = pdf["date"].to_numpy(), pdf["total_mentions"].to_numpy(dtype=float)
-        counted = mentions >= 1 if plan.mentions_only else np.ones(len(pdf), dtype=bool)
-        columns = {s: pdf[f"ema_{s}"].to_numpy(dtype=float) for s in plan.spans}
-        out = []
-        for h in plan.horizons:
-            outcome = pdf[f"fwd_{h}"].to_numpy(dtype=float)
-            for k, start in enumerate(range(plan.first_refit, len(pdf) - h, plan.refit)):
-                last = start - plan.embargo - h
-                rows = np.arange(max(0, last - plan.window), last + 1)
-                rows = rows[counted[rows]]
-                for span, values in columns.items():
-                    x_all = values[rows]
-                    good = rows[~np.isnan(x_all) & ~np.isnan(outcome[rows])]
-                    n = len(good)
-                    if n < max(plan.min_rows, 3):
-                        continue
-                    w = np.exp(-np.log(2) / plan.half_life * np.arange(n)[::-1]) * np.sqrt(1 + mentions[good])
-                    slope, intercept, r2, t = hac_fit(values[good], outcome[good], w / w.sum(), h)
-                    out.append((key[0], k, h, span, n, np.nanstd(x_all), float((np.abs(x_all) > nonzero).mean()),
-                                len(np.unique(x_all)), days[good[0]], days[good[-1]], slope, intercept, r2,
-                                1 - (1 - r2) * (n - 1) / (n - 2), t, 0.0))
-        names = [c.split()[0] for c in _WLS_SCHEMA.split(",")]
-        return pd.DataFrame(out, columns=names).assign(p_value=lambda d: p_of(d["t_stat"]))
-
-    used = ["ticker", "date", "idx", "total_mentions", *[f"ema_{s}" for s in plan.spans], *[f"fwd_{h}" for h in plan.horizons]]
-    return df.select(*used).groupBy("ticker").applyInPandas(fit, _WLS_SCHEMA)
+    """Weighted fits with errors robust to autocorrelation up to the horizon, in two phases over the same rows.
+
+    First the slope from weighted sums, then the scores w * e * (x - mean): with x centred the slope's variance
+    is their Bartlett-weighted covariance over the squared sum of w * x². A Bartlett kernel of L lags is a
+    boxcar of L + 1 with itself, so the covariance is the sum of squared moving sums, those that run over
+    either end included, over L + 1. No term is subtracted.
+    """
+    w, dx, dy = (F.col(c) for c in ("w", "dx", "dy"))
+    fit = Window.partitionBy(*_FIT_KEYS)
+    rows = _weighted_rows(df, plan).withColumn("b", F.try_divide(F.sum(w * dx * dy).over(fit), F.sum(w * dx * dx).over(fit)))
+    rows = rows.withColumn("e", dy - F.col("b") * dx).withColumn("score", w * F.col("e") * dx)
+    by_age = Window.partitionBy(*_FIT_KEYS, "ok").orderBy("idx")
+    past = ahead = F
+    for h in plan.horizons:
+        past = past.when(F.col("horizon") == h, F.sum("score").over(by_age.rowsBetween(-h, 0)))
+        ahead = ahead.when(F.col("horizon") == h, F.sum("score").over(by_age.rowsBetween(0, h)))
+    rows = rows.withColumns({"past": past, "ahead": F.when(F.col("age") < F.col("horizon"), ahead)})
+    ok = F.col("ok")
+    sums = rows.groupBy(*_FIT_KEYS).agg(
+        F.count("w").alias("n"), F.stddev_pop("x").alias("x_std"), F.avg(F.when(F.abs("x") > NONZERO, 1.0).otherwise(0.0)).alias("share_nonzero"),
+        F.size(F.collect_set("x")).alias("n_unique"), F.min(F.when(ok, F.col("date"))).alias("train_start"), F.max(F.when(ok, F.col("date"))).alias("train_end"),
+        F.first("b").alias("coefficient"), F.first("mx").alias("mx"), F.first("my").alias("my"), F.sum(w * dx * dx).alias("sxx"),
+        F.sum(w * dy * dy).alias("syy"), F.sum(w * F.col("e") * F.col("e")).alias("sse"),
+        ((F.sum(F.when(ok, F.col("past") * F.col("past"))) + F.coalesce(F.sum(F.when(ok, F.col("ahead") * F.col("ahead"))), F.lit(0.0)))
+         / (F.first("horizon") + 1)).alias("meat"))
+    n, r2 = F.col("n"), 1 - F.try_divide("sse", "syy")
+    t = F.try_divide(F.col("coefficient") * F.col("sxx"), F.sqrt("meat"))
+    return sums.where(n >= max(plan.min_rows, 3)).select(
+        *_FIT_KEYS, "n", "x_std", "share_nonzero", "n_unique", "train_start", "train_end", "coefficient",
+        (F.col("my") - F.col("coefficient") * F.col("mx")).alias("intercept"), r2.alias("r_squared"),
+        (1 - (1 - r2) * (n - 1) / (n - 2)).alias("rsquared_adj"), t.alias("t_stat"), normal_p_value(t).alias("p_value"))
 
 
 def suspicious_fits(models: DataFrame, p: float = SUSPICIOUS_P, t: float = SUSPICIOUS_T) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.finance import net_conviction, signed_log
 
 PRICE_COLUMNS = ("open", "high", "low", "close", "volume")
-VANISHING = 1e-18  # weight below which an older value cannot change a double
+BLOCK = 256  # rows of a block of running averages, less where a decay would overflow
+LARGEST = 250  # decimal digits that a scaled value may gain inside a block
 
 
 def ticker_window(*keys: str) -> Window:
@@ -99,30 +100,38 @@ def fill_forward(df: DataFrame, columns=PRICE_COLUMNS, keys: tuple = ("ticker",)
 
 def ema(df: DataFrame, spans, value: str = "predictor", prefix: str = "ema_", idx: str = "idx",
         key: str = "ticker") -> DataFrame:
-    """Exponential moving averages with full weights from the first row, one pass per span.
+    """Exponential moving averages with full weights from the first row, all spans in one pass.
 
-    ``idx`` counts rows from 0 without gaps. With decay r a row's weighted sum is a running sum of
-    x / r^(offset in block) over its block, plus what all blocks before it left behind. Blocks are
-    short enough never to overflow; block ends carry on from one to the next, a few rows per key.
+    ``idx`` counts rows from 0 without gaps. With decay r a row's weighted sum is r^offset times (a running
+    sum of x / r^offset inside its block, plus what the blocks before left behind). All spans share the
+    blocks, so the three windows below read the rows once, in one order, however many spans there are; a
+    block is short enough for the fastest decay never to overflow.
     """
-    for span in spans:
-        r = (span - 1) / (span + 1)
-        if r == 0:
-            df = df.withColumn(f"{prefix}{span}", F.col(value).cast("double"))
-            continue
-        size = math.ceil(math.log(VANISHING) / math.log(r))
-        block, offset = F.floor(F.col(idx) / size), F.col(idx) % size
-        df = df.withColumns({"_b": block, "_u": F.col(value) * F.pow(F.lit(1 / r), offset)})
-        inside = Window.partitionBy(key, "_b").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-        ends = df.groupBy(key, "_b").agg(F.sum("_u").alias("s"))
-        listed = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.withColumn("past", F.collect_list(F.struct("_b", "s")).over(listed)).select(
-            key, "_b", F.aggregate("past", F.lit(0.0), lambda acc, x: (acc + x["s"]) * r**size).alias("_c"))
-        df = df.join(carried, [key, "_b"])
-        total = F.sum("_u").over(inside) + F.col("_c")
-        weights = (1 - F.pow(F.lit(r), F.col(idx) + 1)) / (1 - r)
-        df = df.withColumn(f"{prefix}{span}", F.pow(F.lit(r), offset) * total / weights).drop("_c")
-    return df.drop("_b", "_u")
+    decays = {span: (span - 1) / (span + 1) for span in spans}
+    fading = {span: r for span, r in decays.items() if r > 0}
+    flat = {f"{prefix}{s}": F.col(value).cast("double") for s in spans if s not in fading}
+    if not fading:
+        return df.withColumns(flat)
+    size = max(1, min(BLOCK, math.floor(LARGEST / -math.log10(min(fading.values())))))
+    offset = F.col(idx) % size
+    inside = Window.partitionBy(key, "_b").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_b", idx).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({"_b": F.floor(F.col(idx) / size), **{
+        f"_u{s}": F.col(value) * F.pow(F.lit(1 / r), offset) for s, r in fading.items()}})
+    df = df.withColumns({f"_u{s}": F.coalesce(F.sum(f"_u{s}").over(inside), F.lit(0.0)) for s in fading})
+    ends = F.when(offset == size - 1, F.struct(*[F.col(f"_u{s}").alias(f"s{s}") for s in fading]))
+    df = df.withColumn("_past", F.when(offset == 0, F.collect_list(ends).over(before)))
+
+    def left_behind(s: int, r: float) -> Column:
+        return F.aggregate("_past", F.lit(0.0), lambda acc, x: (acc + x[f"s{s}"]) * r**size)
+
+    df = df.withColumns({f"_c{s}": left_behind(s, r) for s, r in fading.items()})
+    df = df.withColumns({f"_c{s}": F.first(f"_c{s}").over(inside) for s in fading})
+    averages = {f"{prefix}{s}": F.pow(F.lit(r), offset) * (F.col(f"_u{s}") + F.col(f"_c{s}"))
+                * (1 - r) / (1 - F.pow(F.lit(r), F.col(idx) + 1)) for s, r in fading.items()}
+    every = {**flat, **averages}
+    return df.withColumns({f"{prefix}{s}": every[f"{prefix}{s}"] for s in spans}).drop(
+        "_b", "_past", *[f"_{c}{s}" for s in fading for c in "uc"])
 
 
 def forward_returns(df: DataFrame, horizons, price: str = "close", prefix: str = "fwd_",

@@ -194,7 +194,7 @@ def _(t):
     return grid.select("ticker", "span", F.col("prediction_start").cast("string").alias("prediction_start"), F.round("coefficient", 6).alias("coefficient"))
 
 
-_WEIGHTED = """select r.ticker, r.k, r.horizon, xy.span, xy.x, xy.y, exp(-ln(2) / 84 * (row_number() over (partition by r.ticker, r.k, r.horizon, xy.span order by xy.idx desc) - 1)) * sqrt(1 + xy.total_mentions) as w
+_WEIGHTED = """select r.ticker, r.k, r.horizon, xy.span, xy.x, xy.y, xy.idx as w_at, exp(-ln(2) / 84 * (row_number() over (partition by r.ticker, r.k, r.horizon, xy.span order by xy.idx desc) - 1)) * sqrt(1 + xy.total_mentions) as w
  from refit r join xy on xy.ticker = r.ticker and xy.horizon = r.horizon and xy.y is not null and xy.idx between r.i - {e} - r.horizon - {w} and r.i - {e} - r.horizon""".format(e=PLAN.embargo, w=PLAN.window)
 
 
@@ -207,11 +207,29 @@ def _(t):
     return fits.select("ticker", "k", "horizon", "span", "n", F.round("coefficient", 6).alias("coefficient"), F.round("intercept", 6).alias("intercept"))
 
 
-@query("r04_robust_fits")
+# scores of a weighted fit times those up to the horizon apart, pair by pair; the normal p-value as a series of positive terms
+_ROBUST = dict(
+    wb="""select ticker, k, horizon, span, count(*) as n, sum(w) as sw, sum(w * x) / sum(w) as mx, sum(w * y) / sum(w) as my from wr group by 1, 2, 3, 4 having count(*) >= 30""",
+    wc="""select wr.ticker, wr.k, wr.horizon, wr.span, any_value(n) as n, any_value(mx) as mx, any_value(my) as my, sum(w * (x - mx) * (x - mx)) as sxx, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) as b
+     from wr join wb using (ticker, k, horizon, span) group by 1, 2, 3, 4""",
+    ws="""select wr.ticker, wr.k, wr.horizon, wr.span, w * (y - my - b * (x - mx)) * (x - mx) as s, w * (y - my - b * (x - mx)) * (y - my - b * (x - mx)) as ee, w * (y - my) * (y - my) as yy,
+     row_number() over (partition by wr.ticker, wr.k, wr.horizon, wr.span order by w_at) as p from wr join wc using (ticker, k, horizon, span)""",
+    wm="""select a.ticker, a.k, a.horizon, a.span, sum(a.s * b.s * (1 - abs(a.p - b.p) / (a.horizon + 1))) as meat from ws a join ws b using (ticker, k, horizon, span)
+     where b.p between a.p - a.horizon and a.p + a.horizon group by 1, 2, 3, 4""",
+    wt="""select c.*, c.b * c.sxx / sqrt(m.meat) as t_stat, 1 - v.see / v.syy as r_squared from wc c join wm m using (ticker, k, horizon, span)
+     join (select ticker, k, horizon, span, sum(ee) as see, sum(yy) as syy from ws group by 1, 2, 3, 4) v using (ticker, k, horizon, span)""")
+_ERF = "exp(-z * z) * list_sum(list_transform(range(0, 200), lambda i: exp((2 * i + 1) * ln(z) - lgamma(i + 1.5))))"
+
+
+@query("r04_robust_fits", with_views(
+    f"""select ticker, k, horizon, span, n, round(b, 6) as coefficient, round(my - b * mx, 6) as intercept, round(r_squared, 6) as r_squared, round(t_stat, 6) as t_stat,
+     round(case when z > 6 then 0 else greatest(1 - {_ERF}, 0) end, 6) as p_value from (select *, abs(t_stat) / sqrt(2) as z from wt)
+     join (select ticker, k, horizon, span from cand0) using (ticker, k, horizon, span)""",
+    *V, **{k: v for k, v in walk_views().items() if k != "cand"}, wr=_WEIGHTED, **_ROBUST))
 def _(t):
     plan = R.WalkForward(spans=PLAN.spans, horizons=PLAN.horizons, p_level=0.5, model="WLS")
     cand = R.candidate_fits(R.features(panel_of(t), plan), plan)
-    return cand.select("ticker", "k", "horizon", "span", "n", *[F.round(c, 6).alias(c) for c in ("coefficient", "r_squared", "t_stat", "p_value")])
+    return cand.select("ticker", "k", "horizon", "span", "n", *[F.round(c, 6).alias(c) for c in ("coefficient", "intercept", "r_squared", "t_stat", "p_value")])
 
 
 # ------------------------------------------------------------------ replay
