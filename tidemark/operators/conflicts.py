@@ -63,7 +63,8 @@ def quality_opinions(df: DataFrame, rules: ConflictRules = ConflictRules()) -> D
     return usable_opinions(df, rules.exclude_refusals).where(passes_quality(rules))
 
 
-def _cells(df: DataFrame, rules: ConflictRules) -> DataFrame:
+def opinion_cells(df: DataFrame, rules: ConflictRules = ConflictRules()) -> DataFrame:
+    """Opinions counted by category per (date, submission, ticker); cells of several batches may be stacked."""
     explicit = ~F.col("is_implicit") if rules.prefer_explicit else F.lit(True)
     tier = (
         F.when(F.col("extraction_refusal") & F.lit(rules.exclude_refusals), REFUSED)
@@ -124,7 +125,11 @@ def judge_conflicts(df: DataFrame, rules: ConflictRules = ConflictRules()) -> Da
 
     ``winner`` is NULL when no row passes the quality bar. Ties go to the opinion seen first.
     """
-    cells = _cells(df, rules)
+    return judge_cells(opinion_cells(df, rules), rules)
+
+
+def judge_cells(cells: DataFrame, rules: ConflictRules = ConflictRules()) -> DataFrame:
+    """The same from cells; a cell may come in any number of parts."""
     said = "longest" in cells.columns
     best_wins = rules.strategy == "highest_confidence"
     spread = cells.repartition(*[F.col(k) for k in KEYS])

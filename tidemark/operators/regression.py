@@ -89,56 +89,67 @@ def _summary(inside: Column, suffix: str) -> list[Column]:
     ]
 
 
-def _met(a: Column, b: Column) -> Column:
-    """Summary of two runs of rows from their summaries."""
-    n, nx = a["n"] + b["n"], a["nx"] + b["nx"]
-    share, share_x = F.try_divide(b["n"], n), F.try_divide(b["nx"], nx)
-    dx, dy, dm = b["avgx"] - a["avgx"], b["avgy"] - a["avgy"], b["mx"] - a["mx"]
-    part, part_x = a["n"] * share, a["nx"] * share_x
-
-    def merged(one, plain, count):
-        """Whichever side has rows, or both sides merged."""
-        return F.when(b[count] == 0, a[one]).when(a[count] == 0, b[one]).otherwise(plain)
-
-    return F.struct(
-        n.alias("n"), merged("avgx", a["avgx"] + dx * share, "n").alias("avgx"), merged("avgy", a["avgy"] + dy * share, "n").alias("avgy"),
-        merged("sxx", a["sxx"] + b["sxx"] + dx * dx * part, "n").alias("sxx"), merged("sxy", a["sxy"] + b["sxy"] + dx * dy * part, "n").alias("sxy"),
-        merged("syy", a["syy"] + b["syy"] + dy * dy * part, "n").alias("syy"),
-        nx.alias("nx"), merged("mx", a["mx"] + dm * share_x, "nx").alias("mx"), merged("m2x", a["m2x"] + b["m2x"] + dm * dm * part_x, "nx").alias("m2x"),
-        (a["nonzero"] + b["nonzero"]).alias("nonzero"),
-        F.least(a["first_date"], b["first_date"]).alias("first_date"), F.greatest(a["last_date"], b["last_date"]).alias("last_date"),
-    )
-
-
-def window_fits(rows: DataFrame, keys: list[str], idx: str, length: int, step: int, first_end: Column) -> DataFrame:
+def _single(inside: Column, suffix: str) -> list[Column]:
+    """The same for one row at most."""
+    x, y = F.max(F.when(inside, F.col("x"))), F.max(F.when(inside, F.col("y")))
+    here, both = F.when(x.isNotNull(), 1).otherwise(0), F.when(x.isNotNull() & y.isNotNull(), 1).otherwise(0)
+    day, none = F.max(F.when(inside, F.col("date"))), F.lit(0.0)
+    values = {"n": both.cast("long"), "avgx": F.when(both == 1, x), "avgy": F.when(both == 1, y), "sxx": none, "sxy": none, "syy": none,
+              "nx": here.cast("long"), "mx": x, "m2x": none, "nonzero": F.when(F.abs(x) > NONZERO, 1).otherwise(0).cast("long"),
+              "first_date": F.when(both == 1, day), "last_date": F.when(both == 1, day)}
+    return [values[c].alias(f"{c}{suffix}") for c in _MOMENTS]
+
+
+# the summary of two runs a and b of rows from their summaries; means of no rows are 0 and weigh nothing
+_MET = """(a, b) -> named_struct(
+ 'n', a.n + b.n, 'avgx', a.avgx + (b.avgx - a.avgx) * (b.n / greatest(a.n + b.n, 1)), 'avgy', a.avgy + (b.avgy - a.avgy) * (b.n / greatest(a.n + b.n, 1)),
+ 'sxx', a.sxx + b.sxx + (b.avgx - a.avgx) * (b.avgx - a.avgx) * (a.n * (b.n / greatest(a.n + b.n, 1))),
+ 'sxy', a.sxy + b.sxy + (b.avgx - a.avgx) * (b.avgy - a.avgy) * (a.n * (b.n / greatest(a.n + b.n, 1))),
+ 'syy', a.syy + b.syy + (b.avgy - a.avgy) * (b.avgy - a.avgy) * (a.n * (b.n / greatest(a.n + b.n, 1))),
+ 'nx', a.nx + b.nx, 'mx', a.mx + (b.mx - a.mx) * (b.nx / greatest(a.nx + b.nx, 1)),
+ 'm2x', a.m2x + b.m2x + (b.mx - a.mx) * (b.mx - a.mx) * (a.nx * (b.nx / greatest(a.nx + b.nx, 1))),
+ 'nonzero', a.nonzero + b.nonzero, 'first_date', least(a.first_date, b.first_date), 'last_date', greatest(a.last_date, b.last_date))"""
+
+
+def window_fits(rows: DataFrame, keys: list[str], idx: str, length: int, step: int, first_end: Column,
+                marked: Column | None = None) -> DataFrame:
     """Moments of x and y over ``length`` rows ending at ``first_end + k * step``, one row per (keys, k).
 
     Windows that begin before the first row are cut there; ``idx`` counts rows from 0 without gaps, rows that
     do not count have a NULL x. Each row enters one cell of ``step`` rows, whole and, near the cell's start,
     as the head that ends a window; a window is the cells before a head and the head. So no row is copied,
     whatever ``length`` and ``step`` are. ``first_end`` may depend on the keys. ``end_date`` is the last row's.
+    ``marked`` lists the windows to whose ``marks`` a row adds one.
     """
     cells_before = (length - 1) // step
     head = length - cells_before * step
     at = F.col(idx) - first_end + (length - 1)
-    in_head = F.pmod(at, F.lit(step)) < head
-    last = F.pmod(at, F.lit(step)) == head - 1
-    cells = rows.groupBy(*keys, F.floor(at / step).cast("long").alias("_cell")).agg(
-        *_summary(F.lit(True), ""), *_summary(in_head, "_head"), F.max(F.when(last, F.col("date"))).alias("end_date"), F.max("n_rows").alias("n_rows"))
+    own, in_head, last = F.lit(True), F.pmod(at, F.lit(step)) < head, F.pmod(at, F.lit(step)) == head - 1
+    cell = F.floor(at / step).cast("long")
+    if marked is None:
+        rows = rows.withColumn("_cell", cell)
+    else:
+        placed = F.concat(F.array(F.struct(cell.alias("_cell"), F.lit(True).alias("_own"))), F.transform(
+            marked, lambda k: F.struct((k + cells_before).cast("long").alias("_cell"), F.lit(False).alias("_own"))))
+        rows = rows.select("*", F.inline(placed))
+        own, in_head, last = F.col("_own"), F.col("_own") & in_head, F.col("_own") & last
+    cells = rows.groupBy(*keys, "_cell").agg(
+        *_summary(own, ""), *(_single if head == 1 else _summary)(in_head, "_head"), F.max(F.when(last, F.col("date"))).alias("end_date"),
+        F.max("n_rows").alias("n_rows"), F.count(F.when(~own, 1)).alias("marks"))
 
     def packed(suffix):
         none = {"avgx", "avgy", "sxx", "sxy", "syy", "mx", "m2x"}
         return F.struct(*[(F.coalesce(f"{c}{suffix}", F.lit(0.0)) if c in none else F.col(f"{c}{suffix}")).alias(c) for c in _MOMENTS])
 
     before = Window.partitionBy(*keys).orderBy("_cell").rangeBetween(-cells_before, -1)
-    told = cells.select(*keys, "_cell", "end_date", "n_rows", packed("").alias("whole"), packed("_head").alias("head"))
+    told = cells.select(*keys, "_cell", "end_date", "n_rows", "marks", packed("").alias("whole"), packed("_head").alias("head"))
     if cells_before:
         told = told.withColumn("whole", F.collect_list("whole").over(before))
-        told = told.withColumn("head", F.aggregate("whole", F.col("head"), _met))
+        told = told.withColumn("head", F.expr(f"aggregate(whole, head, {_MET})"))
     out = told.where(F.col("end_date").isNotNull() & (F.col("_cell") >= cells_before))
     m = F.col("head")
     return out.select(
-        *keys, (F.col("_cell") - cells_before).alias("k"), "end_date", "n_rows", *[m[c].alias(c) for c in _FIT],
+        *keys, (F.col("_cell") - cells_before).alias("k"), "end_date", "n_rows", "marks", *[m[c].alias(c) for c in _FIT],
         F.when(m["nx"] > 0, F.sqrt(m["m2x"] / m["nx"])).alias("x_std"), F.try_divide(m["nonzero"], m["nx"]).alias("share_nonzero"),
         m["nx"].alias("nx"), m["first_date"].alias("train_start"), m["last_date"].alias("train_end"))
 
@@ -189,10 +200,16 @@ def features(panel: DataFrame, plan: WalkForward) -> DataFrame:
 
 
 def _long(df: DataFrame, plan: WalkForward) -> DataFrame:
-    """One row per (day, horizon, span) with x and y; days without mentions lose both if only such days count."""
+    """One row per (day, horizon, span) with x, y and the row where x was last seen.
+
+    Days without mentions lose x and y if only days with mentions count.
+    """
     counts = F.col("total_mentions") >= 1 if plan.mentions_only else F.lit(True)
+    df = df.withColumns({f"_x{s}": F.when(counts, F.col(f"ema_{s}")) for s in plan.spans})
+    df = df.withColumns({f"_seen{s}": F.lag("idx").over(Window.partitionBy("ticker", f"_x{s}").orderBy("idx")) for s in plan.spans})
     pairs = F.array(*[
-        F.struct(F.lit(h).alias("horizon"), F.lit(s).alias("span"), F.when(counts, F.col(f"fwd_{h}")).alias("y"), F.when(counts, F.col(f"ema_{s}")).alias("x"))
+        F.struct(F.lit(h).alias("horizon"), F.lit(s).alias("span"), F.when(counts, F.col(f"fwd_{h}")).alias("y"), F.col(f"_x{s}").alias("x"),
+                 F.when(F.col(f"_x{s}").isNotNull(), F.col(f"_seen{s}")).alias("seen"))
         for h in plan.horizons for s in plan.spans
     ])
     return df.select("ticker", "date", "idx", "n_rows", "total_mentions", F.inline(pairs))
@@ -207,14 +224,6 @@ def _windows_of(first: Column, last: Column, plan: WalkForward) -> Column:
     return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _repeats(rows: DataFrame, plan: WalkForward) -> DataFrame:
-    """Values per window that an earlier row of the window has too; only repeated values are copied to windows."""
-    seen = F.lag("idx").over(Window.partitionBy("ticker", "horizon", "span", "x").orderBy("idx"))
-    again = rows.where("x is not null").withColumn("seen", seen).where("seen is not null")
-    return again.withColumn("k", F.explode(_windows_of(F.col("seen"), F.col("idx"), plan))).groupBy(
-        "ticker", "horizon", "span", "k").agg(F.count("*").alias("repeats"))
-
-
 def _last_training_row(plan: WalkForward) -> Column:
     return F.col("k") * plan.refit + plan.first_refit - plan.embargo - F.col("horizon")
 
@@ -229,14 +238,14 @@ def candidate_fits(df: DataFrame, plan: WalkForward) -> DataFrame:
     if plan.model == "WLS":
         fits = weighted_fits(df, plan)
     else:
-        rows = _long(df, plan)
-        fits = window_fits(rows, ["ticker", "horizon", "span"], "idx", plan.window + 1, plan.refit,
-                           plan.first_refit - plan.embargo - F.col("horizon"))
+        # a value that the window has met before marks the windows that hold both; such rows alone are copied
+        again = F.when(F.col("seen").isNotNull(), _windows_of(F.col("seen"), F.col("idx"), plan)).otherwise(F.array().cast("array<bigint>"))
+        fits = window_fits(_long(df, plan), ["ticker", "horizon", "span"], "idx", plan.window + 1, plan.refit,
+                           plan.first_refit - plan.embargo - F.col("horizon"), again)
         fits = fits.where((F.col("k") >= 0) & (F.col("k") * plan.refit + plan.first_refit + F.col("horizon") < F.col("n_rows")))
-        fits = fits.join(_repeats(rows, plan), ["ticker", "horizon", "span", "k"], "left")
-        fits = fits.withColumn("n_unique", (F.col("nx") - F.coalesce("repeats", F.lit(0))).cast("int"))
+        fits = fits.withColumn("n_unique", (F.col("nx") - F.col("marks")).cast("int"))
         fits = fits.withColumns(ols(*[F.col(c) for c in _FIT])).drop(
-            "sxx", "sxy", "syy", "avgx", "avgy", "nx", "repeats", "end_date", "n_rows")
+            "sxx", "sxy", "syy", "avgx", "avgy", "nx", "marks", "end_date", "n_rows")
     sound = (
         (_train_length(plan) >= plan.min_training) & (F.col("n") >= plan.min_rows)
         & (F.col("x_std") >= MIN_X_STD) & (F.col("share_nonzero") >= MIN_NONZERO)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import conflicts as X, consensus as C
 from tidemark.plans.q_opinions import core_columns
 from tidemark.plans.registry import ORACLES, query
 from tidemark.session import scratch_path
-from tidemark.streaming import jobs as J
+from tidemark.streaming import consensus_state as CS, jobs as J, key_index as K
 
 DAY = "cast(cast(ts as date) as varchar)"
 
@@ -34,39 +33,38 @@ def _(t):
     twice = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
     for wanted in ("third = 2", "third <> 0", "third is not null"):  # newest ids are stored before older ones arrive
         twice.where(wanted).repartition(2).write.mode("append").parquet(source)
-        J.in_batches(J.new_files(t.spark, source, rows.schema, files_per_batch=1), J.new_only(out, ["event_id"]), mark)
+        J.in_batches(J.new_files(t.spark, source, rows.schema, files_per_batch=1), K.new_only(out, ["event_id"]), mark)
     return t.spark.read.parquet(out).groupBy("event_type").agg(
         F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"), F.sum("event_id").alias("ids"))
 
 
 @query("st3_daily_consensus", ORACLES["a01_consensus_core"])
 def _(t):
-    """Opinions arrive in two runs; months touched by a batch are summarised again."""
-    source, raw, daily, mark = (scratch_path(t.spark, n) for n in ("source", "raw", "daily", "mark"))
-    rows = t.sentiments.withColumn("month", F.date_format("date", "yyyy-MM"))
-
-    def summarise(opinions):
-        cons = C.daily_consensus(X.resolved_opinions(X.judge_conflicts(opinions)))
-        return cons.withColumn("month", F.date_format("date", "yyyy-MM"))
-
+    """Opinions arrive in two runs; what the second one changes is resolved again from stored cells."""
+    arrived, source, state, mark = (scratch_path(t.spark, n) for n in ("arrived", "source", "state", "mark"))
+    rows = t.sentiments
+    rows.withColumn("late", F.pmod("submission_id", F.lit(2))).write.partitionBy("late").parquet(arrived)
     for late in (0, 1):
-        rows.where(F.pmod("submission_id", F.lit(2)) == late).write.mode("append").parquet(source)
-        J.in_batches(J.new_files(t.spark, source, rows.schema), J.reopen_days(raw, daily, summarise, day="month"), mark)
-    return core_columns(t.spark.read.parquet(daily))
+        t.spark.read.schema(rows.schema).parquet(f"{arrived}/late={late}").write.mode("append").parquet(source)
+        J.in_batches(J.new_files(t.spark, source, rows.schema), CS.keep_consensus(state), mark)
+    return core_columns(CS.current_consensus(t.spark, state))
 
 
 @query("st4_late_rows_reopen_days", f"select {DAY} as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def _(t):
-    source, raw, daily, mark = (scratch_path(t.spark, n) for n in ("source", "raw", "daily", "mark"))
+    source, cells, daily, mark = (scratch_path(t.spark, n) for n in ("source", "cells", "daily", "mark"))
     rows = t.events.withColumn("day", F.col("ts").cast("date"))
     schema = rows.schema
 
     def summarise(df):
         return df.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
+    def merge(cells):
+        return cells.groupBy("day", "event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
     for late in (0, 1):  # odd rows arrive after the days were summarised once
         rows.where(F.col("event_id") % 2 == late).write.mode("append").parquet(source)
-        J.in_batches(J.new_files(t.spark, source, schema), J.reopen_days(raw, daily, summarise), mark)
+        J.in_batches(J.new_files(t.spark, source, schema), J.merge_days(cells, daily, summarise, merge), mark)
     out = t.spark.read.parquet(daily)
     return out.select(F.col("day").cast("string").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 

@@ -51,22 +51,6 @@ def stored(spark: SparkSession, path: str, schema: StructType | str) -> DataFram
         return None
 
 
-def new_only(path: str, key: list[str], partition_by: list[str] = []):
-    """Batch handler: rows whose key is not stored yet are added, once each, however late they come.
-
-    What exists is looked up in the table itself, so no watermark drops late rows or forgets old keys.
-    """
-
-    def handle(rows: DataFrame, batch: int) -> None:
-        fresh = rows.dropDuplicates(key)
-        old = stored(rows.sparkSession, path, StructType([rows.schema[k] for k in key]).add("batch", "integer"))
-        if old is not None:
-            fresh = fresh.join(old.where(F.col("batch") != batch).select(*key), key, "left_anti")
-        write_batch(fresh, path, batch, partition_by)
-
-    return handle
-
-
 def daily_totals(stream: DataFrame, keys: list[str], aggs: list[Column], ts: str = "ts", delay: str = "1 day") -> DataFrame:
     """One row per (day, keys); in append mode a day appears once it is final."""
     day = F.window(ts, "1 day")
@@ -75,28 +59,37 @@ def daily_totals(stream: DataFrame, keys: list[str], aggs: list[Column], ts: str
 
 
 def write_batch(df: DataFrame, path: str, batch: int, partition_by: list[str] = []) -> None:
+    """Replace what this batch wrote before; rows meet by their folder first, so a folder gets few files."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     (
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch", *partition_by).parquet(path)
     )
 
 
-def reopen_days(raw_path: str, daily_path: str, summarise: Callable[[DataFrame], DataFrame], day: str = "day"):
-    """Batch handler: keep the new rows, then rebuild exactly the days they touch.
+def folders_of(df: DataFrame, column: str) -> list:
+    """Values of a partition column, from the folders alone."""
+    return [r[0] for r in df.select(column).distinct().collect()]
+
+
+def merge_days(cells_path: str, daily_path: str, summarise: Callable[[DataFrame], DataFrame],
+               merge: Callable[[DataFrame], DataFrame], day: str = "day"):
+    """Batch handler: a batch becomes cells, and the days it touches are merged again from their cells.
 
-    Days of a batch are few, so the touched ones are named in the scan and all others are pruned.
+    ``summarise`` turns rows into cells, ``merge`` cells of any number of batches into a day's result. What
+    came before is read as cells of the touched days only, never as rows.
     """
 
     def handle(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        write_batch(rows, raw_path, batch, [day])
-        stored = spark.read.parquet(raw_path)
-        # partition values only, one per calendar day
-        touched = [r[0] for r in stored.where(F.col("batch") == batch).select(day).distinct().collect()]
+        write_batch(summarise(rows), cells_path, batch, [day])
+        cells = spark.read.parquet(cells_path)
+        touched = folders_of(cells.where(F.col("batch") == batch), day)
         if not touched:
             return
-        fresh = summarise(stored.where(F.col(day).isin(touched)))
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(daily_path)
+        fresh = merge(cells.where(F.col(day).isin(touched)).drop("batch"))
+        fresh.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(daily_path)
 
     return handle
 
