@@ -71,6 +71,57 @@ def test_quality_edge_cases(docs, no_docs, spark):
     assert {r.score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def auc(score, label):
+    good, bad = score[label == 1], score[label == 0]
+    return ((good[:, None] > bad).sum() + 0.5 * (good[:, None] == bad).sum()) / (len(good) * len(bad))
+
+
+def test_held_out_ranking(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    held = quality.score_quality(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert auc(held.score.to_numpy(), held.quality.to_numpy()) > 0.9
+
+
+def trained_on(monkeypatch, docs, labels, **bounds):
+    """Bags and labels that reach the training."""
+    seen = {}
+
+    def keep(bags, y, **_kw):
+        seen.update(bags=bags, y=list(y))
+
+    monkeypatch.setattr(quality, "train", keep)
+    quality.fit(docs, labels, **bounds)
+    return seen
+
+
+def test_sampled_texts_train_whole(spark, monkeypatch):
+    """A short bad passage in a very long text is in its bag."""
+    words = ["word"] * 64 * 400
+    words[64 * 333:64 * 334] = ["%%%"] * 64
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5][:3]
+    docs = spark.createDataFrame([(ids[0], " ".join(words)), (ids[1], "a b c"), (ids[2], None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    got = trained_on(monkeypatch, docs, labels)
+    sizes = {len(b): b for b in got["bags"]}
+    assert sorted(len(b) for b in got["bags"]) == [1, 1, 400]
+    odd = np.abs(sizes[400] - sizes[400][0]).sum(axis=1)
+    assert np.flatnonzero(odd > 0).tolist() == [333]
+
+
+def test_sample_bounds(spark, monkeypatch):
+    """Labels without a document take no room, an id trains once, and passages are bounded by whole documents."""
+    ids = [i for i in range(1, 4000) if zlib.crc32(str(i).encode()) % 5][:200]
+    docs = spark.createDataFrame([(i, "w " * (64 * 5 if i == ids[7] else 10)) for i in ids[:20]], "doc_id long, text string")
+    docs = docs.unionByName(docs).unionByName(docs.limit(5).selectExpr("doc_id", "'other text' as text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    got = trained_on(monkeypatch, docs, labels, sample=20)
+    assert len(got["bags"]) == 20
+    tight = trained_on(monkeypatch, docs, labels, sample=20, passages=19)
+    assert sum(len(b) for b in tight["bags"]) <= 19 and len(tight["bags"]) >= 15
+    without = trained_on(monkeypatch, docs, labels, sample=20, passages=4)
+    assert [len(b) for b in without["bags"]] == [1] * 4
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plans_hold_exactly_the_histogram(histogram):

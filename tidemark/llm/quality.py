@@ -143,8 +143,9 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 25, batch: i
           seed: int = 7) -> AttentionModel:
     """Adam on the logistic loss; labels are of documents, the attention finds the passages that decide."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags)
-    mean, scale = every.mean(0), every.std(0) + 1e-3
+    n = sum(len(b) for b in bags)
+    mean = sum(b.sum(0, dtype=np.float64) for b in bags) / n
+    scale = np.sqrt(sum(((b - mean) ** 2).sum(0) for b in bags) / n) + 1e-3
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     weights = {"enc": draw(WIDTH, HIDDEN), "enc_b": np.zeros(HIDDEN), "att": draw(HIDDEN, HIDDEN), "gate": draw(HIDDEN, HIDDEN),
                "gate_b": np.zeros(HIDDEN), "pick": draw(HIDDEN), "head": draw(HIDDEN), "head_b": np.zeros(1)}
@@ -174,17 +175,42 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 4000, bag_limit: int = 256, id_col: str = "doc_id",
+def choose_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, passages: int, id_col: str, text_col: str) -> list[tuple]:
+    """(id, text hash, label) of the training rows: whole documents in the order of their id's hash.
+
+    Labels of ids without a document, of held-out and of null ids do not count. The first ``sample`` ids are
+    looked at; one goes in if its passages still fit into ``passages``, so both bounds hold and no text is cut.
+    Of an id with several texts the one with the smallest hash trains. At most ``sample`` rows reach the driver.
+    """
+    told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(
+        F.col(id_col).alias("lab_id")).agg(F.max(label_col).cast("double").alias("y"))
+    there = told.join(docs.select(F.col(id_col).alias("lab_id")), "lab_id", "left_semi")
+    order = [F.xxhash64("lab_id", F.lit("sample")), F.col("lab_id")]
+    chosen = there.orderBy(*order).limit(sample)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("lab_id"), text.alias("text")).join(F.broadcast(chosen), "lab_id")
+    sized = rows.select("lab_id", "y", F.xxhash64("text").alias("h"), F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).alias("n"))
+    taken, left = [], passages
+    for r in sized.groupBy("lab_id").agg(F.max("y").alias("y"), F.min(F.struct("h", "n")).alias("t")).orderBy(*order).collect():
+        size = max(1, -(-r.t.n // WORDS))
+        if size <= left:
+            taken.append((r.lab_id, r.t.h, r.y))
+            left -= size
+    return taken
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 4000, passages: int = 1 << 17, id_col: str = "doc_id",
         text_col: str = "text") -> AttentionModel | None:
-    """Train on at most ``sample`` labelled rows outside the held-out fifth; None without labels.
+    """Train on a bounded sample of labelled rows outside the held-out fifth; None without labels.
 
-    The sample is the rows with the smallest hash of their id. Passages are encoded in tasks; of a sampled
-    text with more than ``bag_limit`` passages evenly spaced ones train, so the bags that reach the driver
-    are bounded by sample x bag_limit vectors.
+    Every passage of a sampled document trains. Passages are encoded in tasks; the driver gets at most
+    ``passages`` vectors, 57 MB at the default.
     """
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(
-        F.col(id_col).alias("lab_id")).agg(F.max(label_col).cast("double").alias("y")).orderBy(
-        F.xxhash64("lab_id", F.lit("sample")), "lab_id").limit(sample)
+    taken = choose_sample(docs, labels, label_col, sample, passages, id_col, text_col)
+    if not taken:
+        return None
+    id_type = labels.schema[id_col].dataType.simpleString()
+    picked = docs.sparkSession.createDataFrame(taken, f"lab_id {id_type}, h long, y double")
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -192,18 +218,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
             for first, x, doc in encode(batch["text"]):
                 for i in range(doc[-1] + 1):
                     own = x[np.searchsorted(doc, i):np.searchsorted(doc, i, side="right")]
-                    if len(own) > bag_limit:
-                        own = own[np.linspace(0, len(own) - 1, bag_limit).astype(int)]
                     rows.append((batch["lab_id"].iloc[first + i], batch["y"].iloc[first + i], own.astype("<f4").tobytes()))
             yield pd.DataFrame(rows, columns=["lab_id", "y", "bag"])
 
-    id_type = labels.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("lab_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "lab_id")
-    table = rows.mapInPandas(bags, f"lab_id {id_type}, y double, bag binary").toPandas()
-    if not len(table):
-        return None
-    table = table.sort_values(["lab_id", "bag"], kind="stable")
-    return train([np.frombuffer(b, dtype="<f4").reshape(-1, WIDTH).astype(np.float64) for b in table["bag"]], table["y"].to_numpy())
+    rows = docs.select(F.col(id_col).alias("lab_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    one = rows.join(F.broadcast(picked), ["lab_id", "h"]).groupBy("lab_id").agg(F.max("y").alias("y"), F.max("text").alias("text"))
+    table = one.mapInPandas(bags, f"lab_id {id_type}, y double, bag binary").toPandas().sort_values("lab_id", kind="stable")
+    return train([np.frombuffer(b, dtype="<f4").reshape(-1, WIDTH) for b in table["bag"]], table["y"].to_numpy())
 
 
 def score_column(model: AttentionModel | None, text: Column) -> Column:
