@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tidemark.session import cut_lineage
+
 
 def slice_count(spark: SparkSession) -> int:
     """Slices a hot key is dealt over: as many as shuffle partitions, so a slice stays a task's share."""
@@ -43,3 +45,22 @@ def spread_lookup(rows: DataFrame, keys: list[str], table: DataFrame, spread: st
     dealt = rows.withColumn("_sl", slice_of([F.col(spread)], slice_count(rows.sparkSession)))
     pairs = dealt.select(*keys, "_sl").distinct().join(table, keys)
     return dealt.join(pairs, [*keys, "_sl"], "left").drop("_sl")
+
+
+def in_order(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Rows with exclusive running totals of ``sums`` inside each group, in the order of ``order``.
+
+    A range sort on (group, order) deals a group of any size over tasks; totals run inside a partition, and
+    partitions pass on one row per group. Rows that agree in ``order`` come in an arbitrary, fixed order.
+    """
+    parts = slice_count(df.sparkSession)
+    rows = df.withColumns({f"_{c}": w.cast("long") for c, w in sums.items()}).repartitionByRange(parts, *group, *order)
+    rows = rows.sortWithinPartitions(*group, *order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    rows = cut_lineage(rows)
+    ahead = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*group, "_part").agg(*[F.sum(f"_{c}").alias(f"_n_{c}") for c in sums])
+    starts = totals.select(*group, "_part", *[F.coalesce(F.sum(f"_n_{c}").over(ahead), F.lit(0)).alias(f"_off_{c}") for c in sums])
+    inside = Window.partitionBy(*group, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.join(starts, [*group, "_part"])
+    return found.withColumns({c: F.col(f"_off_{c}") + F.coalesce(F.sum(f"_{c}").over(inside), F.lit(0)) for c in sums}).drop(
+        "_part", "_at", *[f"_{c}" for c in sums], *[f"_off_{c}" for c in sums])

@@ -177,10 +177,10 @@ def _(t):
 
 
 @query("j10_thread_assembly", with_views(
-    "select submission_id, id, root, array_to_string(path, '.') as path from tree", "replies", tree=_TREE))
+    "select submission_id, id, root, row_number() over (partition by submission_id, root order by path) - 1 as rank from tree", "replies", tree=_TREE))
 def _(t):
     located = H.locate_comments(t.replies).where("root is not null")
-    return located.select("submission_id", "id", "root", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
+    return located.select("submission_id", "id", "root", "rank")
 
 
 @query("j11_comment_depth", with_views("select submission_id, id, depth from tree", "replies", tree=_TREE))
@@ -191,12 +191,14 @@ def _(t):
 @query("a19_comment_statistics", with_views(
     f"""select submission_id, count(*) as total, count(case when id = root then 1 end) as top_level,
         count(case when id <> root then 1 end) as replies, count(case when {_BODY} = '' then 1 end) as empty,
-        max(score) as max_score, min(score) as min_score, round(avg(score), 6) as avg_score,
-        round((count(*) - count(case when {_BODY} = '' then 1 end)) / count(*) * 100, 6) as success_rate
-        from tree group by submission_id""", "replies", tree=_TREE))
+        max(score) as max_score, min(score) as min_score, round(avg(score), 6) as avg_score, sum(score)::bigint as total_score,
+        round((count(*) - count(case when {_BODY} = '' then 1 end)) / count(*) * 100, 6) as success_rate,
+        count(distinct root) as threads, count(distinct case when told_top > 0 and told_replies > 0 then root end) as threads_with_replies
+        from (select *, count(case when id = root and {_BODY} <> '' then 1 end) over (partition by submission_id, root) as told_top,
+         count(case when id <> root and {_BODY} <> '' then 1 end) over (partition by submission_id, root) as told_replies from tree) group by submission_id""", "replies", tree=_TREE))
 def _(t):
     stats = H.comment_statistics(H.locate_comments(t.replies))
-    return stats.select("submission_id", "total", "top_level", "replies", "empty", "max_score", "min_score",
+    return stats.select("submission_id", "total", "top_level", "replies", "empty", "max_score", "min_score", "total_score", "threads", "threads_with_replies",
                         F.round("avg_score", 6).alias("avg_score"), F.round("success_rate", 6).alias("success_rate"))
 
 

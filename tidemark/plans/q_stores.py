@@ -433,19 +433,20 @@ def _(t):
 _S24_N, _S24_BYTES = 100, 200_000
 
 
+_S24_SIZE = f"""octet_length(encode('{{"custom_id":' || to_json(custom_id) || ',"method":"POST","url":"/v1/chat/completions","body":{{"model":"{MODEL}","temperature":0,"messages":[{{"role":"system","content":"Return structured sentiment info."}},{{"role":"user","content":' || to_json(prompt) || '}}]}}}}'))"""
+
+
 @query("s24_request_jobs", with_views(
-    f"""select day, count(*) as n, count(case when size > {_S24_BYTES} then 1 end) as n_oversized, true as within_limits, true as near_least
-        from (select day, octet_length(encode('{{"custom_id":' || to_json(custom_id) || ',"method":"POST","url":"/v1/chat/completions","body":{{"model":"{MODEL}","temperature":0,"messages":[{{"role":"system","content":"Return structured sentiment info."}},{{"role":"user","content":' || to_json(prompt) || '}}]}}}}')) as size from req) group by day""",
-    "documents_doc", req=_REQ))
-def _(t):
-    """Requests per day, with the promises of the packing: no bin above a limit, twice the least number of bins at most."""
+    f"""select day, custom_id, size as bytes, day || '-' || job as job, size > {_S24_BYTES} as oversized from walk""", "documents_doc", req=_REQ,
+    lined=f"""select *, row_number() over (partition by day order by submission_id, i) as p from (select day, cast(submission_id as varchar) as submission_id, i, custom_id, {_S24_SIZE} as size from req)""",
+    walk=f"""select day, p, custom_id, size, 0 as job, size as held, 1 as k from lined where p = 1 union all
+     select l.day, l.p, l.custom_id, l.size, case when w.k + 1 > {_S24_N} or w.held + l.size > {_S24_BYTES} then w.job + 1 else w.job end,
+      case when w.k + 1 > {_S24_N} or w.held + l.size > {_S24_BYTES} then l.size else w.held + l.size end,
+      case when w.k + 1 > {_S24_N} or w.held + l.size > {_S24_BYTES} then 1 else w.k + 1 end from walk w join lined l on l.day = w.day and l.p = w.p + 1"""))
+def _(t):
+    """Every request with its job, as one pass that fills jobs in order gives them."""
     packed = R.pack_requests(requests_of(t), max_requests=_S24_N, max_bytes=_S24_BYTES)
-    bins = packed.groupBy("day", "job").agg(F.count("*").alias("k"), F.sum("bytes").alias("b"), F.max("oversized").alias("apart"))
-    fits = F.when(F.col("apart"), F.col("k") == 1).otherwise((F.col("k") <= _S24_N) & (F.col("b") <= _S24_BYTES))
-    least = F.ceil(F.sum(F.when(~F.col("apart"), F.col("b"))) / _S24_BYTES) + F.ceil(F.sum(F.when(~F.col("apart"), F.col("k"))) / _S24_N)
-    return bins.groupBy("day").agg(
-        F.sum("k").alias("n"), F.count_if("apart").alias("n_oversized"), F.min(fits).alias("within_limits"),
-        (F.count_if(~F.col("apart")) <= 2 * least + 1).alias("near_least"))
+    return packed.select("day", "custom_id", "bytes", "job", "oversized")
 
 
 @query("s25_extraction_outputs", with_views(

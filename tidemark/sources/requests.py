@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.ids import parse_request_id, request_id
 from tidemark.functions.text import normalise_ticker, prompt
-from tidemark.operators.spread import slice_count, slice_of
+from tidemark.operators.spread import in_order, slice_count
 from tidemark.schemas import CONVICTIONS, EXTRACTION, HORIZONS, POSITIONS, SENTIMENTS, SOURCES
+from tidemark.session import cut_lineage
 
 def build_requests(docs: DataFrame, template: str, model: str, system: str = "") -> DataFrame:
     """One request per (submission, comment); a submission without comments still gets one."""
@@ -30,38 +31,54 @@ def build_requests(docs: DataFrame, template: str, model: str, system: str = "")
 
 
 def pack_requests(requests: DataFrame, max_requests: int = 40_000, max_bytes: int = 180 * 1024 * 1024,
-                  per_day: bool = True) -> DataFrame:
-    """Adds ``bytes``, ``job`` and ``oversized``: consecutive requests that respect both limits.
-
-    A request above the byte limit is a job of its own, marked oversized, and takes no room from others.
-    The rest is put in order by running totals over slices of the request id, so a day or submission of
-    any size is spread over all tasks; only ids and sizes move. Bins are ``max_bytes`` minus the largest
-    fitting request of the group wide, so a request that begins in a bin ends within the limit. With
-    ``per_day`` off, jobs run on over the end of a day.
+                  per_day: bool = True, order: tuple = ("submission_id", "i")) -> DataFrame:
+    """Adds ``bytes``, ``job`` and ``oversized``: the jobs that filling one after the other in order gives.
+
+    Requests follow (day, ``order``). A job ends before the request that would break a limit; one above the
+    byte limit is a job of its own, marked oversized. With ``per_day`` off, jobs run on over the end of a day.
+    ``job`` is the day, if jobs are per day, and a number from 0.
+
+    Where a job that began at a request would end follows from running totals of counts and bytes alone.
+    These pointers are doubled: each round knows the jobs of twice as many steps from the first, so the
+    rounds grow with the logarithm of the jobs in a day. Only positions and sizes move in the rounds; the
+    texts are written once and meet their job by row number, so repeated ids stay apart.
     """
-    lines = requests.withColumn("bytes", F.octet_length("line").cast("bigint"))
-    slim = lines.select("custom_id", "bytes", (F.col("day") if per_day else F.lit("all")).alias("span"))
-    fitting = slim.where(F.col("bytes") <= max_bytes).withColumn(
-        "slice", slice_of([F.col("custom_id")], slice_count(requests.sparkSession)))
-    totals = fitting.groupBy("span", "slice").agg(
-        F.sum("bytes").alias("b"), F.count("*").alias("n"), F.max("bytes").alias("big"))
-    # one row per slice from here
-    ahead = Window.partitionBy("span").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        "span", "slice", F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("b0"),
-        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"),
-        F.max("big").over(Window.partitionBy("span")).alias("largest"),
-    )
-    inside = Window.partitionBy("span", "slice").orderBy("custom_id")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    room = F.greatest(F.lit(max_bytes) - F.col("largest") + 1, F.lit(1))
-    start_byte = F.col("b0") + F.coalesce(F.sum("bytes").over(before), F.lit(0))
-    job = F.concat_ws("-", "span", F.floor(start_byte / room).cast("string"), F.floor(
-        (F.col("n0") + F.row_number().over(inside) - 1) / max_requests).cast("string"))
-    placed = fitting.join(starts, ["span", "slice"]).select("custom_id", job.alias("job"))
-    apart = F.col("bytes") > max_bytes
-    return lines.join(placed, "custom_id", "left").withColumns({
-        "job": F.coalesce("job", F.concat(F.lit("oversized-"), F.col("custom_id"))), "oversized": apart})
+    spark = requests.sparkSession
+    span = F.col("day").cast("string") if per_day else F.lit("all")
+    lines = cut_lineage(requests.withColumns({"bytes": F.octet_length("line").cast("bigint"), "_row": F.monotonically_increasing_id()}))
+    keys = ["day", *[c for c in order if c in requests.columns], "_row"]
+    placed = cut_lineage(in_order(
+        lines.select(span.alias("span"), *keys, "bytes").fillna("", ["span"]), ["span"], keys, {"p": F.lit(1), "b": F.col("bytes")}
+    ).select("span", "p", "b", "bytes", "_row"))
+    starts = _job_starts(placed, max_requests, max_bytes, max(1, max_bytes // slice_count(spark))).withColumn("starts", F.lit(1))
+    marked = placed.join(starts, ["span", "p"], "left")
+    numbered = in_order(marked, ["span"], ["p"], {"job": F.coalesce("starts", F.lit(0))})
+    number = (F.col("job") + F.coalesce("starts", F.lit(0)) - 1).cast("string")  # jobs begun up to here
+    name = F.concat_ws("-", "span", number) if per_day else number
+    return lines.join(numbered.select("_row", name.alias("job")), "_row").drop("_row").withColumn("oversized", F.col("bytes") > max_bytes)
+
+
+def _job_starts(placed: DataFrame, max_requests: int, max_bytes: int, width: int) -> DataFrame:
+    """(span, p) of the requests that begin a job; ``placed`` has position p and bytes before it, b, per span."""
+    # the request that a job begun at p has no room for: as many requests end within b + max_bytes
+    ends = placed.select("span", (F.col("b") + F.col("bytes")).alias("v"), F.lit(0).alias("kind"), (F.col("p") + 1).alias("q"), F.lit(None).cast("long").alias("p"))
+    points = placed.select("span", (F.col("b") + max_bytes).alias("v"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("q"), "p")
+    both = ends.unionByName(points).withColumn("bin", F.floor(F.col("v") / width))
+    upto = Window.partitionBy("span", "bin").orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("span").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = both.groupBy("span", "bin").agg(F.max("q").alias("q"), F.max("p").alias("p"))
+    carried = bins.select("span", "bin", F.max("q").over(earlier).alias("before"), (F.max("q").over(Window.partitionBy("span"))).alias("n"))
+    found = both.withColumn("q", F.max("q").over(upto)).where("kind = 1").join(carried, ["span", "bin"])
+    stop = F.greatest(F.least(F.coalesce("q", "before", F.lit(0)), F.col("p") + max_requests), F.col("p") + 1)
+    jumps = cut_lineage(found.select("span", "p", stop.alias("to"), "n").where("to < n").drop("n"))
+    reached = placed.where("p = 0").select("span", "p")
+    while True:
+        moved = cut_lineage(reached.join(jumps, ["span", "p"]).select("span", F.col("to").alias("p")))
+        if not moved.head(1):
+            return reached
+        reached = cut_lineage(reached.unionByName(moved))
+        jumps = cut_lineage(jumps.join(jumps.select("span", F.col("p").alias("to"), F.col("to").alias("further")), ["span", "to"]).select(
+            "span", "p", F.col("further").alias("to")))
 
 
 def run_extractor(requests: DataFrame, extract: Callable[[Iterator], Iterator]) -> DataFrame:
