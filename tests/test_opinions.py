@@ -111,3 +111,22 @@ def test_consensus_invariants(spark):
         assert r.explicit_mentions + r.implicit_mentions == r.total_mentions
         assert 0 <= r.sentiment_polarization <= 1 and 0 <= r.sentiment_controversy_score <= 1
         assert r.submissions_as_primary <= 40
+
+
+def test_day_summary_reads_the_consensus_once(spark, tmp_path):
+    """Any number of lists: one scan, one window, and tasks keep the best rows before they meet."""
+    rows = [("d", f"T{i:02d}", i % 7 + 1, i, {"bullish": i % 4, "bearish": i % 3}, (i % 5) / 5) for i in range(60)]
+    spark.createDataFrame(rows, "date string, ticker string, total_mentions long, first_seen long, sentiment_distribution map<string,long>, "
+                          "sentiment_controversy_score double").write.parquet(str(tmp_path / "c"))
+    cons = spark.read.parquet(str(tmp_path / "c"))
+    lists = {"mentioned": C.rank_mentioned(), "bullish": C.rank_side("bullish"), "bearish": C.rank_side("bearish"), "hot": C.rank_controversial()}
+    out = C.day_summary(cons, lists, limit=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Window [") == 1 and plan.count("WindowGroupLimit") == 2
+    got = out.first()
+    want = {
+        "mentioned": sorted(rows, key=lambda r: (-r[2], r[3]))[:3],
+        "bullish": sorted((r for r in rows if r[2] >= 2), key=lambda r: (-r[4]["bullish"] / r[2], -r[4]["bullish"], r[3]))[:3],
+        "bearish": sorted((r for r in rows if r[2] >= 2), key=lambda r: (-r[4]["bearish"] / r[2], -r[4]["bearish"], r[3]))[:3],
+        "hot": sorted((r for r in rows if r[2] >= 3), key=lambda r: (-r[5], r[3]))[:3]}
+    assert {n: [e.ticker for e in got[n]] for n in lists} == {n: [r[1] for r in v] for n, v in want.items()}

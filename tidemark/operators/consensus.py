@@ -248,22 +248,35 @@ def ticker_card(consensus: DataFrame) -> DataFrame:
     )
 
 
+def rank_mentioned() -> tuple:
+    """Which consensus rows a list ranks, and by what; the rankings below say the same as columns."""
+    return F.lit(True), F.col("total_mentions")
+
+
+def rank_side(side: str, min_mentions: int = 2) -> tuple:
+    return F.col("total_mentions") >= min_mentions, share(side), votes(side)
+
+
+def rank_controversial(min_mentions: int = 3) -> tuple:
+    return F.col("total_mentions") >= min_mentions, F.col("sentiment_controversy_score")
+
+
 def day_summary(consensus: DataFrame, lists: dict[str, tuple], limit: int = 5) -> DataFrame:
     """Named top lists of each day, nested; every list holds at most ``limit`` entries.
 
-    ``lists`` maps a list name to (candidate rows, metric column, ...).
+    ``lists`` maps a list name to (which rows, metric, further metrics for ties). The consensus is read once:
+    each row becomes a candidate of every list it belongs to, and each task keeps the best ``limit`` of a day
+    and list before they meet, so a shuffle moves a handful of rows per task, day and list.
     """
-    parts = []
-    for name, (rows, *metrics) in lists.items():
-        parts.append(
-            top_per_day(rows, *metrics, limit=limit).select(
-                "date", F.lit(name).alias("list"), "rank", "ticker", F.col(metrics[0]).cast("double").alias("value")
-            )
-        )
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
-    entry = F.struct("rank", "ticker", "value")
-    return long.groupBy("date").agg(
+    width = max(len(metrics) for _keep, *metrics in lists.values())
+    candidates = F.array(*[
+        F.struct(F.lit(name).alias("list"), keep.alias("keep"), *[
+            (metrics[i] if i < len(metrics) else F.lit(0)).cast("double").alias(f"m{i}") for i in range(width)])
+        for name, (keep, *metrics) in lists.items()])
+    rows = consensus.select("date", "ticker", "first_seen", F.inline(F.filter(candidates, lambda c: c["keep"])))
+    best = Window.partitionBy("date", "list").orderBy(*[F.col(f"m{i}").desc() for i in range(width)], "first_seen", "ticker")
+    ranked = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    entry = F.struct("rank", "ticker", F.col("m0").alias("value"))
+    return ranked.groupBy("date").agg(
         *[F.sort_array(F.collect_list(F.when(F.col("list") == name, entry))).alias(name) for name in lists]
     )

@@ -479,11 +479,8 @@ def _list_sql(name, order, where="total_mentions >= 2"):
 def _(t):
     cons = light_consensus(t)
     summary = C.day_summary(cons, {
-        "mentioned": (C.most_mentioned(cons), "total_mentions"),
-        "bullish": (C.most_of(cons, "bullish"), "pct", "votes"),
-        "bearish": (C.most_of(cons, "bearish"), "pct", "votes"),
-        "controversial": (C.most_controversial(cons), "controversy"),
-    })
+        "mentioned": C.rank_mentioned(), "bullish": C.rank_side("bullish"), "bearish": C.rank_side("bearish"),
+        "controversial": C.rank_controversial()})
     names = ["mentioned", "bullish", "bearish", "controversial"]
     tagged = F.array(*[F.struct(F.lit(n).alias("list"), F.array_join(F.col(f"{n}.ticker"), ",").alias("tickers")) for n in names])
     return day(summary).select("date", F.inline(tagged)).where("tickers <> ''")
