@@ -183,6 +183,26 @@ def test_places_equal_a_walk_through_the_trees(spark):
     assert sum(key not in want for key, _ in found) == 4
 
 
+def test_entities_equal_the_standard_decoder(spark):
+    """All names with and without what follows, numbers of every kind, and text around them."""
+    import html
+    import random
+    from html.entities import html5
+
+    rng = random.Random(1)
+    names = sorted(html5)
+    cases = ["", "&", "&&", "no entity", "&amp;lt;", "&notit;", "&#", "&#;", "&#x;", "&#xg", "a & b", "&#0;", "&#00065;x", "&#x0000041", "&#99999999999999999999;",
+             "&#xD800;", "&#x110000;", "&#65534;", "&#x1FFFF;", "&ampere &copycat", "&#128;&#x9f;&#129", "&\n;", "&gt&lt", "\U0001f600&#x1F600;&#128512x"]
+    cases += [f"a&{n}" for n in names] + [f"&{n}1 &{n.rstrip(';')}=b" for n in rng.sample(names, 400)]
+    cases += [f"&#{n};" for n in [*range(0, 300), 2047, 2048, 65535, 65536, 64975, 64976, 65007, 65008]] + [f"&#x{n:X}" for n in rng.sample(range(1 << 21), 300)]
+    cases += ["".join(rng.choice(["&", "#", "x", "1", "9", ";", "amp", "lt", "no", "t", " ", "é"]) for _ in range(12)) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(cases)) + [(-1, None)], "i int, t string").select("i", T.decode_all_entities("t").alias("d"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r.d for r in df.collect()}
+    assert got.pop(-1) is None
+    assert [(cases[i], d) for i, d in sorted(got.items()) if d != html.unescape(cases[i])] == []
+
+
 def test_output_lines_drop_bad_rows(spark):
     good = '{\\"primary_ticker\\":null,\\"sentiments\\":[{\\"confidence\\":7,\\"ticker\\":\\"$aa\\",\\"is_implicit\\":false,\\"sentiment\\":\\"bullish\\",\\"sentiment_intensity\\":5,\\"position\\":\\"calls\\",\\"conviction\\":\\"high\\",\\"time_horizon\\":\\"day\\",\\"source\\":\\"both\\",\\"explanation\\":\\"x\\",\\"extraction_refusal\\":false}]}'
 

@@ -83,16 +83,69 @@ def decode_named_entities(c: Column | str) -> Column:
     return _replace_all(text(c), NAMED_ENTITIES)
 
 
+def entity_names() -> dict[str, list[tuple[str, str]]]:
+    """Named entities by their first two letters, longest names first; names without a semicolon are names too."""
+    from html.entities import html5
+
+    table: dict[str, list[tuple[str, str]]] = {}
+    for name in sorted(html5, key=lambda n: (-len(n), n)):
+        table.setdefault(name[:2], []).append((name, html5[name]))
+    return table
+
+
+def _code_point(number: Column) -> Column:
+    """The number behind ``#`` in decimal or, after an x, in hexadecimal; beyond all characters where it is too long."""
+    digits = F.regexp_replace(F.regexp_replace(number, "^[xX]", ""), "^0+(?=.)", "")
+    beyond = F.lit(1 << 40)
+    in_hex = F.when(F.length(digits) <= 8, F.conv(digits, 16, 10).try_cast("bigint")).otherwise(beyond)
+    plain = F.when(F.length(digits) <= 12, digits.try_cast("bigint")).otherwise(beyond)
+    return F.when(F.lower(F.substring(number, 1, 1)) == "x", in_hex).otherwise(plain)
+
+
+def _utf8(cp: Column) -> Column:
+    """A character from its code point, by the bytes of its encoding."""
+    def six(shift):
+        return F.shiftright(cp, shift).bitwiseAND(F.lit(63).cast("bigint"))
+
+    two = 0xC080 + F.shiftright(cp, 6) * 256 + six(0)
+    three = 0xE08080 + F.shiftright(cp, 12) * 65536 + six(6) * 256 + six(0)
+    four = 0xF0808080 + F.shiftright(cp, 18) * 16777216 + six(12) * 65536 + six(6) * 256 + six(0)
+    code = F.when(cp < 0x80, cp).when(cp < 0x800, two).when(cp < 0x10000, three).otherwise(four)
+    return F.decode(F.unhex(F.lpad(F.hex(code), F.when(cp < 0x80, 2).otherwise(F.length(F.hex(code))), F.lit("0"))), "UTF-8")
+
+
+def _numbered(cp: Column) -> Column:
+    """What a numeric entity stands for: 128 to 159 mean the Windows character, non-characters vanish."""
+    windows = F.array(*[F.lit(bytes([n]).decode("cp1252", "ignore") or chr(n)) for n in range(128, 160)])
+    gone = (cp.between(1, 8) | (cp == 11) | cp.between(14, 31) | (cp == 127) | cp.between(0xFDD0, 0xFDEF)
+            | (cp.bitwiseAND(F.lit(0xFFFE).cast("bigint")) == 0xFFFE))
+    return (F.when((cp == 0) | cp.between(0xD800, 0xDFFF) | (cp > 0x10FFFF), "\ufffd")
+            .when(cp.between(128, 159), F.get(windows, (cp - 128).cast("int"))).when(gone, "").otherwise(_utf8(cp)))
+
+
 def decode_all_entities(c: Column | str) -> Column:
-    """Every named and numeric entity, one Arrow batch at a time."""
+    """Every named and numeric entity, with or without a semicolon, decoded once.
 
-    @F.pandas_udf("string")
-    def unescape(s):
-        import html
+    The text is split at its ampersands; each piece begins with a number or with the longest name that fits.
+    """
+    import json
+
+    c = text(c)
+    kind = "map<string,array<struct<n:string,v:string>>>"
+    table = F.from_json(F.lit(json.dumps({k: [{"n": n, "v": v} for n, v in rows] for k, rows in entity_names().items()})), kind)
+    numeric = "^#([0-9]+|[xX][0-9a-fA-F]+);?"
 
-        return s.map(html.unescape, na_action="ignore")
+    def decoded(piece: Column) -> Column:
+        number = F.regexp_extract(piece, numeric, 1)
+        after = F.length(F.regexp_extract(piece, numeric, 0)) + 1
+        best = F.get(F.filter(F.try_element_at(table, F.substring(piece, 1, 2)), lambda x: F.startswith(piece, x["n"])), 0)
+        return (F.when(number != "", F.concat(_numbered(_code_point(number)), F.substr(piece, after)))
+                .when(best.isNotNull(), F.concat(best["v"], F.substr(piece, F.length(best["n"]) + 1)))
+                .otherwise(F.concat(F.lit("&"), piece)))
 
-    return unescape(text(c))
+    pieces = F.split(c, "&")
+    rest = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
+    return F.when(c.contains("&"), F.concat(F.get(pieces, 0), F.array_join(rest, ""))).otherwise(c)
 
 
 def remove_urls(c: Column | str) -> Column:
@@ -141,7 +194,7 @@ def clean_comment(
 ) -> Column:
     """Comment clean-up in a fixed order.
 
-    ``entities`` is ``"all"`` (Arrow batch), ``"named"`` (JVM only) or ``"none"``.
+    ``entities`` is ``"all"``, ``"named"`` (the common ones) or ``"none"``.
     """
     c = F.coalesce(text(c), F.lit(""))
     if entities == "all":

@@ -72,9 +72,37 @@ def _(t):
     return t.pages.select("page_id", *sig(T.decode_named_entities("html")))
 
 
-@query("c03_all_entities")
+_RARE = "caf&eacute; &notit; &notin; &#8364;&#x1F600 &amp;lt; &#128; &#0; &CounterClockwiseContourIntegral; &fjlig;&unknown; &#xZ; "
+
+
+def _decoded_views(source: str) -> dict[str, str]:
+    """Pieces between ampersands, each with the longest name it begins with, put together again as ``text``."""
+    quoted = {n: v.replace("'", "''") for rows in T.entity_names().values() for n, v in rows}
+    listed = [", ".join(f"'{x}'" for x in side) for side in (quoted.keys(), quoted.values())]
+    windows = ", ".join("'" + (bytes([n]).decode("cp1252", "ignore") or chr(n)) + "'" for n in range(128, 160))
+    rule = "'^#([0-9]+|[xX][0-9a-fA-F]+);?'"
+    return dict(
+        ent=f"select unnest([{listed[0]}]) as n, unnest([{listed[1]}]) as v",
+        piece=f"select page_id, unnest(string_split({source}, '&')) as p, generate_subscripts(string_split({source}, '&'), 1) as i from pages",
+        named="select page_id, i, arg_max(n, length(n)) as n, arg_max(v, length(n)) as v from piece join ent on left(p, 2) = left(n, 2) and starts_with(p, n) where i > 1 group by 1, 2",
+        coded=f"""select *, regexp_extract(p, {rule}, 0) as whole, coalesce(try_cast(case when lower(left(num, 1)) = 'x' then '0x' || substr(num, 2) else num end as bigint), 1099511627776) as cp
+         from (select *, regexp_extract(p, {rule}, 1) as num from piece)""",
+        told=f"""select c.page_id, c.i, case when c.i = 1 then p when num <> '' then case when cp = 0 or cp between 55296 and 57343 or cp > 1114111 then chr(65533)
+          when cp between 128 and 159 then ([{windows}])[cp - 127] when cp between 1 and 8 or cp = 11 or cp between 14 and 31 or cp = 127 or cp between 64976 and 65007 or cp & 65534 = 65534 then ''
+          else chr(cp::int) end || substr(p, length(whole) + 1) when n is not null then v || substr(p, length(n) + 1) else '&' || p end as t
+         from coded c left join named d on c.page_id = d.page_id and c.i = d.i""",
+        decoded="select page_id, string_agg(t, '' order by i) as text from told group by page_id")
+
+
+@query("c03_all_entities", with_views(f"select page_id, {_sig('text')} from decoded", **_decoded_views(f"('{_RARE}' || html)")))
+def _(t):
+    return t.pages.select("page_id", *sig(T.decode_all_entities(F.concat(F.lit(_RARE), "html"))))
+
+
+@query("c02_comment_clean_default", with_views(
+    f"select page_id, {_sig(_nest(_URLS, _MARKUP, _MARKERS, _SPACE, _STRIP, x='text'))} from decoded", **_decoded_views(f"('{_RARE}' || html)")))
 def _(t):
-    return t.pages.select("page_id", *sig(T.decode_all_entities("html")))
+    return t.pages.select("page_id", *sig(T.clean_comment(F.concat(F.lit(_RARE), "html"))))
 
 
 @query("c04_urls_and_markup", f"select page_id, {_sig(_nest(_URLS, _MARKUP, x=chr(39) + '[see](' + chr(39) + ' || url || ' + chr(39) + ') ' + chr(39) + ' || html'))} from pages")
