@@ -50,7 +50,20 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+MOST_BITS = 60  # of a size estimate in bytes
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that a lost executor costs no recomputation of loops."""
+    """Reliable checkpoint, so that a lost executor costs no recomputation of loops.
+
+    A checkpoint keeps the size that the planner had guessed, and a join's guess is the product of its
+    sides: in a loop that joins its state with itself the guess squares every round, until planning does
+    nothing but multiply. A guess beyond all sizes is dropped with the plan that made it.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    plan = done._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes().bit_length() <= MOST_BITS:
+        return done
+    fresh = df.sparkSession._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False)
+    return DataFrame(fresh, df.sparkSession)
