@@ -241,3 +241,19 @@ def test_averages_of_long_series_and_odd_spans(spark):
     for s in spans:
         want = got["predictor"].ewm(span=s, adjust=True).mean()
         assert np.allclose(got[f"ema_{s}"], want, rtol=1e-9, atol=1e-6)
+
+
+def test_certificate_tells_the_best_fit_from_others(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3)) * [1, 5, 0.2]
+    y = (x @ [1, -0.3, 2] + rng.logistic(size=400) > 0).astype(int)
+    df = spark.createDataFrame([([float(v) for v in r], int(k)) for r, k in zip(x, y)], "f array<double>, label int").select(array_to_vector("f").alias("scaled"), "label")
+    for penalty in (0.0, 0.05):
+        best = N.make_classifier(regParam=penalty, tol=1e-12, maxIter=500).fit(df)
+        early = N.make_classifier(regParam=penalty, maxIter=1).fit(df)
+        names = ["a", "b", "c"]
+        good, bad = (N.fit_certificate(df, m, names).toPandas().set_index("feature") for m in (best, early))
+        assert good["gradient"].abs().max() < 1e-6 < 1e-3 < bad["gradient"].abs().max()
+        assert good.loc["b", "observed"] == pytest.approx((y * x[:, 1]).mean()) and good.loc["intercept", "observed"] == pytest.approx(y.mean())

@@ -137,6 +137,28 @@ def feature_importance(spark, model, names: list[str]) -> DataFrame:
     )
 
 
+def fit_certificate(train: DataFrame, model, names: list[str], label: str = "label") -> DataFrame:
+    """Whether a logistic fit is the best one, from the rows alone: per feature the moment the labels show and the one the fit implies.
+
+    At the minimum of the mean logistic loss with a ridge penalty the gradient is zero: the mean of label times
+    feature equals the mean of probability times feature plus the penalty's share. The penalty is on
+    coefficients of features divided by their sample deviation. The intercept stands for a feature of ones.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    spark = train.sparkSession
+    p = vector_to_array("probability")[1]
+    x = F.concat(vector_to_array(model.getFeaturesCol()), F.array(F.lit(1.0)))
+    rows = model.transform(train).select(F.col(label).cast("double").alias("y"), p.alias("p"), F.posexplode(x).alias("i", "x"))
+    moments = rows.groupBy("i").agg(
+        F.avg(F.col("y") * F.col("x")).alias("observed"), F.avg(F.col("p") * F.col("x")).alias("told"), F.var_samp("x").alias("spread"))
+    ridge = float(model.getRegParam()) * (1 - float(model.getElasticNetParam()))
+    fitted = [(i, n, float(v) * ridge) for i, (n, v) in enumerate(zip([*names, "intercept"], [*model.coefficients.toArray(), 0.0]))]
+    known = spark.createDataFrame(fitted, "i int, feature string, pull double")
+    implied = F.col("told") + F.col("pull") * F.col("spread")
+    return moments.join(F.broadcast(known), "i").select("feature", "observed", implied.alias("implied"), (implied - F.col("observed")).alias("gradient"))
+
+
 def top_features(importance: DataFrame, k: int = 15) -> DataFrame:
     return importance.orderBy(F.abs("importance").desc(), "feature").limit(k)
 

@@ -241,6 +241,17 @@ def _(t):
     return N.score(scaler.transform(test), model)
 
 
+@query("m12_fit_certificate", with_views(
+    " union all ".join(f"select '{n}' as feature, round(avg(label * coalesce(({n} - m) / nullif(sd, 0), 0)), 4) + 0.0 as moment, 0.0 as gradient from (select label, {n}, avg({n}) over () as m, stddev_pop({n}) over () as sd from tr)"
+                       for n in NAMES) + " union all select 'intercept', round(avg(label), 4) + 0.0, 0.0 from tr",
+    "documents_doc", "labelled", docs=DOCS, ft=_FT, s=_SPLIT, tr="select ft.* from ft join s using (submission_id) where not s.is_test"))
+def _(t):
+    """The moments that the fitted weights imply; SQL takes them from the labels, and both agree only at the optimum."""
+    names, scaler, model, train, _test = _fitted(t, regParam=0.01, tol=1e-12, maxIter=1000)
+    found = N.fit_certificate(scaler.transform(train), model, names)
+    return found.select("feature", (F.round("implied", 4) + 0.0).alias("moment"), F.abs(F.round("gradient", 4)).alias("gradient"))
+
+
 @query("m12_random_forest")
 def _(t):
     _n, scaler, model, _train, test = _fitted(t, "random_forest", numTrees=10, seed=42)
