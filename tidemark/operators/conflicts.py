@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import normalise_ticker
+from tidemark.operators.spread import spread_lookup
 from tidemark.schemas import CONVICTIONS, HORIZONS, POSITIONS, RESOLUTION_WEIGHTS, SOURCES
 
 KEYS = ["date", "submission_id", "ticker"]
@@ -322,11 +323,14 @@ def conflict_report(judged: DataFrame, rules: ConflictRules = ConflictRules()) -
 
 
 def conflicting_opinions(df: DataFrame, judged: DataFrame, rules: ConflictRules = ConflictRules()):
-    """The candidate rows behind each reported conflict, one row each instead of a nested list."""
+    """The candidate rows behind each reported conflict, one row each instead of a nested list.
+
+    The rows of one conflict are dealt over slices by position, so a hot group spreads.
+    """
     groups = judged.where("n_candidates > 1 and winner is not null").select(
         *KEYS, (F.col("winner.is_implicit") & F.lit(rules.prefer_explicit)).alias("all_implicit")
     )
-    rows = quality_opinions(df, rules).join(groups, KEYS)
+    rows = spread_lookup(quality_opinions(df, rules), KEYS, groups, "pos").where("all_implicit is not null")
     if rules.prefer_explicit:
         rows = rows.where(F.col("is_implicit") == F.col("all_implicit"))
     return rows.drop("all_implicit")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.session import cut_lineage
+
 # --- fixed values: prices per million tokens and planning constants ----------
 INPUT_RATES = {"gpt-4.1": 2.00, "gpt-4.1-mini": 0.40, "gpt-4.1-nano": 0.10, "gpt-4o": 2.50, "gpt-4o-mini": 0.15}
 OUTPUT_RATES = {"gpt-4.1": 8.00, "gpt-4.1-mini": 1.60, "gpt-4.1-nano": 0.40, "gpt-4o": 10.00, "gpt-4o-mini": 0.6}
@@ -77,6 +79,7 @@ def sampled_days(days: DataFrame, sample: int | None) -> DataFrame:
 
 def range_cost(daily: DataFrame, sample: int | None = None) -> DataFrame:
     """Cost of a date range, extrapolated from the sampled days when there are fewer of them."""
+    daily = cut_lineage(daily)  # a row per calendar day, read twice below
     chosen = daily.join(sampled_days(daily, sample), "day")
     sums = chosen.agg(
         F.max("n_days").alias("total_dates"), F.count("*").alias("dates_sampled"),

@@ -396,6 +396,13 @@ def _(t):
     return rounded(day(C.top_per_day(C.most_of(light_consensus(t), "bullish"), "pct", "votes")), "pct", "controversy")
 
 
+@query("t04_bullish_of_day", f"select * exclude (rank) from ({_most('bull')}) where date = '1996-03-05'")
+def _(t):
+    """One day's list: a pruned read and a top-k instead of a window."""
+    rows = C.top_of_day(C.most_of(light_consensus(t), "bullish"), F.lit("1996-03-05").cast("date"), "pct", "votes")
+    return rounded(day(rows), "pct", "controversy")
+
+
 @query("t04_most_bullish_calm", _most("bull", "controversy <= 0.6"))
 def _(t):
     calm = C.most_of(light_consensus(t), "bullish", exclude_controversial=True)

@@ -352,6 +352,22 @@ def _(t):
     return L.normalise_labels(raw, labeler="file_import")
 
 
+@query("s21_label_files", """select cast(doc_id as varchar) as submission_id, quality as label, case when doc_id % 2 = 0 then 'expert' else 'file_import' end as labeler,
+ case when doc_id % 3 = 0 then 4.5 else 5.0 end::double as confidence, case when doc_id % 5 = 0 then 'see, "' || doc_id || '"' else '' end as notes from labels""")
+def _(t):
+    """Label files as they come: half as CSV with quoted notes, half as JSON lines without the columns that are empty."""
+    raw = t.labels.select(
+        F.col("doc_id").cast("string").alias("submission_id"), F.col("quality").cast("string").alias("label"),
+        F.when(F.col("doc_id") % 2 == 0, "expert").alias("labeler"), F.when(F.col("doc_id") % 3 == 0, 4.5).alias("confidence"),
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('see, "'), F.col("doc_id").cast("string"), F.lit('"'))).alias("notes"))
+    half = F.col("submission_id").cast("bigint") % 4 < 2
+    table, lines = scratch_path(t.spark, "labels-csv"), scratch_path(t.spark, "labels-json")
+    raw.where(half).write.options(header=True, escape='"').csv(table)
+    raw.where(~half).write.json(lines)
+    read = [L.normalise_labels(L.read_labels(t.spark, path, kind), labeler="file_import") for path, kind in ((table, "csv"), (lines, "json"))]
+    return read[0].unionByName(read[1])
+
+
 @query("s21_label_words", "select doc_id as submission_id, quality as label, 'default' as labeler from labels")
 def _(t):
     raw = t.labels.select(F.col("doc_id").alias("submission_id"), F.when(F.col("quality") == 1, "relevant").otherwise("other").alias("label"))

@@ -11,7 +11,7 @@ def read_labels(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """CSV or JSON with ``submission_id`` and ``label``; other columns are optional."""
     schema = "submission_id string, label string, labeler string, confidence double, notes string"
     if fmt == "csv":
-        reader = spark.read.options(header=True, enforceSchema=False)
+        reader = spark.read.options(header=True, enforceSchema=False, escape='"')
         header = reader.csv(path).columns
         for name in ("submission_id", "label"):
             if name not in header:
