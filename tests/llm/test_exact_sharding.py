@@ -87,3 +87,30 @@ def test_propagation_goes_on_until_nothing_is_granted(spark):
     assert fixed.groupBy().sum("n").first()[0] == 1200
     with pytest.warns(UserWarning, match="still moved"):
         propagate(cells, quota, 30, 1)
+
+
+@pytest.mark.parametrize("seed", (1, 2))
+def test_propagation_ends_where_no_cut_falls(spark, seed):
+    """Clusters that compete for shards that are full: rows stay, quotas hold, fewer links are cut, and a second run moves nothing."""
+    import random
+
+    from tidemark.llm import sharding as S
+
+    rng = random.Random(seed)
+    cells = [(f"k{k}", k % 2, s, rng.randrange(1, 6)) for k in range(25) for s in rng.sample(range(6), rng.randrange(2, 6))]
+    load = {s: sum(n for *_k, at, n in cells if at == s) for s in range(6)}
+    quota = {s: load[s] + seed % 2 * 3 for s in load}
+    df = spark.createDataFrame(cells, "key string, chunk long, shard int, n long")
+    ended = S.propagate(df, quota, 6)
+    got = [tuple(r) for r in ended.select("key", "chunk", "shard", "n").collect()]
+
+    def sizes(rows, *at):
+        out = {}
+        for r in rows:
+            out[tuple(r[i] for i in at)] = out.get(tuple(r[i] for i in at), 0) + r[3]
+        return out
+
+    assert sizes(got, 0, 1) == sizes(cells, 0, 1)
+    assert all(n <= quota[s] for (s,), n in sizes(got, 2).items())
+    assert sum(n * n for *_k, n in got) >= sum(n * n for *_k, n in cells)
+    assert sorted(tuple(r) for r in S.propagate(ended, quota, 6).select("key", "chunk", "shard", "n").collect()) == sorted(got)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,17 +28,18 @@ def _loads(cells: DataFrame) -> dict[int, int]:
     return {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row per shard
 
 
-def propagate(cells: DataFrame, quota: dict[int, int], shards: int, rounds: int = 32) -> DataFrame:
+def propagate(cells: DataFrame, quota: dict[int, int], shards: int) -> DataFrame:
     """Labels of the members of each cluster move to the shard where most of them can meet.
 
     A cell is the number of a cluster's members with one label; members of a cluster are all linked with
     each other, so votes are cell counts. The wanted shard is that with the largest reach: members there
     plus members that still fit. A wish is granted in part where the shard's free quota ends, so a round
-    never overfills a shard. Ends once a round grants nothing. Moves granted in part may
-    alternate where clusters compete for a full shard; ``rounds`` is the safety value for that.
+    never overfills a shard. A cluster takes what it is granted only if fewer of its links are cut then, that
+    is if the sum of its squared cells rises. So no move can alternate, the cut falls with every round, and
+    the rounds end by themselves where nothing is taken.
     """
-    load, done = _loads(cells), 0
-    while done < rounds:
+    load = _loads(cells)
+    while True:
         free = _per_shard({s: max(0, quota[s] - load.get(s, 0)) for s in quota}, shards)
         mine = Window.partitionBy(*_CLUSTER)
         voted = cells.withColumn("total", F.sum("n").over(mine)).withColumn(
@@ -52,18 +51,19 @@ def propagate(cells: DataFrame, quota: dict[int, int], shards: int, rounds: int
                                F.col("n"), "prior", together=2)
         granted = wishes.withColumn(
             "go", F.greatest(F.lit(0), F.least(F.col("n"), _at(free, F.col("to")) - F.col("prior"))))
-        stay = voted.where(~moves).select(*_CLUSTER, "shard", "n")
-        rest = granted.select(*_CLUSTER, "shard", (F.col("n") - F.col("go")).alias("n"))
-        moved = granted.select(*_CLUSTER, F.col("to").alias("shard"), F.col("go").alias("n"))
-        parts = stay.withColumn("went", F.lit(0)).unionByName(rest.withColumn("went", F.lit(0))).unionByName(moved.withColumn("went", F.col("n")))
-        parts = cut_lineage(parts.where("n > 0").groupBy(*_CLUSTER, "shard").agg(F.sum("n").alias("n"), F.sum("went").alias("went")))
+        n, go, none = F.col("n"), F.col("go"), F.lit(0).cast("long")
+        stay = voted.where(~moves).select(*_CLUSTER, "shard", n.alias("old"), n.alias("new"), none.alias("went"))
+        rest = granted.select(*_CLUSTER, "shard", n.alias("old"), (n - go).alias("new"), none.alias("went"))
+        moved = granted.select(*_CLUSTER, F.col("to").alias("shard"), none.alias("old"), go.alias("new"), go.alias("went"))
+        parts = stay.unionByName(rest).unionByName(moved).groupBy(*_CLUSTER, "shard").agg(*[F.sum(c).alias(c) for c in ("old", "new", "went")])
+        gain = F.sum(F.col("new") * F.col("new") - F.col("old") * F.col("old")).over(mine)
+        parts = parts.withColumn("taken", gain > 0)
+        parts = cut_lineage(parts.select(*_CLUSTER, "shard", F.when(F.col("taken"), F.col("new")).otherwise(F.col("old")).alias("n"),
+                                         F.when(F.col("taken"), F.col("went")).otherwise(0).alias("went")).where("n > 0"))
         if not parts.agg(F.sum("went")).first()[0]:
-            break
+            return cells
         cells = parts.drop("went")
-        load, done = _loads(cells), done + 1
-    else:
-        warnings.warn(f"rows still moved after {rounds} rounds; some linked rows may be apart that could meet")
-    return cells
+        load = _loads(cells)
 
 
 def _settle(cells: DataFrame, quota: dict[int, int], shards: int) -> DataFrame:
@@ -87,7 +87,7 @@ def _settle(cells: DataFrame, quota: dict[int, int], shards: int) -> DataFrame:
     return _merged(cells.select(*_CLUSTER, "shard", F.col("keep").alias("n")).unionByName(lands).where("n > 0"))
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, rounds: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every row in one of ``shards`` shards, counts at most one apart, equal texts together.
 
     Rows with equal texts (null counts as empty) are linked. Groups above a shard's quota are first cut
@@ -128,7 +128,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, rounds: int = 32, id_col: s
 
     start = F.pmod(F.xxhash64("doc_id", "row", F.lit("start")), F.lit(shards)).cast("int")
     cells = ranked.where("key <> ''").groupBy(*_CLUSTER, start.alias("shard")).agg(F.count("*").alias("n"))
-    cells = propagate(cut_lineage(cells), quota, shards, rounds) if rows_linked else cells
+    cells = propagate(cut_lineage(cells), quota, shards) if rows_linked else cells
     cells = cut_lineage(_settle(cells, quota, shards))
     load = _loads(cells)
 
