@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def _loads(cells: DataFrame) -> dict[int, int]:
     return {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row per shard
 
 
-def propagate(cells: DataFrame, quota: dict[int, int], shards: int) -> DataFrame:
+def propagate(cells: DataFrame, quota: dict[int, int], shards: int, rounds: int | None = None) -> DataFrame:
     """Labels of the members of each cluster move to the shard where most of them can meet.
 
     A cell is the number of a cluster's members with one label; members of a cluster are all linked with
@@ -36,10 +38,11 @@ def propagate(cells: DataFrame, quota: dict[int, int], shards: int) -> DataFrame
     plus members that still fit. A wish is granted in part where the shard's free quota ends, so a round
     never overfills a shard. A cluster takes what it is granted only if fewer of its links are cut then, that
     is if the sum of its squared cells rises. So no move can alternate, the cut falls with every round, and
-    the rounds end by themselves where nothing is taken.
+    the rounds end by themselves where nothing is taken. A caller may stop after ``rounds``; ``assign_shards``
+    does not.
     """
-    load = _loads(cells)
-    while True:
+    load, done = _loads(cells), 0
+    while done != rounds:
         free = _per_shard({s: max(0, quota[s] - load.get(s, 0)) for s in quota}, shards)
         mine = Window.partitionBy(*_CLUSTER)
         voted = cells.withColumn("total", F.sum("n").over(mine)).withColumn(
@@ -63,7 +66,9 @@ def propagate(cells: DataFrame, quota: dict[int, int], shards: int) -> DataFrame
         if not parts.agg(F.sum("went")).first()[0]:
             return cells
         cells = parts.drop("went")
-        load = _loads(cells)
+        load, done = _loads(cells), done + 1
+    warnings.warn(f"rows still moved after {rounds} rounds; some linked rows may be apart that could meet")
+    return cells
 
 
 def _settle(cells: DataFrame, quota: dict[int, int], shards: int) -> DataFrame:
