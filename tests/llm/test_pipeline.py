@@ -24,5 +24,5 @@ def test_empty_documents_pass_every_stage(spark):
 
 
 def test_each_operator_is_registered():
-    assert {int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline"} == set(range(1, 11)) and "pipeline" in QUERIES
+    assert {int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline"} == set(range(1, 14)) and "pipeline" in QUERIES
     assert set(ORACLES) <= set(QUERIES)
