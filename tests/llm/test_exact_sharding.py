@@ -6,7 +6,10 @@ from collections import Counter, defaultdict
 import pytest
 
 from tests.llm.conftest import CLASHES
-from tidemark.llm.exact_dedup import drop_copies, exact_groups
+from pyspark.sql import functions as F
+
+from tidemark.llm import common
+from tidemark.llm.exact_dedup import digests, drop_copies, exact_groups, merge_runs
 from tidemark.llm.sharding import assign_shards, propagate
 
 
@@ -38,6 +41,33 @@ def test_dropping_keeps_one_row_of_each_group_with_all_columns(docs, no_docs):
     assert drop_copies(no_docs).count() == 0 and exact_groups(no_docs).count() == 0
 
 
+def test_rounds_of_the_tree_agree(docs):
+    base = docs.sparkSession.createDataFrame(digests(docs).collect(), digests(docs).schema)
+
+    def of(df):
+        return sorted((r.row, r.keep_row, r.group_size) for r in df.collect())
+
+    one = of(merge_runs(base, fan=8, runs=8))
+    assert one == of(merge_runs(base, fan=2, runs=8)) == of(merge_runs(base, fan=3, runs=20))
+    assert len(one) == docs.count()
+
+
+def test_a_hot_group_is_one_entry_per_run(spark):
+    base = digests(spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).otherwise("same").alias("text")))
+    merged = merge_runs(base, fan=2, runs=8)
+    hot = merged.where("group_size > 1").agg(F.count("*"), F.min("keep_id"), F.max("keep_id"), F.max("group_size")).first()
+    assert tuple(hot) == (1334, 0, 0, 1334) and merged.where("group_size = 1").count() == 2666
+
+
+def test_dropping_by_shuffle_equals_dropping_by_broadcast(docs, monkeypatch):
+    def texts():
+        return Counter(norm(r.text) for r in drop_copies(docs).collect())
+
+    want = texts()
+    monkeypatch.setattr(common, "MOST_GONE", 0)
+    assert texts() == want
+
+
 def check_shards(df, n_rows, shards):
     rows = df.collect()
     assert len(rows) == n_rows

@@ -1,20 +1,14 @@
-"""Exact duplicates by salted aggregation of digests in two levels, which stands in for a tree merge of sorted runs."""
+"""Exact duplicates by a tree merge of sorted digest runs, in DataFrame operations only."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WHITE, landed, slice_count
+from tidemark.llm.common import WHITE, landed, slice_count, without_rows
 
 _KEY = ["digest", "proof", "n_norm"]
-
-
-def _fan(spark) -> int:
-    """Runs merged into one per round: two rounds take fan * fan leaf runs to one."""
-    return max(4, math.ceil(math.sqrt(slice_count(spark))))
+FAN = 16  # runs that meet in one task per round
 
 
 def _digest_columns(id_col: str, text_col: str) -> list[Column]:
@@ -31,26 +25,38 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(*_digest_columns(id_col, text_col))
 
 
-def merge_runs(base: DataFrame) -> DataFrame:
+def merge_runs(base: DataFrame, fan: int = FAN, runs: int | None = None) -> DataFrame:
     """One row per row of ``base`` with the winner of its group and the group's size.
 
-    Rows are dealt into leaf runs, hash slices of the row number that are not sorted. A run holds each digest once, with the best candidate seen so far:
-    most code points, then smallest id (null ids last), then first row. Runs of a round merge ``fan`` at a
-    time until one is left per digest; digests meet only if digest, proof and length all agree. Answers
-    go down the same tree, so a group of any size never meets in one task.
+    Rows are dealt evenly into runs, one partition each; a run is sorted by digest and holds each digest
+    once, with its best candidate: most code points, then smallest id (null ids last), then first row. A
+    run's number has one digit to the base ``fan`` per round. In a round the ``fan`` runs that differ in
+    that digit alone exchange parts: an entry goes to the one whose digit is that of its digest's home, where
+    the parts are sorted and merged. Entries merge only if digest, proof and length all agree, so an
+    identifier is verified at every level. After the last round a digest is in its home run alone, and all
+    runs are still of a size: no task holds the whole. Answers go back down through the same exchanges.
+    A group of any size is one entry per run, and at most ``fan`` entries of it meet.
     """
-    fan = _fan(base.sparkSession)
+    rounds, least = 1, runs or slice_count(base.sparkSession)
+    while fan ** rounds < least:
+        rounds += 1
+    count = fan ** rounds
+    home = F.pmod(F.xxhash64("digest", F.lit("home")), F.lit(count))
     best = F.struct((-F.col("n_points")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    leaves = base.withColumn("run", F.pmod(F.xxhash64("row", F.lit("run")), F.lit(fan * fan)).cast("int"))
-    level0 = leaves.groupBy(*_KEY, "run").agg(F.min(best).alias("best"), F.count("*").alias("n"))
-    parent = level0.withColumn("up", (F.col("run") / fan).cast("int"))
-    level1 = parent.groupBy(*_KEY, "up").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-    root = level1.groupBy(*_KEY).agg(
-        F.min("best").alias("best"), F.sum("n").alias("n")).select(
-        *_KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("n").alias("group_size"))
-    down1 = level1.select(*_KEY, "up").join(root, _KEY)
-    down0 = parent.select(*_KEY, "run", "up").join(down1, [*_KEY, "up"]).drop("up")
-    return leaves.join(down0, [*_KEY, "run"]).drop("run")
+    leaves = base.withColumn("run", F.pmod(F.xxhash64("row", F.lit("run")), F.lit(count)).cast("int")).repartitionById(count, F.col("run"))
+    level = leaves.groupBy("run", *_KEY).agg(F.min(best).alias("best"), F.count("*").alias("n"))
+    exchanged = []
+    for k in range(rounds):
+        place = fan ** k
+        own, goal = F.floor(F.col("run") / place) % fan, F.floor(home / place) % fan
+        sent = level.withColumn("to", (F.col("run") + (goal - own) * place).cast("int")).withColumnsRenamed(
+            {"run": "from", "to": "run"}).repartitionById(count, F.col("run"))
+        exchanged.append(sent)
+        level = sent.groupBy("run", *_KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    answers = level.select("run", *_KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("n").alias("group_size"))
+    for sent in reversed(exchanged):
+        answers = sent.select("run", "from", *_KEY).join(answers, ["run", *_KEY]).drop("run").withColumnRenamed("from", "run")
+    return leaves.join(answers, ["run", *_KEY]).drop("run")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,9 +76,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns as they came.
 
-    Row numbers are fixed by landing the rows once with their digests.
+    Row numbers are fixed by landing the rows once with their digests; only the numbers of rows that go are
+    joined back. Null texts count as empty, repeated rows as copies; no rows give no rows.
     """
     rows = landed(docs.select(
         F.struct(*docs.columns).alias("doc"), F.struct(*_digest_columns(id_col, text_col)).alias("d")), "digest-docs")
-    kept = merge_runs(rows.select("d.*")).where("row = keep_row").select("row")
-    return rows.join(kept, F.col("d.row") == F.col("row"), "left_semi").select("doc.*")
+    gone = merge_runs(rows.select("d.*")).where("row <> keep_row").select("row")
+    return without_rows(rows, F.col("d.row"), gone).select("doc.*")
