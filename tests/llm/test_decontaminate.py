@@ -49,3 +49,25 @@ def test_removal(spark, docs, no_docs):
     none = bench.limit(0)
     assert D.remove_contamination(docs, none).count() == docs.count() and D.remove_contamination(docs, none).columns == docs.columns
     assert D.find_contamination(no_docs, bench).count() == 0 and D.find_contamination(docs, none).where("contaminated").count() == 0
+
+
+def test_items_that_share_windows_share_a_set(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    bench = spark.createDataFrame([(f"i{k:03d}", text) for k in range(200)] + [("z", "w1 w2 other")], "item_id string, text string")
+    wins, sets = D.bench_windows(bench)
+    assert wins.count() == 29 and sets.count() == 2 and wins.columns == ["b_key", "b_gram", "set"]
+    docs = spark.createDataFrame([(k, text if k % 3 == 0 else f"own words {k}") for k in range(600)], "doc_id long, text string")
+    for found in D.find_contamination(docs, bench).collect():
+        want = (40, 40, 200, True) if found.doc_id % 3 == 0 else (3, 0, 0, False)
+        assert (found.n_words, found.n_hit, found.n_items, found.contaminated) == want
+    assert D.remove_contamination(docs, bench).count() == 400
+
+
+def test_marks_have_many_keys_in_the_shuffled_form(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    rows = spark.range(2000).selectExpr("id as row", "array('a', 'b') as w")
+    wins, _ = D.bench_windows(spark.createDataFrame([("q", "never here")], "item_id string, text string"))
+    marks = D._hits(rows, wins, marks=True)
+    assert marks.count() == 2000 and marks.where("gram_len = 0 and set is null and n_words = 2").count() == 2000
+    keys = rows.select(D._mark(rows["row"], 16).alias("k")).groupBy("k").count().collect()
+    assert len(keys) == 16 and max(k["count"] for k in keys) < 400

@@ -13,7 +13,7 @@ from tidemark.session import cut_lineage, scratch_path
 __all__ = ["WHITE", "landed", "ranked", "running_total", "slice_count", "slice_of", "spread_lookup", "without_rows"]
 
 WHITE = "[\\x20\\x09-\\x0D]+"  # the white space of the query contracts
-MOST_GONE = 1_000_000  # row numbers (8 bytes each) up to this many are broadcast; more are joined by shuffle
+MOST_GONE = 1_000_000  # row numbers or digests of rows that go are broadcast up to this many; more are joined by shuffle
 
 
 def landed(df: DataFrame, tag: str) -> DataFrame:
@@ -23,14 +23,14 @@ def landed(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without_rows(rows: DataFrame, number: Column, gone: DataFrame) -> DataFrame:
-    """``rows`` but those whose ``number`` is in the one column of ``gone``.
+def without_rows(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """``rows`` but those whose ``key`` (a row number or a digest) is in the one column of ``gone``; null keys stay.
 
     ``gone`` is written and counted first: where it is short, the rows, with their texts, are not shuffled.
     """
     gone = cut_lineage(gone.toDF("_gone"))
     table = F.broadcast(gone) if gone.count() <= MOST_GONE else gone.hint("shuffle_merge")
-    return rows.join(table, number == F.col("_gone"), "left_anti")
+    return rows.join(table, key == F.col("_gone"), "left_anti")
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], out: str, tag: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import landed, spread_lookup
+from tidemark.llm.common import landed, spread_lookup, without_rows
 from tidemark.session import cut_lineage
 
 BITS = 64
@@ -194,11 +194,16 @@ def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str
 
 def drop_near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text",
                      pack: int = PACK) -> DataFrame:
-    """One row of each component stays, that with the smallest id; all columns as they came."""
+    """One row of each component stays, that with the smallest id; all columns as they came.
+
+    Null ids stay only where a component has no other, of equal ids the first row. Null and empty texts
+    are near copies of each other; no rows give no rows.
+    """
     rows = landed(docs.select(
         F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"),
         fingerprint_column(shingle)(F.col(text_col)).alias("fp")), "simhash-docs")
-    grouped = _grouped(rows.select("row", F.col(f"doc.{id_col}").alias("doc_id"), "fp"), radius, pack)
+    grouped = cut_lineage(_grouped(rows.select("row", F.col(f"doc.{id_col}").alias("doc_id"), "fp"), radius, pack).select("row", "doc_id", "root"))
     stays = grouped.groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stay")).select(F.col("stay.row").alias("kept"))
-    return rows.join(stays, F.col("row") == F.col("kept"), "left_semi").select("doc.*")
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stay")).select("root", F.col("stay.row").alias("kept"))
+    gone = spread_lookup(grouped.select("root", "row"), ["root"], stays, "row").where("row <> kept").select("row")
+    return without_rows(rows, F.col("row"), gone).select("doc.*")
