@@ -176,6 +176,17 @@ def test_packing_round_trip(docs, no_docs, room):
     assert packing.pack(no_docs, TOKENIZER, room).count() == 0
 
 
+def test_added_tokens_are_encoded_as_the_library_does(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x <|endoftext|><|endoftext|>\n\ny", "<|endoftext| > <|ENDOFTEXT|>", "  <|endoftext|>  " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reference, want = Tokenizer.from_file(TOKENIZER), set()
+    for i, text in enumerate(texts):
+        ids = np.array(reference.encode(text, add_special_tokens=False).ids + [2], dtype="<u4")
+        want |= {(i, at, len(ids[at:at + 64]), zlib.crc32(ids[at:at + 64].tobytes())) for at in range(0, len(ids), 64)}
+    got = packing.pack(docs, TOKENIZER, 64).select("doc_id", "start", "length", "ids_crc32").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
 def test_packing_is_tight(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     n, tokens = packed_is_whole(packing.pack(docs, TOKENIZER), docs, 1024)
