@@ -124,7 +124,7 @@ _ALL = f"select {DAY}, * exclude (date) from resolved"
 def _register_strategy(key, strategy):
     @query(key, with_views(_ALL, "sentiments", **_resolved_sql(strategy)))
     def _(t):
-        judged = X.judge_conflicts(t.sentiments, X.ConflictRules(strategy=strategy))
+        judged = X.judge_conflicts(t.sentiments, X.ConflictRules(strategy=strategy), dealt=True)
         return day(X.resolved_opinions(judged)).select(_RESOLVED_COLS)
 
 
@@ -141,7 +141,7 @@ CW = _resolved_sql("confidence_weighted")
     f"""select {DAY}, submission_id, ticker, confidence, sentiment_intensity, position, conviction, time_horizon,
         source, is_implicit from merged where kinds = 1""", "sentiments", **CW))
 def _(t):
-    judged = X.judge_conflicts(t.sentiments).where("n_kinds = 1")
+    judged = X.judge_conflicts(t.sentiments, dealt=True).where("n_kinds = 1")
     return day(X.resolved_opinions(judged)).select(
         "date", "submission_id", "ticker", "confidence", "sentiment_intensity", "position", "conviction",
         "time_horizon", "source", "is_implicit")
@@ -160,7 +160,7 @@ PRIMARY = f"""select date, submission_id, ticker as primary_ticker from (
         from resolved join primary_t p using (date, submission_id) group by date, submission_id, p.primary_ticker""",
     "sentiments", **CW, primary_t=PRIMARY))
 def _(t):
-    judged = X.judge_conflicts(t.sentiments)
+    judged = X.judge_conflicts(t.sentiments, dealt=True)
     kept = F.col("winner").isNotNull()
     final = judged.groupBy("date", "submission_id").agg(
         F.sum(kept.cast("bigint")).alias("n_final"), F.sum("winner.confidence").alias("sum_confidence"),
@@ -172,7 +172,7 @@ def _(t):
 @query("a17_primary_ticker", with_views(f"select {DAY}, submission_id, primary_ticker from primary_t",
                                         "sentiments", **CW, primary_t=PRIMARY))
 def _(t):
-    return day(X.primary_tickers(X.judge_conflicts(t.sentiments)))
+    return day(X.primary_tickers(X.judge_conflicts(t.sentiments, dealt=True)))
 
 
 @query("a17_primary_by_confidence", with_views(
@@ -181,7 +181,7 @@ def _(t):
         select {G}, min(pos) as first_seen from sentiments where not extraction_refusal group by {G}) using ({G}))
         where rn = 1""", "sentiments", **CW))
 def _(t):
-    return day(X.primary_tickers(X.judge_conflicts(t.sentiments), by="highest_confidence"))
+    return day(X.primary_tickers(X.judge_conflicts(t.sentiments, dealt=True), by="highest_confidence"))
 
 
 @query("a18_conflict_report", with_views(
@@ -191,7 +191,7 @@ def _(t):
           array_to_string(list_sort(list_distinct(list(conviction))), ',') as levels from pref group by {G} having count(*) > 1) c
         using ({G})""", "sentiments", **CW))
 def _(t):
-    report = X.conflict_report(X.judge_conflicts(t.sentiments))
+    report = X.conflict_report(X.judge_conflicts(t.sentiments, dealt=True))
     return day(report).select(
         "date", "submission_id", "ticker", "conflict_count", "confidence_spread",
         F.array_join(F.sort_array("conviction_levels"), ",").alias("conviction_levels"),
@@ -203,7 +203,7 @@ def _(t):
         where ({G}) in (select ({G}) from pref group by {G} having count(*) > 1)""", "sentiments", good=GOOD, pref=PREF))
 def _(t):
     s = t.sentiments
-    return day(X.conflicting_opinions(s, X.judge_conflicts(s))).select(
+    return day(X.conflicting_opinions(s, X.judge_conflicts(s, dealt=True))).select(
         "date", "submission_id", "ticker", "pos", "sentiment", "confidence")
 
 
@@ -220,7 +220,7 @@ def _(t):
           from sentiments group by {G}) left join (select {G}, count(*) as n from pref group by {G}) p using ({G})
         group by date""", "sentiments", good=GOOD, pref=PREF))
 def _(t):
-    return day(X.resolution_metrics(X.judge_conflicts(t.sentiments)))
+    return day(X.resolution_metrics(X.judge_conflicts(t.sentiments, dealt=True)))
 
 
 # ---------------------------------------------------------------- consensus
@@ -246,13 +246,13 @@ CTE = dict(**CW, cons0=CONS, cons=CONS2)
 
 
 def consensus(t) -> DataFrame:
-    judged = X.judge_conflicts(t.sentiments)
+    judged = X.judge_conflicts(t.sentiments, dealt=True)
     return C.daily_consensus(X.resolved_opinions(judged), X.primary_tickers(judged))
 
 
 def light_consensus(t) -> DataFrame:
     """Without primary counts, for rankings that do not use them."""
-    return C.daily_consensus(X.resolved_opinions(X.judge_conflicts(t.sentiments)))
+    return C.daily_consensus(X.resolved_opinions(X.judge_conflicts(t.sentiments, dealt=True)))
 
 
 @query("a01_consensus_core", with_views(
