@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -47,6 +48,22 @@ def test_passages_of_texts():
     assert np.allclose(alone, x)
 
 
+def test_a_block_is_all_that_scoring_holds():
+    """The check of the pipeline: with blocks of 2 MB two workers took an executor over its memory."""
+    rng = np.random.default_rng(0)
+    model = quality.train([rng.random((n, quality.WIDTH)) for n in (2, 3)], np.array([1.0, 0.0]), epochs=1)
+    n, kinds = 1500, [None, "", "one two", "lorem ipsum, dolor 12 " * 150, "x" * 400_000]
+    want = np.array([model.score(1, [t])[0] for t in kinds])
+    sizes = [i % 4 for i in range(n)] + [4, 0, 3]
+    assert sum(len(kinds[k] or "") for k in sizes) > 1_500_000
+    assert np.allclose(model.score(len(sizes), (kinds[k] for k in sizes)), want[sizes])
+    tracemalloc.start()
+    model.score(n, (kinds[k] for k in sizes[:n]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+
+
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     scored = quality.score_quality(docs, labels)

@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 64  # words of a passage
 BUCKETS = 64  # hashed words
 HIDDEN = 24
-_BLOCK = 2 << 20  # bytes encoded at once
+_BLOCK = 1 << 18  # bytes encoded at once; their vectors and hashes take some forty times that
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -131,8 +132,9 @@ class AttentionModel:
         return {"enc": f["x"].T @ d_h, "enc_b": d_h.sum(0), "att": f["z"].T @ d_v, "gate": f["z"].T @ d_u, "gate_b": d_u.sum(0),
                 "pick": (f["v"] * f["u"]).T @ d_pick, "head": f["pooled"].T @ d_logit, "head_b": np.array([d_logit.sum()])}
 
-    def score(self, texts) -> np.ndarray:
-        out = np.zeros(len(texts))
+    def score(self, n: int, texts) -> np.ndarray:
+        """Scores of ``n`` texts, of which no more than a block is held."""
+        out = np.zeros(n)
         for first, x, doc in encode(texts):
             scores = self.bags(x, doc)["score"]
             out[first:first + len(scores)] = scores
@@ -231,9 +233,9 @@ def score_column(model: AttentionModel | None, text: Column) -> Column:
     if model is None:
         return F.lit(0.5)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(texts))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(len(texts), (text.as_py() for text in texts)))  # one text at a time as a string
 
     return score(text)
 
