@@ -2,7 +2,9 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.llm import simhash
 from tidemark.llm.simhash import components, cover_masks, drop_near_copies, fingerprint, links, near_groups
 
 
@@ -75,3 +77,43 @@ def test_components_of_edge_cases(docs, no_docs):
     left = drop_near_copies(docs)
     assert left.columns == docs.columns and left.count() == len({r.component_id for r in rows})
     assert near_groups(no_docs).count() == 0 and drop_near_copies(no_docs).count() == 0
+
+
+@pytest.fixture
+def threshold(spark):
+    """A broadcast threshold between what the planner guesses of the tables and what they hold."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    yield lambda size: spark.conf.set(key, size)
+    spark.conf.set(key, before)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_tables_are_not_broadcast_by_a_guess(spark, threshold, monkeypatch):
+    plans = []
+
+    def cut(df, inner=simhash.cut_lineage):
+        out = inner(df)
+        plans.append(plan_of(df))
+        return out
+
+    monkeypatch.setattr(simhash, "cut_lineage", cut)
+    threshold("100k")  # the planner guesses 16 to 32 KB; the 30,000 rows of all tables hold 960 KB
+    words = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    pairs = spark.range(1000).select(F.xxhash64("id").bitwiseXOR(F.lit(1)).alias("fp"))
+    found = {frozenset(r) for r in links(words.unionByName(pairs)).collect()}
+    assert len(found) == 1000 and all((a ^ b) == 1 for a, b in found)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
+def test_prints_are_not_broadcast_by_the_size_of_their_file(spark, threshold):
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(str(k))), 256) for k in range(3)]).alias("text"))
+    threshold("300k")  # the file of three columns has some 320 KB, so the planner guesses 200 KB of two; they hold 480 KB
+    out = near_groups(docs)
+    rows = out.collect()
+    assert len(rows) == n and all(r.component_id == r.doc_id for r in rows)
+    assert "BroadcastHashJoin" not in plan_of(out)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import landed, spread_lookup, without_rows
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, unsized
 
 BITS = 64
 PACK = 1024  # distinct fingerprints that one task compares with each other
@@ -121,11 +121,12 @@ def links(prints: DataFrame, radius: int = 3, pack: int = PACK) -> DataFrame:
     Fingerprints meet in the buckets of the covering tables. A bucket of up to ``pack`` is compared in one
     task, which returns a spanning forest, not its pairs. Members of larger buckets meet at points: two
     words within the radius share a point within half of it (rounded down) of one and the rest of the
-    other. All within half are linked with each other, so a point needs one edge per member.
+    other. All within half are linked with each other, so a point needs one edge per member. The rows of
+    all tables are some thirty times what the planner guesses of them, so the joins go by measured sizes.
     """
     masks = cover_masks(radius)
     table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(masks)]))
-    dealt = prints.select("fp", table.alias("x")).select("fp", "x.t", F.col("fp").bitwiseAND(F.col("x.mask")).alias("bucket"))
+    dealt = unsized(prints.select("fp")).select("fp", table.alias("x")).select("fp", "x.t", F.col("fp").bitwiseAND(F.col("x.mask")).alias("bucket"))
     sizes = dealt.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = cut_lineage(spread_lookup(dealt, ["t", "bucket"], sizes, "fp").where("n > 1"))
     small = members.where(F.col("n") <= pack).groupBy("t", "bucket").agg(F.collect_list("fp").alias("prints"))
@@ -168,6 +169,7 @@ def fingerprint_column(shingle: int):
 
 def _grouped(prints: DataFrame, radius: int, pack: int) -> DataFrame:
     """``prints`` (row, doc_id, fp) with the smallest doc_id of each row's component."""
+    prints = unsized(prints)  # a file's size tells little of its rows: the looked-up prints are not broadcast by it
     firsts = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(firsts.select("fp"), radius, pack))
     grouped = cut_lineage(firsts.join(roots, F.col("fp") == F.col("node"), "left").select(
